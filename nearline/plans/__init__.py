@@ -1,4 +1,4 @@
 """Query catalogue (importing this package registers every query)."""
 
 from .registry import REGISTRY, QuerySpec, register  # noqa: F401
-from . import q_lsh  # noqa: F401
+from . import q_lsh, q_text, q_filters  # noqa: F401,E401
