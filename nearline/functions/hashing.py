@@ -37,7 +37,7 @@ def blake2b_u32(grams: pd.Series) -> pd.Series:
     """Reference-identical gram hash: little-endian blake2b, 4-byte digest."""
     def h(s: str) -> int:
         return int.from_bytes(hashlib.blake2b(s.encode("utf-8"), digest_size=4).digest(), "little")
-    return grams.map(h).astype("int64")
+    return grams.map(h, na_action="ignore").astype("Int64")
 
 
 @F.pandas_udf(T.StringType())
