@@ -153,27 +153,38 @@ def simhash_band_keys(vec: Column, planes: list[list[float]], bands: int) -> Col
 
 def lsh_neighbours(points: DataFrame, id_col: str, vec_col: str, metric: str = "cosine",
                    nbits: int = 16, bands: int = 4, seed: int = 7) -> DataFrame:
-    """Each point's best *other* point among its LSH star candidates.
-
-    Candidates of u: the smallest member of each bucket u is in, and the
-    members of the buckets u is the smallest of (star edges, O(n x bands),
-    never all pairs of a bucket).  Ties go to the smaller id; a point with
-    no candidate has no row.
-    """
+    """Each point's best *other* point among its SimHash star candidates."""
     planes = hyperplanes(nbits, _dim(points, vec_col), seed)
     keyed = points.select(F.col(id_col), F.explode(simhash_band_keys(F.col(vec_col), planes, bands)).alias("bk"))
+    return star_neighbours(keyed, points.select(id_col, vec_col), id_col, vec_col, metric)
+
+
+def star_neighbours(keyed: DataFrame, vecs: DataFrame, id_col: str, vec_col: str,
+                    metric: str = "cosine") -> DataFrame:
+    """Best other point per id among bucket-star candidates.
+
+    ``keyed(id, bk)`` holds the bucket keys of each point.  Candidates of u:
+    the smallest member of each bucket u is in, and the members of the
+    buckets u is the smallest of: O(n x bands) edges, never all pairs of a
+    bucket.  Ties go to the smaller id; a point with no candidate has no row.
+    Returns ``(id, neighbour, score)``.
+    """
     reps = keyed.groupBy("bk").agg(F.min(id_col).alias("rep"))
     star = (salted_join(keyed, reps, ["bk"], "inner", salt_by=[id_col])
             .where(F.col(id_col) != F.col("rep")).select(F.col(id_col).alias("a"), F.col("rep").alias("b")))
     both = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    vecs = points.select(F.col(id_col), F.col(vec_col))
     j = both.join(vecs.withColumnRenamed(id_col, "a").withColumnRenamed(vec_col, "va"), "a")
     j = salted_join(j, vecs.withColumnRenamed(id_col, "b").withColumnRenamed(vec_col, "vb"), ["b"], "inner",
                     salt_by=["a"])
     scored = j.select("a", "b", score(metric, F.col("va"), F.col("vb")).alias("score"))
-    order = F.struct(F.col("score"), -F.col("b")) if metric != "euclidean" else F.struct(-F.col("score"), -F.col("b"))
-    best = scored.groupBy("a").agg(F.max_by("b", order).alias("b"), F.max_by("score", order).alias("score"))
-    return best.select(F.col("a").alias(id_col), F.col("b").alias("neighbour"), "score")
+    best = scored.groupBy("a").agg(F.min_by(F.struct("b", "score"), _rank(metric)).alias("__w"))
+    return best.select(F.col("a").alias(id_col), F.col("__w.b").alias("neighbour"), F.col("__w.score").alias("score"))
+
+
+def _rank(metric: str) -> Column:
+    """Ascending rank key: best score first, then the smaller id."""
+    s = F.col("score") if metric == "euclidean" else -F.col("score")
+    return F.struct(s, F.col("b"))
 
 
 def _dim(points: DataFrame, vec_col: str) -> int:
