@@ -71,9 +71,9 @@ def near_dup_clusters(docs: DataFrame, id_col: str, text_col: str, params: M.Min
     # Gram sets are written once: the signature/band path and both gram-set
     # joins of the verification read them.
     sets = cut_lineage(M.gram_sets(docs, id_col, text_col, params), "gram_sets")
-    sig = M.signatures_from_sets(sets, id_col, params)
-    links = best_link(verify_edges(star_edges(band_rows(sig, id_col), id_col), sets, id_col),
-                      id_col, threshold)
+    sig = cut_lineage(M.signatures_from_sets(sets, id_col, params).select(id_col, "band_keys"), "bands")
+    edges = cut_lineage(star_edges(band_rows(sig, id_col), id_col), "star_edges")
+    links = best_link(verify_edges(edges, sets, id_col), id_col, threshold)
     roots = resolve_forest(links.select(F.col(id_col).alias("node"), F.col("rep").alias("nxt"),
                                         F.col("jaccard").alias("w")),
                            docs.select(id_col), "min")
@@ -85,7 +85,7 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, params: M.MinHas
                    threshold: float = 0.8) -> DataFrame:
     """Verified star links ``(id, rep, jaccard)`` with jaccard >= threshold."""
     sets = cut_lineage(M.gram_sets(docs, id_col, text_col, params), "gram_sets")
-    sig = M.signatures_from_sets(sets, id_col, params)
+    sig = cut_lineage(M.signatures_from_sets(sets, id_col, params).select(id_col, "band_keys"), "bands")
     ver = verify_edges(star_edges(band_rows(sig, id_col), id_col), sets, id_col)
     return ver.where(F.col("jaccard") >= threshold).select(
         id_col, "rep", F.round("jaccard", 6).alias("jaccard"))
