@@ -78,7 +78,7 @@ def mod_affine(x: Column, a: int, b: int) -> Column:
     """
     hi = F.shiftright(x, 16)
     lo = x.bitwiseAND(F.lit(65535))
-    t = ((F.lit(a) * hi) % F.lit(PRIME)) * F.lit(65536) + F.lit(a) * lo + F.lit(b)
+    t = F.shiftleft((F.lit(a) * hi) % F.lit(PRIME), 16) + F.lit(a) * lo + F.lit(b)
     return t % F.lit(PRIME)
 
 

@@ -42,7 +42,7 @@ def _comb(a: Column, b: Column, combine: str) -> Column:
     raise ValueError("combine must be 'min' or 'product'")
 
 
-def _jump(state: DataFrame, combine: str | None) -> DataFrame:
+def _jump(state: DataFrame, combine: str | None, total: int | None = None) -> DataFrame:
     """One doubling round on ``(node, nxt, acc)``.
 
     The join key ``nxt`` is skewed by nature (many nodes point at one
@@ -50,7 +50,7 @@ def _jump(state: DataFrame, combine: str | None) -> DataFrame:
     """
     right = state.select(F.col("node").alias("nxt"), F.col("nxt").alias("__nxt2"),
                          F.col("acc").alias("__acc2"))
-    j = salted_join(state, right, ["nxt"], "inner", salt_by=["node"])
+    j = salted_join(state, right, ["nxt"], "inner", salt_by=["node"], total=total)
     acc = F.col("acc") if combine is None else _comb(F.col("acc"), F.col("__acc2"), combine)
     return j.select("node", F.col("__nxt2").alias("nxt"), acc.alias("acc"))
 
@@ -62,9 +62,10 @@ def _image_size(state: DataFrame) -> int:
 def pointer_jump(state: DataFrame, combine: str | None = None, max_rounds: int = 64) -> DataFrame:
     """Iterate ``_jump`` until the image stops shrinking (see module doc)."""
     cur = cut_lineage(state)
-    size = _image_size(cur)
+    row = cur.select(F.count(F.lit(1)).alias("n"), F.count_distinct("nxt").alias("img")).first()
+    total, size = row["n"], row["img"]          # the node set is fixed across rounds
     for _ in range(max_rounds):
-        nxt = cut_lineage(_jump(cur, combine))
+        nxt = cut_lineage(_jump(cur, combine, total))
         new_size = _image_size(nxt)
         cur = nxt
         if new_size == size:

@@ -25,15 +25,17 @@ def _partitions(df: DataFrame) -> int:
 
 
 def hot_keys(big: DataFrame, keys: list[str], share: float = DEFAULT_SHARE,
-             partitions: int | None = None) -> DataFrame:
+             partitions: int | None = None, total: int | None = None) -> DataFrame:
     """Keys with count >= share * total, plus the salt fan-out ``__n``.
 
-    Output rows <= 1/share (proven), so callers may broadcast it.
+    Output rows <= 1/share (proven), so callers may broadcast it.  ``total``
+    (the row count of ``big``) may be passed when the caller knows it, e.g.
+    across the rounds of an iteration over a fixed set of rows.
     """
     if not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
     p = partitions or _partitions(big)
-    total = big.select(F.count(F.lit(1))).scalar()
+    total = big.select(F.count(F.lit(1))).scalar() if total is None else F.lit(max(int(total), 1))
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__cnt"))
     return (counts.where(F.col("__cnt") >= F.lit(share) * total)
             .select(*keys,
@@ -42,7 +44,7 @@ def hot_keys(big: DataFrame, keys: list[str], share: float = DEFAULT_SHARE,
 
 def salted_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner",
                 salt_by: list[str] | Column | None = None, share: float = DEFAULT_SHARE,
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, total: int | None = None) -> DataFrame:
     """``big.join(other, keys, how)`` with hot keys of ``big`` split up.
 
     ``salt_by``: deterministic columns of ``big`` spreading a hot key's rows
@@ -53,7 +55,7 @@ def salted_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "i
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted_join supports inner/left/left_semi/left_anti, not {how!r}")
-    hot = F.broadcast(hot_keys(big, keys, share, partitions))
+    hot = F.broadcast(hot_keys(big, keys, share, partitions, total))
     if salt_by is None:
         salt_src = F.xxhash64(*[F.col(c) for c in big.columns])
     elif isinstance(salt_by, Column):
