@@ -86,6 +86,39 @@ def mod_affine_sql(x: str, a: int, b: int) -> str:
     return (f"(((({a} * ({x} >> 16)) % {PRIME}) * 65536) + {a} * ({x} & 65535) + {b}) % {PRIME}")
 
 
+_BLOCK = 8192   # grams per numpy block: bounds the K x block temporary
+
+
+@lru_cache(maxsize=64)
+def minhash_udf(num_hashes: int, seed: int):
+    """Arrow UDF: gram-hash set -> MinHash signature (same values as the JVM path).
+
+    Vectorised numpy per row: (a*x + b) mod p for all hash functions at
+    once, with x split in 16-bit halves so every product fits in int64;
+    long texts are processed in blocks of grams.  An empty set gives the
+    all-max signature.
+    """
+    import numpy as np
+    params = hash_params(num_hashes, seed)
+    a = np.array([p[0] for p in params], dtype=np.int64)[:, None]
+    b = np.array([p[1] for p in params], dtype=np.int64)[:, None]
+
+    def one(xs) -> list:
+        sig = np.full(num_hashes, MAX_HASH, dtype=np.int64)
+        x = np.asarray(xs if xs is not None else [], dtype=np.int64)
+        for s in range(0, x.size, _BLOCK):
+            blk = x[s:s + _BLOCK][None, :]
+            t = ((((a * (blk >> 16)) % PRIME) << 16) + a * (blk & 0xFFFF) + b) % PRIME
+            np.minimum(sig, t.min(axis=1), out=sig)
+        return sig
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def minhash(sets: pd.Series) -> pd.Series:
+        return sets.map(one)
+
+    return minhash
+
+
 def md5_hex(col: Column) -> Column:
     """Content hash as 32 hex digits."""
     return F.md5(col)

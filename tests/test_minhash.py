@@ -76,3 +76,14 @@ def test_estimate_tracks_exact_jaccard(spark, logs):
     df = spark.createDataFrame([(sig[3], sig[5]), (sig[4], sig[2])], "a array<bigint>, b array<bigint>")
     est = [r[0] for r in df.select(M.signature_similarity(F.col("a"), F.col("b"))).collect()]
     assert est[0] == 1.0 and abs(est[1] - 0.288) < 0.15
+
+
+def test_arrow_and_jvm_engines_agree(spark):
+    from .conftest import SF001
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    out = {}
+    for engine in ("arrow", "jvm"):
+        p = M.MinHashParams(5, 32, 8, 42, profile="basic", engine=engine)
+        out[engine] = {r.doc_id: (list(r.signature), list(r.band_keys), r.shingle_count)
+                       for r in M.signatures(docs, "doc_id", "text", p).collect()}
+    assert out["arrow"] == out["jvm"] and len(out["arrow"]) > 0
