@@ -154,8 +154,11 @@ def simhash_band_keys(vec: Column, planes: list[list[float]], bands: int) -> Col
 def lsh_neighbours(points: DataFrame, id_col: str, vec_col: str, metric: str = "cosine",
                    nbits: int = 16, bands: int = 4, seed: int = 7) -> DataFrame:
     """Each point's best *other* point among its SimHash star candidates."""
+    from ..session import cut_lineage
     planes = hyperplanes(nbits, _dim(points, vec_col), seed)
-    keyed = points.select(F.col(id_col), F.explode(simhash_band_keys(F.col(vec_col), planes, bands)).alias("bk"))
+    # bucket keys are read four times (minima, hot keys, star join): write them once
+    keyed = cut_lineage(points.select(F.col(id_col), F.explode(simhash_band_keys(F.col(vec_col), planes, bands))
+                                      .alias("bk")), "simhash_keys")
     return star_neighbours(keyed, points.select(id_col, vec_col), id_col, vec_col, metric)
 
 

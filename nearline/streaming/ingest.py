@@ -44,10 +44,14 @@ def log_id(text, pod_name, severity):
 def embed_logs(logs: DataFrame, cfg: GateConfig) -> DataFrame:
     """``logs(text, pod_name, severity, ts)`` -> points rows with id, signature, band keys."""
     with_id = logs.withColumn("id", log_id(F.col("text"), F.col("pod_name"), F.col("severity")))
-    sig = M.signatures(with_id.select("id", "text").dropDuplicates(["id"]), "id", "text", cfg.params)
-    return with_id.join(sig, "id").select(
-        "id", "signature", "band_keys", F.col("text").alias("text_payload"), "pod_name", "severity",
-        F.col("ts").cast("timestamp").alias("ts"))
+    p = cfg.params
+    if p.hash == "md5" and p.engine == "arrow":
+        emb = M.embed_rows(with_id, "text", p)          # in place: no join, no shuffle
+    else:
+        sig = M.signatures(with_id.select("id", "text").dropDuplicates(["id"]), "id", "text", p)
+        emb = with_id.join(sig, "id")
+    return emb.select("id", "signature", "band_keys", F.col("text").alias("text_payload"), "pod_name",
+                      "severity", F.col("ts").cast("timestamp").alias("ts"))
 
 
 def _sim(metric: str, a, b):
