@@ -81,6 +81,7 @@ def topk(points: DataFrame, id_col: str, vec_col: str, query, k: int = 5, metric
     cols = [F.col(id_col)] + [F.col(c) for c in (keep or [])]
     scored = src.select(*cols, score(metric, F.col(vec_col), _lit_vec(query)).alias("score"))
     ranked = scored.orderBy(better_first(metric), F.col(id_col).asc()).limit(k)
+    # ranks the k rows left after the limit (already one partition), not the table
     w = Window.orderBy(better_first(metric), F.col(id_col).asc())
     return ranked.withColumn("rank", F.row_number().over(w))
 
