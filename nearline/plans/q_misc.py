@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import envelopes as EN
 from ..operators import mapreduce as MR
 from ..operators import reliability as RL
+from ..session import spread
 from ..sources.tables import table
 from .registry import register
 
@@ -40,7 +41,7 @@ def q_chain_score(spark, sf):
 
 def _request(spark, sf):
     """One request body per event, its form chosen by the event type."""
-    ev = table(spark, sf, "events")
+    ev = spread(table(spark, sf, "events"), "event_id")
     b64 = EN.b64_encode(F.col("props"))
     et = F.col("event_type")
     body = (F.when(et == "view", F.concat(F.lit("  "), b64, F.lit("\n")))
@@ -98,7 +99,7 @@ def q_envelope_build(spark, sf):
 
 
 def _noisy(spark, sf):
-    ev = table(spark, sf, "events")
+    ev = spread(table(spark, sf, "events"), "event_id")
     tail = F.when(F.col("value") > 50, F.lit("done")).otherwise(F.lit(""))
     text = F.concat(F.lit("job "), F.col("event_id").cast("string"), F.lit(" started\n"), F.col("props"),
                     F.lit("\n"), tail)
