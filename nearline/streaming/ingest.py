@@ -63,18 +63,32 @@ def _sim(metric: str, a, b):
 
 
 def match(incoming: DataFrame, stored: DataFrame, metric: str) -> DataFrame:
-    """``(id, match_id, similarity)`` best stored head per incoming id (left: no row if none)."""
+    """``(id, match_id, similarity)``: best stored head per incoming id (no row if none).
+
+    A match depends only on the signature (candidates come from its band
+    keys, scores from its values), so candidates are generated once per
+    distinct signature; identical log lines, however many, collapse in a
+    map-side partial aggregate first.  The results go back to the ids with
+    a salted join (one signature may stand for a third of the batch).
+    """
+    uniq = incoming.select("signature", "band_keys").dropDuplicates(["signature"]) \
+        .withColumn("sig_key", F.xxhash64("signature"))
     heads = (stored.select("id", F.explode("band_keys").alias("bk"))
              .groupBy("bk").agg(F.min("id").alias("match_id")))
-    inb = incoming.select("id", F.explode("band_keys").alias("bk"))
-    cand = salted_join(inb, heads, ["bk"], "inner", salt_by=["id"]).select("id", "match_id").distinct()
+    inb = uniq.select("sig_key", "signature", F.explode("band_keys").alias("bk"))
+    cand = salted_join(inb.select("sig_key", "bk"), heads, ["bk"], "inner", salt_by=["sig_key"]) \
+        .select("sig_key", "match_id").distinct()
     sigs = stored.select(F.col("id").alias("match_id"), F.col("signature").alias("__sb"))
-    j = salted_join(cand.join(incoming.select("id", F.col("signature").alias("__sa")), "id"), sigs,
-                    ["match_id"], "inner", salt_by=["id"])
-    scored = j.select("id", "match_id", _sim(metric, F.col("__sa"), F.col("__sb")).alias("similarity"))
-    best = scored.groupBy("id").agg(
+    j = salted_join(cand.join(uniq.select("sig_key", F.col("signature").alias("__sa")), "sig_key"), sigs,
+                    ["match_id"], "inner", salt_by=["sig_key"])
+    scored = j.select("sig_key", "__sa", "match_id", _sim(metric, F.col("__sa"), F.col("__sb")).alias("similarity"))
+    best = scored.groupBy("sig_key", "__sa").agg(
         F.min_by(F.struct("match_id", "similarity"), F.struct(-F.col("similarity"), F.col("match_id"))).alias("w"))
-    return best.select("id", F.col("w.match_id").alias("match_id"), F.col("w.similarity").alias("similarity"))
+    best = best.select(F.col("__sa").alias("signature"), F.col("w.match_id").alias("match_id"),
+                       F.col("w.similarity").alias("similarity"))
+    per_id = incoming.select("id", "signature").dropDuplicates(["id"])
+    out = salted_join(per_id, best, ["signature"], "inner", salt_by=["id"])
+    return out.select("id", "match_id", "similarity")
 
 
 def decide(incoming: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
