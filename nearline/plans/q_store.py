@@ -222,13 +222,24 @@ def q_ingest_summary(spark, sf):
     return IG.summary(dec)
 
 
-@register("occurrence_groups", "F6 F5", lambda: _gate_sql() + """,
+@register("occurrence_groups", "F6", lambda: _gate_sql() + """,
 lk AS (SELECT id, id AS closest_log_id FROM stored
        UNION ALL SELECT id, CASE WHEN dup THEN match_id ELSE id END FROM dec)
 SELECT closest_log_id, count(*) AS occurrences FROM lk GROUP BY 1""")
 def q_occurrence_groups(spark, sf):
     _dec, _p, look = _gate_run(spark, sf)
-    return look.current().groupBy("closest_log_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    return S.occurrences(look.current())
+
+
+@register("near_occurrences", "F5", lambda: _gate_sql() + """
+SELECT d.id, CASE WHEN d.dup THEN d.match_id ELSE d.id END AS closest_log_id,
+       round(CASE WHEN d.dup THEN d.similarity ELSE 1.0 END, 6) AS similarity
+FROM dec d""")
+def q_near_occurrences(spark, sf):
+    dec, _p, look = _gate_run(spark, sf)
+    wanted = dec.select("id")                      # every log of the second batch, as a semi join
+    out = S.near_occurrences(look.current(), wanted)
+    return out.select("id", "closest_log_id", F.round("similarity", 6).alias("similarity"))
 
 
 @register("sync_edges", "K3 F4 H2 A13", None,
@@ -256,6 +267,6 @@ def q_stream_ingest(spark, sf):
     root = _root(spark, "stream")
     pts, look = S.point_store(spark, root), S.lookup_store(spark, root)
     cfg = IG.GateConfig(M.MinHashParams(5, 64, 16, 42, profile="basic"), 0.8, "jaccard")
-    q = IG.stream_ingest(logs, pts, look, cfg, root + "/_stream_checkpoint")
+    q = IG.stream_ingest(logs, pts, look, cfg, root + "/_stream_checkpoint", dedupe_within="1 hour")
     q.awaitTermination()
     return look.current().select("id", "closest_log_id", F.round("similarity", 6).alias("similarity"))

@@ -167,6 +167,23 @@ def scroll(df: DataFrame, id_col: str, cond: Column | None = None, batch_size: i
     return page, page.select(F.max(id_col)).scalar()
 
 
+def near_occurrences(lookup: DataFrame, ids) -> DataFrame:
+    """``(id, closest_log_id, similarity)`` for the given ids.
+
+    ``ids`` is a list (small, a literal filter) or a DataFrame with an ``id``
+    column (any size, a semi join).  Unknown ids give no rows.
+    """
+    cols = ["id", "closest_log_id", "similarity"]
+    if isinstance(ids, DataFrame):
+        return lookup.join(ids.select("id"), "id", "left_semi").select(*cols)
+    return lookup.where(F.col("id").isin(list(ids))).select(*cols)
+
+
+def occurrences(lookup: DataFrame) -> DataFrame:
+    """how many logs each representative stands for (an aggregate, never a list)."""
+    return lookup.groupBy("closest_log_id").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
 POINT_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("signature", T.ArrayType(T.LongType())),

@@ -154,11 +154,20 @@ def mark_synced(points: TableStore, ids: DataFrame, batch_id: int | None = None)
 
 
 def stream_ingest(stream: DataFrame, points: TableStore, lookup: TableStore, cfg: GateConfig,
-                  checkpoint: str, trigger_available_now: bool = True):
-    """K1 on a stream: ``foreachBatch`` runs :func:`ingest` with the micro-batch id."""
+                  checkpoint: str, trigger_available_now: bool = True, dedupe_within: str | None = None):
+    """K1 on a stream: ``foreachBatch`` runs :func:`ingest` with the micro-batch id.
+
+    ``dedupe_within`` (e.g. ``"1 hour"``), K4: records whose content id was
+    already seen within that event-time watermark are dropped before the
+    gate (``dropDuplicatesWithinWatermark``; the state is bounded by the
+    watermark).
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        ingest(batch, points, lookup, cfg, batch_id)
+        ingest(batch.drop("__id"), points, lookup, cfg, batch_id)
 
+    if dedupe_within:
+        stream = (stream.withColumn("__id", log_id(F.col("text"), F.col("pod_name"), F.col("severity")))
+                  .withWatermark("ts", dedupe_within).dropDuplicatesWithinWatermark(["__id"]))
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if trigger_available_now:
         w = w.trigger(availableNow=True)
