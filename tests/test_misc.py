@@ -117,3 +117,18 @@ def test_stream_gate_equals_batch_gate(spark, logs):
         return sorted(tuple(r) for r in st.current().select("id", "closest_log_id", F.round("similarity", 6)).collect())
     assert rows(sl) == rows(bl) and len(rows(bl)) == 5
     assert sorted(r.id for r in sp.current().collect()) == sorted(r.id for r in bp.current().collect())
+
+
+def test_gate_dedupe_within_batch(spark, logs):
+    """Off (faithful): twins inside one batch are both stored; on: the later twin points at the first."""
+    batch = logs.select("text", "pod_name", "severity", F.to_timestamp("timestamp").alias("ts"))
+    out = {}
+    for flag in (False, True):
+        root = f"{ensure_checkpoint_dir(spark)}/w-{uuid.uuid4().hex}"
+        pts, look = S.point_store(spark, root), S.lookup_store(spark, root)
+        cfg = IG.GateConfig(M.MinHashParams(5, 64, 16, 3), 0.8, "jaccard", dedupe_within_batch=flag)
+        d = IG.ingest(batch, pts, look, cfg, 0)
+        out[flag] = (sorted(r.decision for r in d.collect()), pts.current().count())
+    assert out[False] == (["new"] * 5, 5)
+    # records 3 and 5 normalise to the same text: one of them becomes a duplicate of the other
+    assert out[True] == (["duplicate"] + ["new"] * 4, 4)
