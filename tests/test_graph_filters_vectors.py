@@ -108,3 +108,12 @@ def test_salted_join_equals_plain_join(spark):
     a = sorted(tuple(r) for r in salted_join(big, small, ["k"], share=0.01, partitions=8).select("k", "v", "w").collect())
     b = sorted(tuple(r) for r in big.join(small, "k").select("k", "v", "w").collect())
     assert a == b and len(a) == 3000
+
+
+def test_long_has_id_list_is_a_semi_join(spark):
+    df = spark.range(0, 30000)
+    ids = list(range(0, 30000, 2))            # 15,000 ids > LONG_ID_LIST
+    out = FL.apply(df, [{"op": "has_id", "value": ids}, {"key": "id", "op": "lt", "value": 100}])
+    assert sorted(r.id for r in out.collect()) == list(range(0, 100, 2))
+    short = FL.apply(df, [{"op": "has_id", "value": [1, 2, 3]}])
+    assert short.count() == 3
