@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, positions, secrets, subword
+from . import chat, mixing, positions, rules, secrets, subword
 from .registry import query
 
 
@@ -89,3 +89,36 @@ def op9(spark, sf_dir):
                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
     return (chat.read_back(chat.format_conversations(rows.unionByName(own)))
             .select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"))
+
+
+@query("op4_quality_rules")
+def op4(spark, sf_dir):
+    return rules.quality_rules(table(spark, sf_dir, "documents")).select(
+        "__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(concat_ws(chr(31), doc_id::VARCHAR, text)) AS tie, length(coalesce(text, '')) AS n,
+    length(translate(coalesce(text, ''), '#*$%&|<>!', '')) AS c FROM documents),
+k AS (SELECT *, -ln((('0x' || substr(tie, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+      / CASE WHEN n > 0 THEN greatest(0.05::DOUBLE, (c / n) * (c / n)) ELSE 0.05::DOUBLE END AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER before, 0))
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0)) AS level
+      FROM w WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(level, source_size / weight) AS common FROM l WHERE level * weight <= 2.0 * source_size),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(common * weight, 2.0::DOUBLE * source_size)) AS target FROM l, f),
+p AS (SELECT *, floor(target + 0.5)::BIGINT AS words FROM t),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS epochs FROM p),
+x AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.words - e.epochs * e.source_size AS rest,
+        coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM x
+"""
+
+
+@query("op2_mix_sources", OP2_SQL)
+def op2(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("__row.doc_id", "size", "source_size", "target", "taken")
