@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, positions, rules, secrets, subword
+from . import chat, mixing, pii, positions, rules, secrets, subword
 from .registry import query
 
 
@@ -122,3 +122,16 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 @query("op2_mix_sources", OP2_SQL)
 def op2(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("__row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_personal_data")
+def op3(spark, sf_dir):
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    said = lambda c: F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
+    order = F.array(*[F.lit(k) for k in pii.KINDS])
+    every = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(
+        F.array_position(order, s["kind"]).alias("k"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))),
+        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
+    return found.select("doc_id", *map(count, pii.KINDS), sha256_of(said(F.col("base"))).alias("base_sha256"),
+                        F.concat_ws(",", said(every)).alias("spans"))
