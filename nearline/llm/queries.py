@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, positions, rules, secrets, subword
+from . import bbit, chat, mixing, pii, positions, rules, secrets, subword
 from .registry import query
 
 
@@ -135,3 +135,26 @@ def op3(spark, sf_dir):
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     return found.select("doc_id", *map(count, pii.KINDS), sha256_of(said(F.col("base"))).alias("base_sha256"),
                         F.concat_ws(",", said(every)).alias("spans"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, sum(hash(g)::HUGEINT) AS h FROM s GROUP BY doc_id),
+first AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, h) AS rep FROM n),
+r AS (SELECT s.doc_id, f.n, s.g FROM s JOIN first f ON s.doc_id = f.doc_id AND f.doc_id = f.rep),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+c AS (SELECT doc_id AS x, doc_id AS y FROM first WHERE doc_id = rep UNION SELECT c.x, e.b FROM c JOIN e ON c.y = e.a),
+root AS (SELECT x, min(y) AS root FROM c GROUP BY x)
+SELECT d.doc_id, coalesce(f.n, 0)::BIGINT AS n_shingles, coalesce(root.root, d.doc_id) AS component_id, coalesce(root.root, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN first f ON d.doc_id = f.doc_id LEFT JOIN root ON root.x = f.rep
+"""
+
+
+@query("op10_bbit_minhash", OP10_SQL)
+def op10(spark, sf_dir):
+    return bbit.near_duplicates(table(spark, sf_dir, "documents"))
