@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bbit, chat, mixing, pii, positions, rules, secrets, subword
+from . import bbit, chat, ctw, mixing, pii, positions, rules, secrets, subword
 from .registry import query
 
 
@@ -158,3 +158,10 @@ FROM d LEFT JOIN first f ON d.doc_id = f.doc_id LEFT JOIN root ON root.x = f.rep
 @query("op10_bbit_minhash", OP10_SQL)
 def op10(spark, sf_dir):
     return bbit.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_context_tree_score")
+def op7(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return ctw.score_texts(table(spark, sf_dir, "documents"), held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
