@@ -1,8 +1,8 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between a trusted
 target and the raw corpus, next to fixed per-text rules.  DataFrame functions only.
 
-Tokens are runs of letters and digits or runs of other signs; unigrams and
-bigrams are hashed into ``buckets``.  Two multinomials are counted over the
+Tokens are runs of ASCII punctuation or runs of anything else but spaces;
+unigrams and bigrams (the last one with the end) are hashed into ``buckets``.  Two multinomials are counted over the
 whole corpus in one combinable aggregate: all texts (raw), and the texts that
 pass the trust rule (target; no label is used).  A text's score is the mean
 over its n-grams of ln(p_target / p_raw), in whole ten-thousandths so that
@@ -32,13 +32,13 @@ from .common import SPACE
 SIGNS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-TOKEN = r"([\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]+)"
+TOKEN = r"[a-zA-Z0-9\x80-\x{10FFFF}]+|[!-/:-@\[-`{-~]+"
 SCALE = 10_000
 
 
 @dataclass(frozen=True)
 class RuleParams:
-    buckets: int = 1 << 16
+    buckets: int = 1 << 16          # a power of two
     threshold: float = -0.5         # mean ln ratio below which a text is rejected
     smoothing: float = 0.5
     trusted_tokens: int = 50        # a trusted text has at least so many tokens,
@@ -49,15 +49,17 @@ def length_without(text: Column, chars: str) -> Column:
     return F.char_length(F.translate(text, chars, ""))
 
 
-def token_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), lambda t: F.xxhash64(t))
+def tokens_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def grams(h: str, buckets: int) -> Column:
-    """Buckets of a text's unigrams, then of its bigrams (the last one is the
-    last token with the end); ``h`` names the column of token hashes."""
-    pairs = F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.transform(F.concat(h, pairs), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+def after(tokens: str) -> Column:
+    """The tokens without the first."""
+    return F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
+
+
+def bucket(h: Column, p: RuleParams) -> Column:
+    return h.bitwiseAND(F.lit(p.buckets - 1)).cast("int")
 
 
 def worded_lines(text: Column) -> Column:
@@ -67,16 +69,18 @@ def worded_lines(text: Column) -> Column:
 def count_grams(docs: DataFrame, p: RuleParams) -> DataFrame:
     """``(bucket, raw, target)`` over all texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(text.alias("text"), token_hashes(text).alias("tokens"))
-    lines = worded_lines(F.col("text"))
+    rows = docs.select(text.alias("text"), tokens_of(text).alias("tokens"), worded_lines(text).alias("lines"))
     trusted = ((F.size("tokens") >= p.trusted_tokens)
                & (length_without(F.col("text"), SIGNS) == F.char_length("text"))
                & (length_without(F.col("text"), UPPER) >= (1 - p.trusted_upper) * F.char_length("text"))
-               & (F.size(lines) == F.size(F.array_distinct(lines))))
-    # Flag and buckets first: an expression beside explode() would be worked out for every bucket.
-    # explode_outer: for a plain explode Spark adds a filter that works out the buckets once more.
-    return (rows.select(trusted.cast("int").alias("trusted"), grams("tokens", p.buckets).alias("buckets"))
-            .select("trusted", F.explode_outer("buckets").alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target")))
+               & (F.size("lines") == F.size(F.array_distinct("lines"))))
+    pairs = F.zip_with("tokens", after("tokens"), lambda a, b: F.xxhash64(a, b))
+    hashes = F.concat(F.transform("tokens", lambda t: F.xxhash64(t)), pairs)
+    # The flag first: an expression beside explode() would be worked out for every n-gram.
+    # explode_outer: for a plain explode Spark adds a filter that works out the hashes once more.
+    return (rows.select(trusted.cast("int").alias("trusted"), hashes.alias("hashes"))
+            .select("trusted", F.explode_outer("hashes").alias("h")).where("h is not null")
+            .groupBy(bucket(F.col("h"), p).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target")))
 
 
 def ratio_table(docs: DataFrame, p: RuleParams) -> list[int]:
@@ -92,10 +96,10 @@ def ratio_table(docs: DataFrame, p: RuleParams) -> list[int]:
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
-    """From ``h`` (hashes of a text's words) to ``n_repeat_words``: words in
+    """From ``words`` to ``n_repeat_words``: words in
     3-word windows that the text holds twice or more.  Equal windows are
     found by sorting (hash, place); only texts with some are sorted."""
-    at = lambda k: F.slice("h", k, F.greatest(F.size("h") - 2, F.lit(0)))
+    at = lambda k: F.slice("words", k, F.greatest(F.size("words") - 2, F.lit(0)))
     windows = F.zip_with(F.zip_with(at(1), at(2), lambda a, b: F.xxhash64(a, b)), at(3), lambda a, b: F.xxhash64(a, b))
     docs = docs.withColumn("w3", windows)
     placed = F.array_sort(F.transform("w3", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -105,7 +109,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(
         "places", F.struct(F.lit(0).alias("n"), F.lit(0).alias("stop")),
         lambda acc, i: F.struct((acc["n"] + i + 3 - F.greatest(acc["stop"], i)).alias("n"), (i + 3).alias("stop")))["n"]
-    return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("h", "w3", "s3", "places")
+    return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("words", "w3", "s3", "places")
 
 
 def quality_rules(docs: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
@@ -114,16 +118,17 @@ def quality_rules(docs: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     # A split of a constant is folded into one array literal before the job starts.
     table = F.split(F.lit(",".join(map(str, ratio_table(docs.select("text"), p)))), ",").cast("array<int>")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    lines = worded_lines(F.col("text"))
-    d = d.select("__row", "text", F.array_remove(F.split("text", f"[{SPACE}]+"), "").alias("words"),
-                 token_hashes(F.col("text")).alias("tokens"))
-    total = F.aggregate(grams("tokens", p.buckets), F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b))
+    d = d.select("__row", "text", F.array_remove(F.split("text", f"[{SPACE}]+"), "").alias("words"), tokens_of(F.col("text")).alias("tokens"),
+                 worded_lines(F.col("text")).alias("lines"))
+    ratio = lambda acc, h: acc + F.get(table, bucket(h, p))
+    pairs = F.zip_with("tokens", after("tokens"), lambda a, b: F.xxhash64(a, b))
+    total = (F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: ratio(acc, F.xxhash64(t)))
+             + F.aggregate(pairs, F.lit(0).cast("long"), ratio))
     d = d.select(
-        "__row", F.size("words").cast("long").alias("n_words"), length_without(F.col("text"), SPACES).cast("long").alias("word_chars"),
+        "__row", "words", F.size("words").cast("long").alias("n_words"), length_without(F.col("text"), SPACES).cast("long").alias("word_chars"),
         (F.char_length("text") - length_without(F.col("text"), SIGNS)).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("tokens") > 0, total / (2 * SCALE * F.size("tokens"))).otherwise(0.0).alias("score"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.when(F.size("tokens") > 0, total / (2 * SCALE * F.size("tokens"))).otherwise(0.0).alias("score"))
     d = repeated_words(d)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= p.threshold))
