@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bbit, chat, ctw, mixing, pii, positions, rules, secrets, subword
+from . import bbit, bwt, chat, ctw, mixing, pii, positions, rules, secrets, subword
 from .registry import query
 
 
@@ -165,3 +165,8 @@ def op7(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     return ctw.score_texts(table(spark, sf_dir, "documents"), held_out).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op5_suffix_array_dedup")
+def op5(spark, sf_dir):
+    return bwt.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
