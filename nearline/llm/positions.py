@@ -33,11 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import byte_texts, lower_ascii, pack, unpack
+from .common import byte_texts, pack, unpack
 
 #: Words of the lower-cased UTF-8 bytes: digits, letters, everything that is not ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = 64
 SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
@@ -317,4 +316,8 @@ def _hits(index: DataFrame, windows: dict[tuple[bytes, ...], set], whole: bool)
     return index.mapInArrow(run, f"segment long, nth int, doc_id long, n_words long, hits {RANGES}, items array<string>")
 
 
-__all__ = ["build_index", "decontaminate", "search", "term_frequencies", "lower_ascii", "WORD_PATTERN"]
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs; rows that
+    repeat an id share its fate, rows without an id stay."""
+    hit = decontaminate(docs, items, width).where("size(hits) > 0").select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, docs["doc_id"] == hit["__hit"], "left_anti")

@@ -106,25 +106,34 @@ def identifier_dictionary(found: DataFrame, dict_bytes: int) -> bytes:
     return " ".join([*reversed(kept), SEED_IDENTIFIERS]).encode()
 
 
+class Novelty:
+    """Marginal compressed bytes of a candidate in its context, under a
+    dictionary read as raw content."""
+
+    def __init__(self, dictionary: bytes, min_ratio: float):
+        import zstandard
+        self.min_ratio = min_ratio
+        self.packer = zstandard.ZstdCompressor(level=3, write_content_size=False,
+                                               dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+    def marginal(self, value: str, context: str) -> int | None:
+        """That cost if the candidate is novel (it reaches ``min_ratio`` of
+        its length and the string holds a digit), else None."""
+        base = context.encode() + b"\n"
+        extra = len(self.packer.compress(base + value.encode())) - len(self.packer.compress(base))
+        return extra if extra >= self.min_ratio * len(value) and any(c in "0123456789" for c in value) else None
+
+
 def score_novelty(found: DataFrame, dictionary: bytes, min_ratio: float) -> DataFrame:
-    """Adds ``novel``: candidates whose marginal compressed bytes reach
-    ``min_ratio`` of their length and that hold a digit, with that figure."""
+    """Adds ``novel``: the candidates that are novel, with that figure."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        # The primer is read as raw content: identifiers, then the text around the candidate.
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal_bytes", pa.int32())]))
-        packer = zstandard.ZstdCompressor(level=3, write_content_size=False,
-                                          dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        novelty = Novelty(dictionary, min_ratio)
         for b in batches:
             novel = []
             for cands in b.column("cands").to_pylist():
-                here = []
-                for c in cands or []:
-                    context, value = c["context"].encode(), c["value"].encode()
-                    extra = len(packer.compress(context + b"\n" + value)) - len(packer.compress(context + b"\n"))
-                    if extra >= min_ratio * len(value) and any(48 <= x <= 57 for x in value):
-                        here.append({"start": c["start"], "end": c["end"], "marginal_bytes": extra})
-                novel.append(here)
+                scored = [(c["start"], c["end"], novelty.marginal(c["value"], c["context"])) for c in cands or []]
+                novel.append([{"start": s, "end": e, "marginal_bytes": m} for s, e, m in scored if m is not None])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("base"), pa.array(novel, kind)], names=["doc_id", "base", "novel"])
 
     return found.mapInArrow(run, f"doc_id long, base {SPAN}, novel array<struct<start:int,end:int,marginal_bytes:int>>")
@@ -135,3 +144,40 @@ def scan_secrets(docs: DataFrame, dict_bytes: int = 65536, min_ratio: float = 0.
     novel strings with their marginal compressed bytes."""
     found = cut_lineage(find_spans(docs), "secret_spans")
     return score_novelty(found, identifier_dictionary(found, dict_bytes), min_ratio)
+
+
+MASK = "[SECRET]"
+
+
+def redact_secrets(docs: DataFrame, dict_bytes: int = 65536, min_ratio: float = 0.6) -> DataFrame:
+    """``docs`` with every secret span (base or novel) of ``text`` replaced by
+    ``MASK`` and ``n_chars``, where there is such a column, counted anew.  All
+    rows and columns stay; overlapping spans become one mask; null stays null.
+    """
+    dictionary = identifier_dictionary(cut_lineage(find_spans(docs), "secret_spans"), dict_bytes)
+    names, schema = docs.columns, docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = Novelty(dictionary, min_ratio)
+        for b in batches:
+            at = names.index("text")
+            out = []
+            for text in b.column(at).to_pylist():
+                if text:
+                    found = base_spans(text)
+                    spans = [(s, e) for _, s, e in found] + [(c[0], c[1]) for c in candidates(text, found) if novelty.marginal(c[2], c[3]) is not None]
+                    stop, parts = 0, []
+                    for s, e in sorted(spans):
+                        if s >= stop:
+                            parts += [text[stop:s], MASK]
+                        stop = max(stop, e)
+                    text = "".join([*parts, text[stop:]]) if spans else text
+                out.append(text)
+            b = b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                n = [old if t is None else len(t) for t, old in zip(out, b.column(k).to_pylist())]
+                b = b.set_column(k, b.schema.field(k), pa.array(n, b.schema.field(k).type))
+            yield b
+
+    return docs.mapInArrow(run, schema)
