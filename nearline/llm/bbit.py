@@ -55,6 +55,8 @@ class NearParams:
         return self.bands * self.rows
 
 
+CHUNK_EDGES = 500_000
+
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -176,34 +178,64 @@ def _runs(data: np.ndarray, offs: np.ndarray, size: int = 1 << 20):
         a = z
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def contract(edges: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """A star forest (node, smallest node reached) of the edges of one task,
+    taken up by and by; what is held is a forest and at most ``chunk`` edges."""
+    def forest(parts: list[np.ndarray]) -> np.ndarray:
+        pairs = np.concatenate(parts)
+        nodes, at = np.unique(pairs, return_inverse=True)
+        a, b = at.reshape(pairs.shape).T
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, label[a], low)
+            np.minimum.at(new, label[b], low)
+            while (new != (up := new[new])).any():
+                new = up
+            if (new == label).all():
+                break
+            label = new
+        inner = np.flatnonzero(label != np.arange(len(nodes)))
+        return np.stack([nodes[inner], nodes[label[inner]]], axis=1)
+
+    parts, held = [], 0
+    for batch in edges:
+        parts.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1))
+        held += len(parts[-1])
+        if held >= chunk:
+            parts, held = [forest(parts)], 0
+    if parts:
+        f = forest(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], names=["u", "v"])
+
+
+def components(edges: DataFrame, name: str, chunk: int = CHUNK_EDGES) -> DataFrame:
     """``(u, v)``: every node of the graph but the roots with the smallest
-    node of its component, by alternating large and small stars.  Each half
-    round is a combinable minimum and an equi-join; the edges are written
-    between rounds, and their number never grows.
+    node of its component.
+
+    Tasks first contract their own edges to forests.  These are contracted
+    again in chunks of about ``chunk`` edges; while there are several chunks,
+    rounds of large and small stars follow, each half a combinable minimum
+    and an equi-join, until every component is a star.  Edges are written
+    between rounds; their number never grows.
     """
-    e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    seen = None
+    e = cut_lineage(edges.where("a <> b").select("a", "b").mapInArrow(lambda it: contract(it, chunk), "u long, v long"), name)
     while True:
-        state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state["n"] == 0 or (state["n"], state["h"]) == seen:
+        parts = -(-max(e.count(), 1) // chunk)
+        e = cut_lineage(e.coalesce(parts).mapInArrow(lambda it: contract(it, chunk), "u long, v long"), name)
+        if parts == 1:
             return e
-        seen = (state["n"], state["h"])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name + "_min")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut_lineage(large, name + "_large")
-        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")), name + "_min")
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        large = cut_lineage(large, name)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = cut_lineage(small.where("u <> v").distinct(), name)
-
-
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+        inner = e.select(F.col("v").alias("u")).distinct().join(e, "u", "left_semi")
+        if inner.isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
+            return e                                     # stars: no root has a parent, no node two
 
 
 def tile_links(n: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, p: NearParams) -> list[tuple[int, int]]:
