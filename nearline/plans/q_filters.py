@@ -21,6 +21,15 @@ CASES = {
     "filter_not_in": ("E3", {"key": "note", "op": "not_in", "value": ["v=1.5", "v=2.25"]},
                       "json_extract_string(payload_json, '$.note') IS NOT NULL "
                       "AND json_extract_string(payload_json, '$.note') NOT IN ('v=1.5', 'v=2.25')"),
+    "filter_array_eq": ("E1", {"key": "tags", "op": "equals", "value": "error"},
+                        "list_contains(from_json(payload_json -> '$.tags', '[\"VARCHAR\"]'), 'error')"),
+    "filter_array_in": ("E2", {"key": "tags", "op": "in", "value": ["user7", "click", 3]},
+                        "list_has_any(from_json(payload_json -> '$.tags', '[\"VARCHAR\"]'), ['user7', 'click'])"),
+    "filter_array_not_in": ("E3", {"key": "tags", "op": "not_in", "value": ["user7", "click", "purchase", "error"]},
+                            "len(list_filter(from_json(payload_json -> '$.tags', '[\"VARCHAR\"]'), "
+                            "lambda x: x NOT IN ('user7', 'click', 'purchase', 'error'))) > 0"),
+    "filter_mixed_in": ("E2", {"key": "k", "op": "in", "value": ["x", 1, 42]},
+                        "json_extract(payload_json, '$.k')::BIGINT IN (1, 42)"),
     "filter_contains": ("E4", {"key": "text_payload", "op": "contains", "value": "took 1"},
                         "contains(text_payload, 'took 1')"),
     "filter_phrase": ("E5", {"key": "text_payload", "op": "phrase", "value": "code 3 trace"},

@@ -10,7 +10,7 @@ from ..functions import records as R
 from ..functions.text import normalise, normalise_sql
 from ..operators import minhash as M
 from ..session import spread
-from ..sources.tables import LOG_LINES_SQL, log_lines, table
+from ..sources.tables import LOG_LINES_SQL, log_lines, log_text, pod_name, table
 from .registry import register
 
 L = f"({LOG_LINES_SQL})"
@@ -78,8 +78,7 @@ def q_content_id(spark, sf):
 
 
 def _records(spark, sf):
-    logs = log_lines(spark, sf)
-    ev = table(spark, sf, "events").select(F.col("event_id").alias("log_id"), "event_type")
+    ev = table(spark, sf, "events")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     et = F.col("event_type")
     ins = (F.when(et == "view", F.lit(None).cast("string"))
@@ -87,9 +86,10 @@ def _records(spark, sf):
            .when(et == "signup", F.concat(iso, F.lit("+00:00")))
            .when(et == "error", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("Z")))
            .otherwise(F.concat(iso, F.lit("Z"))))
-    meta = F.struct("pod_name", F.concat(iso, F.lit("Z")).alias("timestamp"), "severity",
-                    F.col("text").alias("textPayload"))
-    return logs.join(ev, "log_id").select("log_id", "text", meta.alias("metadata"), ins.alias("insert_timestamp"))
+    rows = ev.select(F.col("event_id").alias("log_id"), log_text().alias("text"), pod_name().alias("pod_name"), iso.alias("iso"),
+                     F.upper("event_type").alias("severity"), ins.alias("insert_timestamp"))
+    meta = F.struct("pod_name", F.concat("iso", F.lit("Z")).alias("timestamp"), "severity", F.col("text").alias("textPayload"))
+    return rows.select("log_id", "text", meta.alias("metadata"), "insert_timestamp")
 
 
 RECORDS_SQL = f"""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import LOG_LINES_SQL, log_lines
+from .tables import LOG_LINES_SQL, log_text, pod_name, table
 
 
 def _payload_json():
@@ -27,15 +27,10 @@ def _payload_json():
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, severity, pod_name, text_payload, ts, value, user_id, payload VARIANT, payload_json)``."""
-    from .tables import table
-    ev = table(spark, sf_dir, "events")
-    logs = log_lines(spark, sf_dir).select(F.col("log_id").alias("event_id"), F.col("text").alias("text_payload"),
-                                           "pod_name")
-    base = ev.join(logs, "event_id")
     pj = _payload_json()
-    return base.select(F.col("event_id").alias("id"), F.upper("event_type").alias("severity"), "pod_name",
-                       "text_payload", "ts", "value", "user_id", F.parse_json(pj).alias("payload"),
-                       pj.alias("payload_json"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.upper("event_type").alias("severity"), pod_name().alias("pod_name"),
+        log_text().alias("text_payload"), "ts", "value", "user_id", F.parse_json(pj).alias("payload"), pj.alias("payload_json"))
 
 
 EVENT_POINTS_SQL = f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -22,17 +22,14 @@ def _uuid_like(h):
                        F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines derived row by row from ``events`` (one per event).
+def log_text() -> Column:
+    """The log line of an ``events`` row.
 
     ``LEVEL 2024-01-01T00:00:07Z user_id=<uuid> ip=10.0.a.b took 7ms code c
     span=<hex> k=<props.k>`` - gives every masking rule something to do.
     """
-    from ..session import spread
-    # Regex-heavy consumers follow; use every core even if events scan as one split.
-    ev = spread(table(spark, sf_dir, "events"), "event_id")
     h = F.md5(F.col("user_id").cast("string"))
-    text = F.concat(
+    return F.concat(
         F.upper("event_type"), F.lit(" "),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.lit(" user_id="), _uuid_like(h),
@@ -44,9 +41,20 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" at "), F.date_format("ts", "HH:mm:ss"),
         F.lit(" mail ops"), F.pmod("user_id", F.lit(9)).cast("string"), F.lit("@example.org"),
         F.lit(" props "), F.col("props"))
-    return ev.select(F.col("event_id").alias("log_id"), text.alias("text"), "ts", "user_id",
-                     F.upper("event_type").alias("severity"),
-                     F.concat(F.lit("pod-"), F.pmod("user_id", F.lit(5)).cast("string")).alias("pod_name"))
+
+
+def pod_name() -> Column:
+    """The pod of an ``events`` row."""
+    return F.concat(F.lit("pod-"), F.pmod("user_id", F.lit(5)).cast("string"))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines derived row by row from ``events`` (one per event)."""
+    from ..session import spread
+    # Regex-heavy consumers follow; use every core even if events scan as one split.
+    ev = spread(table(spark, sf_dir, "events"), "event_id")
+    return ev.select(F.col("event_id").alias("log_id"), log_text().alias("text"), "ts", "user_id",
+                     F.upper("event_type").alias("severity"), pod_name().alias("pod_name"))
 
 
 LOG_LINES_SQL = """

@@ -110,10 +110,47 @@ def test_salted_join_equals_plain_join(spark):
     assert a == b and len(a) == 3000
 
 
-def test_long_has_id_list_is_a_semi_join(spark):
+def test_many_ids_are_a_semi_join(spark):
     df = spark.range(0, 30000)
-    ids = list(range(0, 30000, 2))            # 15,000 ids > LONG_ID_LIST
-    out = FL.apply(df, [{"op": "has_id", "value": ids}, {"key": "id", "op": "lt", "value": 100}])
+    ids = spark.range(0, 30000, 2)
+    out = FL.apply(df, [{"key": "id", "op": "lt", "value": 100}], ids=ids)
     assert sorted(r.id for r in out.collect()) == list(range(0, 100, 2))
     short = FL.apply(df, [{"op": "has_id", "value": [1, 2, 3]}])
     assert short.count() == 3
+
+
+def test_filters_reach_the_scan(spark):
+    """equals, in, range, date and has_id on real columns are pushed into the Parquet scan."""
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for spec, want in (({"key": "event_type", "op": "equals", "value": "error"}, "EqualTo(event_type,error)"),
+                       ({"key": "event_type", "op": "in", "value": ["error", "view"]}, "In(event_type, [error,view])"),
+                       ({"key": "value", "op": "gte", "value": 10}, "GreaterThanOrEqual(value,10.0)"),
+                       ({"key": "user_id", "op": "lt", "value": 10}, "LessThan(user_id,10)"),
+                       ({"key": "ts", "dtype": "datetime", "op": "gt", "value": "2024-01-10T00:00:00Z"}, "GreaterThan(ts,2024-01-10"),
+                       ({"op": "has_id", "value": [1, 5]}, "In(event_id, [1,5])"),
+                       ({"logic": "and", "clauses": [{"key": "event_type", "op": "eq", "value": "error"}, {"key": "user_id", "op": "gt", "value": 3}]},
+                        "GreaterThan(user_id,3)"),
+                       ({"logic": "or", "clauses": [{"key": "event_type", "op": "eq", "value": "error"}, {"key": "user_id", "op": "gt", "value": 3}]},
+                        "Or(EqualTo(event_type,error),GreaterThan(user_id,3))")):
+        plan = FL.apply(ev, spec, id_col="event_id")._jdf.queryExecution().executedPlan().toString()
+        pushed = plan[plan.index("PushedFilters"):plan.index("ReadSchema")]
+        assert want in pushed, (spec, pushed)
+
+
+def test_arrays_match_by_any_element(spark):
+    rows = [(1, ["a", "b"], '{"tags": ["a", "b"], "n": [1, 2]}'), (2, ["c"], '{"tags": ["c"], "n": 2}'), (3, [], '{"tags": []}'),
+            (4, None, '{}'), (5, ["a"], '{"tags": "a", "n": "x"}'), (6, [None, "z"], '{"tags": [null, "z"], "n": null}')]
+    df = spark.createDataFrame(rows, "id int, real array<string>, j string").withColumn("payload", F.parse_json("j"))
+
+    def ids(spec):
+        return sorted(r.id for r in FL.apply(df, [spec]).collect())
+
+    for key in ("real", "tags"):
+        assert ids({"key": key, "op": "equals", "value": "a"}) == [1, 5]
+        assert ids({"key": key, "op": "in", "value": ["a", "c"]}) == [1, 2, 5]
+        assert ids({"key": key, "op": "not_in", "value": ["a"]}) == [1, 2, 6]
+        assert ids({"key": key, "op": "contains", "value": "z"}) == [6]
+        assert ids({"logic": "not", "clauses": [{"key": key, "op": "in", "value": ["a"]}]}) == [2, 3, 4, 6]
+    assert ids({"key": "n", "op": "in", "value": ["x", 1]}) == [1, 5]
+    assert ids({"key": "n", "op": "gt", "value": 1}) == [1, 2]
+    assert ids({"key": "n", "op": "not_in", "value": [2, "x"]}) == [1]
