@@ -42,8 +42,3 @@ def add_months(year: Column, month: Column, delta: Column | int) -> tuple[Column
     new_year = F.floor(total / 12).cast("int")
     new_month = F.element_at(F.array(*[F.lit(x) for x in MONTHS]), (F.pmod(total, F.lit(12)) + 1).cast("int"))
     return new_year, new_month
-
-
-def month_serial(year: Column, month_idx0: Column) -> Column:
-    """Dense month number (year*12 + month index) for window and range joins."""
-    return year.cast("int") * 12 + month_idx0

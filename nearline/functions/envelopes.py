@@ -34,22 +34,34 @@ def b64_ok(s: Column) -> Column:
     return s.rlike(B64_STRICT) & (F.length(s) % 4 == 0)
 
 
-def b64_decode_text(s: Column) -> Column:
-    """J1 strict decode to UTF-8 text; null when not valid base64."""
-    return F.when(b64_ok(s), F.decode(F.unbase64(s), "UTF-8"))
+def b64_decode(s: Column) -> Column:
+    """J1 strict decode to bytes; null when not valid base64."""
+    return F.when(b64_ok(s), F.unbase64(s))
+
+
+def as_text(body: Column) -> Column:
+    """UTF-8 text of a body, null where the bytes are no UTF-8."""
+    return F.try_validate_utf8(body.cast("string"))
 
 
 def unwrap(raw: Column) -> Column:
-    """``struct(status_code, body, error)`` for a request body.
+    """``struct(status_code, body BINARY, error)`` for a request body.
 
-    JSON object -> its ``b64`` (else ``body_b64``) string, decoded; JSON
-    without either -> 400; anything else is raw base64 text (trimmed).
+    JSON object -> its ``b64`` (else ``body_b64``), which must be a string,
+    decoded; JSON without either -> 400; anything else is raw base64 text
+    (trimmed).  Bytes of any kind pass; see :func:`as_text`.
     """
-    is_json = F.try_parse_json(raw).isNotNull()
-    b64_a = F.get_json_object(raw, "$.b64")
-    b64 = F.when(F.coalesce(b64_a, F.lit("")) != "", b64_a).otherwise(F.get_json_object(raw, "$.body_b64"))
+    parsed = F.try_parse_json(raw)
+    is_json = parsed.isNotNull()
+
+    def string_at(path):
+        v = F.try_variant_get(parsed, path, "variant")
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(parsed, path, "string"))
+
+    b64_a = string_at("$.b64")
+    b64 = F.when(F.coalesce(b64_a, F.lit("")) != "", b64_a).otherwise(string_at("$.body_b64"))
     cand = F.when(is_json, b64).otherwise(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""))
-    body = b64_decode_text(cand)
+    body = b64_decode(cand)
     missing = is_json & (F.coalesce(b64, F.lit("")) == "")
     status = F.when(missing, F.lit(400)).when(body.isNull(), F.lit(400)).otherwise(F.lit(200))
     err = (F.when(missing, F.lit("JSON must contain 'b64' or 'body_b64' string"))

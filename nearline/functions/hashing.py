@@ -40,15 +40,9 @@ def blake2b_u32(grams: pd.Series) -> pd.Series:
     return grams.map(h, na_action="ignore").astype("Int64")
 
 
-@F.pandas_udf(T.StringType())
-def blake2b_hex8(chunks: pd.Series) -> pd.Series:
-    """Reference-identical band digest: blake2b 8-byte hex."""
-    return chunks.map(lambda s: hashlib.blake2b(s.encode("utf-8"), digest_size=8).hexdigest())
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def blake2b_hex8_each(chunks: pd.Series) -> pd.Series:
-    """``blake2b_hex8`` applied to every element of an array column."""
+    """Reference-identical band digest (blake2b, 8-byte hex) of every element."""
     return chunks.map(lambda xs: [hashlib.blake2b(s.encode("utf-8"), digest_size=8).hexdigest() for s in xs])
 
 

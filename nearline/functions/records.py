@@ -53,5 +53,6 @@ def split_records(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
 def require_valid(df: DataFrame, **kw) -> DataFrame:
     """A1 strict mode: the job fails on the first bad record."""
     checked = check_records(df, **kw)
-    return checked.withColumn("valid", F.when(F.col("valid"), F.lit(True))
-                              .otherwise(F.raise_error(F.col("error")))).drop("error", "valid")
+    # In a filter: a raise inside a column would go with the column.
+    fails = F.raise_error(F.col("error")).cast("boolean")
+    return checked.where(F.when(F.col("valid"), F.lit(True)).otherwise(fails)).drop("error", "valid")

@@ -57,7 +57,7 @@ def score(metric: str, a: Column, b: Column) -> Column:
         return euclidean(a, b)
     if metric == "dot":
         return dot(a, b)
-    raise ValueError(f"Unsupported distance metric: {metric}")
+    raise ValueError(f"metric is one of {METRICS}, not {metric!r}")
 
 
 def better_first(metric: str, col: str = "score") -> Column:
@@ -76,7 +76,7 @@ def topk(points: DataFrame, id_col: str, vec_col: str, query, k: int = 5, metric
     ``keep`` lists payload columns to return (D6 returns none).
     """
     if metric not in METRICS:
-        raise ValueError(f"Unsupported distance metric: {metric}")
+        raise ValueError(f"metric is one of {METRICS}, not {metric!r}")
     src = points if where is None else points.where(where)
     cols = [F.col(id_col)] + [F.col(c) for c in (keep or [])]
     scored = src.select(*cols, score(metric, F.col(vec_col), _lit_vec(query)).alias("score"))
@@ -93,9 +93,9 @@ def batch_topk(points: DataFrame, id_col: str, vec_col: str, queries: list, k: i
     ``filters[i]`` (optional) restricts the candidates of query i.
     """
     if filters is not None and len(filters) != len(queries):
-        raise ValueError("Filters length must match queries length")
+        raise ValueError(f"{len(filters)} filters for {len(queries)} queries")
     if metric not in METRICS:
-        raise ValueError(f"Unsupported distance metric: {metric}")
+        raise ValueError(f"metric is one of {METRICS}, not {metric!r}")
     if not queries:
         raise ValueError("no queries")
     dim = len(queries[0])

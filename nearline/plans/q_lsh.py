@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lsh
 from ..operators import minhash as M
+from ..session import spread
 from ..sources.tables import table
 from .registry import register
 
@@ -54,7 +55,7 @@ SELECT doc_id, cluster_id, round(similarity, 6) AS similarity FROM walk"""
 @register("near_dup_clusters", "B18 C2 C3 C5 C6 C7 D8 F3 C11 F1 G1 H7 I6", near_dup_clusters_sql,
           note="flagship: every document with its near-duplicate cluster root")
 def q_near_dup_clusters(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     return lsh.near_dup_clusters(docs, "doc_id", "text", FLAGSHIP, THRESHOLD)
 
 
@@ -66,5 +67,5 @@ SELECT doc_id, rep, round(jaccard, 6) AS jaccard FROM ver WHERE jaccard >= {t}""
 @register("near_dup_pairs", "D8 F3 C11 H6", near_dup_pairs_sql,
           note="verified star links (member, bucket representative)")
 def q_near_dup_pairs(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     return lsh.near_dup_pairs(docs, "doc_id", "text", FLAGSHIP, THRESHOLD)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import lsh
 from ..operators import minhash as M
 from ..session import cut_lineage
+from ..session import spread
 from ..sources.tables import table
 from .registry import register
 
@@ -21,20 +22,20 @@ def _sig_sql() -> str:
 
 @register("shingle_count", "C2 C3 G2", lambda: f"SELECT doc_id, shingle_count FROM ({_sig_sql()})")
 def q_shingle_count(spark, sf):
-    return M.signatures(table(spark, sf, "documents"), "doc_id", "text", P).select("doc_id", "shingle_count")
+    return M.signatures(spread(table(spark, sf, "documents"), "doc_id"), "doc_id", "text", P).select("doc_id", "shingle_count")
 
 
 @register("minhash_signature", "C4 C5 C7 C8 G1",
           lambda: f"SELECT doc_id, array_to_string(signature, ',') AS signature FROM ({_sig_sql()})")
 def q_minhash_signature(spark, sf):
-    sig = M.signatures(table(spark, sf, "documents"), "doc_id", "text", P)
+    sig = M.signatures(spread(table(spark, sf, "documents"), "doc_id"), "doc_id", "text", P)
     return sig.select("doc_id", F.array_join("signature", ",").alias("signature"))
 
 
 @register("band_keys", "C6", lambda: M.band_rows_sql(f"SELECT * FROM ({_sig_sql()})", "doc_id", P)
           .replace("SELECT doc_id, b AS band,", "SELECT doc_id, b::INTEGER AS band,"))
 def q_band_keys(spark, sf):
-    sig = M.signatures(table(spark, sf, "documents"), "doc_id", "text", P)
+    sig = M.signatures(spread(table(spark, sf, "documents"), "doc_id"), "doc_id", "text", P)
     return sig.select("doc_id", F.posexplode("band_keys").alias("band", "band_key"))
 
 
@@ -60,7 +61,7 @@ JOIN bk ka ON ka.doc_id = e.doc_id JOIN bk kb ON kb.doc_id = e.rep"""
 @register("signature_similarity", "C9 C10 C12 H6 D8 F3", _pair_sql)
 def q_signature_similarity(spark, sf):
     from ..operators.vectors import cosine
-    sig = cut_lineage(M.signatures(table(spark, sf, "documents"), "doc_id", "text", P), "signatures")
+    sig = cut_lineage(M.signatures(spread(table(spark, sf, "documents"), "doc_id"), "doc_id", "text", P), "signatures")
     edges = lsh.star_edges(lsh.band_rows(sig, "doc_id"), "doc_id")
     a = sig.select("doc_id", F.col("signature").alias("sa"), F.col("band_keys").alias("ka"))
     b = sig.select(F.col("doc_id").alias("rep"), F.col("signature").alias("sb"), F.col("band_keys").alias("kb"))
@@ -75,6 +76,6 @@ def q_signature_similarity(spark, sf):
           note="reference-identical blake2b hashing through an Arrow UDF; DuckDB has no blake2b, "
                "pytest compares it with a plain-Python MinHash on sample texts")
 def q_minhash_blake2b(spark, sf):
-    sig = M.signatures(table(spark, sf, "documents"), "doc_id", "text", P_COMPAT)
+    sig = M.signatures(spread(table(spark, sf, "documents"), "doc_id"), "doc_id", "text", P_COMPAT)
     return sig.select("doc_id", "shingle_count", F.array_join("signature", ",").alias("signature"),
                       F.array_join("band_keys", " ").alias("band_keys"))

@@ -83,7 +83,7 @@ FROM d""")
 def q_envelope_decode(spark, sf):
     r = _request(spark, sf)
     u = EN.unwrap(F.col("raw"))
-    return r.select("event_id", u["status_code"].alias("status_code"), u["body"].alias("body"),
+    return r.select("event_id", u["status_code"].alias("status_code"), EN.as_text(u["body"]).alias("body"),
                     u["error"].alias("error"))
 
 

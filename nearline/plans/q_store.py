@@ -249,7 +249,7 @@ def q_sync_edges(spark, sf):
     edges = IG.sync_edges(pts)
     from ..session import cut_lineage
     edges = cut_lineage(edges, "sync-edges")
-    IG.mark_synced(pts, edges.select(F.col("src").alias("id")), 2)
+    IG.mark_synced(pts, edges.select(F.col("src").alias("id")))
     return edges.select("src", "dst", F.round("sim", 6).alias("sim"))
 
 
@@ -267,6 +267,6 @@ def q_stream_ingest(spark, sf):
     root = _root(spark, "stream")
     pts, look = S.point_store(spark, root), S.lookup_store(spark, root)
     cfg = IG.GateConfig(M.MinHashParams(5, 64, 16, 42, profile="basic"), 0.8, "jaccard")
-    q = IG.stream_ingest(logs, pts, look, cfg, root + "/_stream_checkpoint", dedupe_within="1 hour")
+    q = IG.stream_ingest(logs, pts, look, cfg, root + "/_stream_checkpoint", skip_seen=True)
     q.awaitTermination()
     return look.current().select("id", "closest_log_id", F.round("similarity", 6).alias("similarity"))

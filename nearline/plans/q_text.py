@@ -58,10 +58,9 @@ def _short_gate_sql():
 
 @register("short_line_gate", "B19 C1", _short_gate_sql)
 def q_short_line_gate(spark, sf):
-    docs = table(spark, sf, "documents")
-    sig = M.signatures(docs, "doc_id", "text", GATE)
-    flags = docs.select("doc_id", (F.length(GATE.norm(F.col("text"))) < GATE.stop_short_lines).alias("is_short"))
-    return flags.join(sig.select("doc_id", "shingle_count"), "doc_id")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    n = M.embed_rows(docs, "text", GATE, keep_norm=True)
+    return n.select("doc_id", (F.length("norm") < GATE.stop_short_lines).alias("is_short"), "shingle_count")
 
 
 @register("content_id", "B20 B21", """

@@ -9,6 +9,7 @@ resolve the shared checkpoint folder the cluster names in
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -51,8 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, setting a scratch one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (tests, a laptop) do we create a
-    fresh scratch folder.
+    as is.  Only when nothing is configured and the master is local (tests, a
+    laptop) do we create a fresh scratch folder; elsewhere that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,9 +63,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    scratch = tempfile.mkdtemp(prefix="nearline-ckpt-")
-    sc.setCheckpointDir(scratch)
-    return sc.getCheckpointDir() or scratch
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="nearline-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def is_local(spark: SparkSession) -> bool:
+    """One process (``local[...]``), whose temporary folder every task sees."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -83,14 +90,14 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-partition ``df`` on ``cols`` when its scan gives fewer partitions
-    than the cluster has cores.
+    """Hash-partition a table read from fewer files than the cluster has cores.
 
-    CPU-heavy per-row work (regex masking, n-gram hashing) should use every
-    core; a table stored as one large row group scans as one task.  Large
-    inputs already arrive in many splits and are left alone (no shuffle).
+    For the readers of a query: CPU-heavy per-row work (regex masking, n-gram
+    hashing) should use every core, and a table stored as one row group scans
+    as one task.  Only the list of files is looked at, no stage runs; tables
+    of many files are left alone.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if len(df.inputFiles()) >= target:
         return df
     return df.repartition(target, *cols) if cols else df.repartition(target)

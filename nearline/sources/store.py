@@ -1,30 +1,35 @@
 """Point store and lookup table as log-structured Parquet folders.
 
-Layout under ``root``: ``_meta`` (one JSON row: dim, distance, key) and
-``data/batch_id=N`` partitions.  Every write is one batch partition written
-with dynamic partition overwrite, so re-running a batch (a retried
-micro-batch, a restarted job) replaces exactly its own rows: idempotent.
+Layout under ``root``: ``_meta`` (one JSON row: dim, distance, key),
+``data/seq=N`` (one folder per write) and ``commits`` (which writer's which
+epoch is write N).  A write is named by ``(writer, epoch)``: a stream's
+micro-batch number, or a number that the store deals out itself.  Its place N
+in the log is dealt out once, by creating a file that must not exist yet, so
+two writers never share a place, a stream that starts again at epoch 0 under
+another name overwrites nothing, and a repeated epoch replaces exactly its
+own rows, also when it has none.
 
 * ``mode="last_wins"`` (points, A5): the current view keeps, per key, the
-  row of the highest batch (ties: the latest timestamp column); rows
-  flagged ``__deleted`` hide the key (A12).
+  row of the latest write (ties: the latest order columns); rows flagged
+  ``__deleted`` hide the key (A12).
 * ``mode="first_wins"`` (lookup, A7): a key is inserted only if absent;
-  inside a batch the first row by the order columns wins.
+  inside a write the first row by the order columns wins.
 
-The current view is one aggregate (``max_by``/``min_by`` per key, partial
-aggregation map-side, so a hot key never lands whole in one task).
+The current view picks the winning (write, order) per key on narrow columns
+(a combinable aggregate), then joins the whole rows to it.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 DISTANCES = ("cosine", "euclidean", "dot")
+OWN = "store"                       # the writer of epochs that the store deals out
 
 
 class TableStore:
@@ -48,7 +53,7 @@ class TableStore:
     def create_if_absent(self, **props) -> bool:
         """Write ``_meta``; returns False when the table already exists."""
         if "distance" in props and props["distance"] not in DISTANCES:
-            raise ValueError(f"Unsupported distance metric: {props['distance']}")
+            raise ValueError(f"distance is one of {DISTANCES}, not {props['distance']!r}")
         if self.exists():
             return False
         meta = dict(props, key=self.key, mode=self.mode)
@@ -66,91 +71,117 @@ class TableStore:
 
     def truncate(self) -> None:
         """Delete every row, keep the definition (schema and properties)."""
-        p, fs = self._fs_path("/data")
-        if fs.exists(p):
-            fs.delete(p, True)
+        for sub in ("/data", "/commits", "/places"):
+            p, fs = self._fs_path(sub)
+            if fs.exists(p):
+                fs.delete(p, True)
+
+    # ------------------------------------------------------------ places in the log
+    def _names(self, sub: str) -> list[str]:
+        p, fs = self._fs_path(sub)
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _commits(self) -> dict[tuple[str, int], int]:
+        """(writer, epoch) -> place, from the names of small files alone."""
+        out = {}
+        for name in self._names("/commits"):
+            seq, writer, epoch = name.split("~")
+            out[writer, int(epoch)] = int(seq)
+        return out
+
+    def place(self, writer: str, epoch: int) -> int:
+        """The place of a write; dealt out at its first call, the same ever after."""
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", writer):
+            raise ValueError(f"a writer's name has letters, digits and _.- only: {writer!r}")
+        known = self._commits()
+        if (writer, epoch) in known:
+            return known[writer, epoch]
+        seq = max((int(n) for n in self._names("/places")), default=-1) + 1
+        while True:
+            p, fs = self._fs_path(f"/places/{seq}")
+            if fs.createNewFile(p):
+                break
+            seq += 1
+        p, fs = self._fs_path(f"/commits/{seq:012d}~{writer}~{epoch}")
+        fs.createNewFile(p)
+        return seq
+
+    def next_epoch(self, writer: str = OWN) -> int:
+        return max((e for w, e in self._commits() if w == writer), default=-1) + 1
+
+    def _own(self, epoch: int | None, writer: str) -> int:
+        return self.place(writer, self.next_epoch(writer) if epoch is None else epoch)
 
     # ------------------------------------------------------------ reads
-    def log(self) -> DataFrame:
-        cols = [f.name for f in self.schema.fields]
-        try:
+    def log(self, before: int | None = None) -> DataFrame:
+        """Every row written, with its place (``seq``); ``before``: below that place."""
+        p, fs = self._fs_path("/data")
+        if fs.exists(p):
             df = self.spark.read.schema(self._log_schema()).parquet(self.root + "/data")
-            return df.select(*cols, "__deleted", "batch_id")
-        except AnalysisException:
-            empty = self.spark.createDataFrame([], self._log_schema())
-            return empty.select(*cols, "__deleted", "batch_id")
+        else:
+            df = self.spark.createDataFrame([], self._log_schema())
+        df = df.select(*[f.name for f in self.schema.fields], "__deleted", "seq")
+        return df if before is None else df.where(F.col("seq") < before)
 
     def _log_schema(self) -> T.StructType:
         return T.StructType(list(self.schema.fields) + [T.StructField("__deleted", T.BooleanType(), True),
-                                                        T.StructField("batch_id", T.LongType(), True)])
+                                                        T.StructField("seq", T.LongType(), True)])
 
     def current(self, before: int | None = None) -> DataFrame:
         """Latest (or first) row per key, deleted keys hidden.
 
-        ``before``: the view as it was before batch ``before`` (a replayed
-        batch sees exactly the state its first run saw).
+        ``before``: the view as it was before that place (a repeated write
+        sees exactly the state its first run saw).
         """
-        lg = self.log() if before is None else self.log().where(F.col("batch_id") < before)
         cols = [f.name for f in self.schema.fields]
-        rank = F.struct(F.col("batch_id"), *[F.col(c) for c in self.order])
-        pick = F.max_by if self.mode == "last_wins" else F.min_by
-        row = pick(F.struct(*[F.col(c) for c in cols if c != self.key], F.col("__deleted")), rank)
-        latest = lg.groupBy(self.key).agg(row.alias("__r"))
-        out = latest.where(~F.coalesce(F.col("__r.__deleted"), F.lit(False)))
-        return out.select(self.key, *[F.col(f"__r.{c}").alias(c) for c in cols if c != self.key])
-
-    def next_batch_id(self) -> int:
-        m = self.log().agg(F.max("batch_id")).first()[0]
-        return 0 if m is None else int(m) + 1
+        lg = self.log(before).withColumn("__rank", F.struct("seq", *self.order))
+        pick = F.max if self.mode == "last_wins" else F.min
+        win = lg.groupBy(self.key).agg(pick("__rank").alias("__rank"))
+        rows = lg.join(win, (lg[self.key] == win[self.key]) & lg["__rank"].eqNullSafe(win["__rank"]), "left_semi")
+        return rows.where(~F.coalesce("__deleted", F.lit(False))).select(*cols)
 
     # ------------------------------------------------------------ writes
-    def _write(self, rows: DataFrame, batch_id: int, deleted: Column | None = None) -> None:
-        cols = [f.name for f in self.schema.fields]
-        out = rows.select(*[F.col(c).cast(self.schema[c].dataType) for c in cols],
-                          (deleted if deleted is not None else F.lit(False)).alias("__deleted"),
-                          F.lit(batch_id).cast("long").alias("batch_id"))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(self.root + "/data"))
-
-    def _earlier(self, batch_id: int) -> DataFrame:
-        return self.log().where(F.col("batch_id") < batch_id)
-
-    def upsert(self, rows: DataFrame, batch_id: int | None = None) -> int:
-        """A5: last write wins per key (inside the batch: last by the order columns)."""
-        b = self.next_batch_id() if batch_id is None else batch_id
-        cols = [c for c in (f.name for f in self.schema.fields) if c != self.key]
-        rank = F.struct(*[F.col(c) for c in self.order]) if self.order else F.lit(0)
-        dedup = rows.groupBy(self.key).agg(F.max_by(F.struct(*cols), rank).alias("__r")) \
-            .select(self.key, *[F.col(f"__r.{c}").alias(c) for c in cols])
-        self._write(dedup, b)
-        return b
-
-    def insert_if_absent(self, rows: DataFrame, batch_id: int | None = None) -> int:
-        """Keys already present (in earlier batches) are skipped; first wins."""
-        b = self.next_batch_id() if batch_id is None else batch_id
-        cols = [c for c in (f.name for f in self.schema.fields) if c != self.key]
-        rank = F.struct(*[F.col(c) for c in self.order]) if self.order else F.lit(0)
-        first = rows.groupBy(self.key).agg(F.min_by(F.struct(*cols), rank).alias("__r")) \
+    def _write(self, rows: DataFrame, seq: int, deleted: bool = False) -> None:
+        out = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields], F.lit(deleted).alias("__deleted"))
+        out.write.mode("overwrite").parquet(f"{self.root}/data/seq={seq}")
+
+    def _one_per_key(self, rows: DataFrame, pick) -> DataFrame:
+        cols = [f.name for f in self.schema.fields if f.name != self.key]
+        whole = F.struct(*cols)
+        rank = F.struct(*self.order, F.xxhash64(*[F.col(c).cast("string") for c in cols])) if self.order else F.xxhash64(*[F.col(c).cast("string") for c in cols])
+        return rows.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(pick(whole, rank).alias("__r")) \
             .select(self.key, *[F.col(f"__r.{c}").alias(c) for c in cols])
-        present = self._earlier(b).select(self.key).distinct()
-        self._write(first.join(present, self.key, "left_anti"), b)
-        return b
 
-    def delete_where(self, cond: Column, batch_id: int | None = None) -> int:
+    def upsert(self, rows: DataFrame, epoch: int | None = None, writer: str = OWN) -> int:
+        """A5: last write wins per key (inside the write: last by the order columns)."""
+        seq = self._own(epoch, writer)
+        self._write(self._one_per_key(rows, F.max_by), seq)
+        return seq
+
+    def insert_if_absent(self, rows: DataFrame, epoch: int | None = None, writer: str = OWN) -> int:
+        """Keys already present (in earlier writes) are skipped; first wins."""
+        seq = self._own(epoch, writer)
+        present = self.log(seq).select(self.key).distinct()
+        self._write(self._one_per_key(rows, F.min_by).join(present, self.key, "left_anti"), seq)
+        return seq
+
+    def delete_where(self, cond: Column, epoch: int | None = None, writer: str = OWN) -> int:
         """Tombstones for current rows where ``cond`` holds (null -> kept)."""
-        b = self.next_batch_id() if batch_id is None else batch_id
-        gone = self.current().where(F.coalesce(cond, F.lit(False)))
-        self._write(gone, b, deleted=F.lit(True))
-        return b
+        seq = self._own(epoch, writer)
+        self._write(self.current(seq).where(F.coalesce(cond, F.lit(False))), seq, deleted=True)
+        return seq
 
-    def update_where(self, cond: Column, updates: dict[str, Column], batch_id: int | None = None) -> int:
+    def update_where(self, cond: Column, updates: dict[str, Column], epoch: int | None = None, writer: str = OWN) -> int:
         """Rewrite matching current rows with the given column values."""
-        b = self.next_batch_id() if batch_id is None else batch_id
-        cur = self.current().where(F.coalesce(cond, F.lit(False)))
-        for c, v in updates.items():
-            cur = cur.withColumn(c, v)
-        self._write(cur, b)
-        return b
+        seq = self._own(epoch, writer)
+        self._write(self.current(seq).where(F.coalesce(cond, F.lit(False))).withColumns(updates), seq)
+        return seq
+
+    def replace(self, rows: DataFrame, epoch: int | None = None, writer: str = OWN) -> int:
+        """Write whole rows, one per key already, as the latest ones."""
+        seq = self._own(epoch, writer)
+        self._write(rows, seq)
+        return seq
 
 
 def scroll(df: DataFrame, id_col: str, cond: Column | None = None, batch_size: int = 10,

@@ -2,8 +2,9 @@
 
 Per batch: embed the incoming logs once, match each against the store as
 it was *before* the batch, decide, then write the store (points, last wins)
-and the lookup table (first wins).  Both writes are keyed by ``batch_id``
-(dynamic partition overwrite), so a replayed micro-batch changes nothing.
+and the lookup table (first wins).  Both writes are named by (writer, epoch) and
+have a fixed place in the stores' logs, so a replayed micro-batch sees the
+store as its first run did and changes nothing.
 
 Matching (F1, k=1) uses the band buckets of the stored points: each bucket
 is represented by its smallest stored id (its head); an incoming log's
@@ -15,6 +16,7 @@ equal signature slots) is offered as the better-behaved choice.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from ..operators import minhash as M
 from ..operators.skew import salted_join
 from ..operators.vectors import cosine
 from ..session import cut_lineage
-from ..sources.store import TableStore
+from ..sources.store import OWN, TableStore
 
 
 @dataclass(frozen=True)
@@ -101,28 +103,39 @@ def decide(incoming: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
 
 
 def ingest(logs: DataFrame, points: TableStore, lookup: TableStore, cfg: GateConfig,
-           batch_id: int | None = None) -> DataFrame:
-    """K1: gate one batch; returns the materialised decisions of the batch."""
-    b = points.next_batch_id() if batch_id is None else batch_id
+           epoch: int | None = None, writer: str = OWN, skip_seen: bool = False) -> DataFrame:
+    """K1: gate one batch; returns the materialised decisions of the batch.
+
+    ``skip_seen`` (K4): records whose id the lookup table held before this
+    batch are left out.  Seen ids are looked up in the table, so a record may
+    come back at any time.
+    """
+    epoch = points.next_epoch(writer) if epoch is None else epoch
+    place, look_place = points.place(writer, epoch), lookup.place(writer, epoch)
+    name = f"{writer}-{epoch}"
+    rows = embed_logs(logs, cfg)
+    if skip_seen:
+        rows = rows.join(lookup.log(look_place).select("id").distinct(), "id", "left_anti")
     # Embedded once: matching, deciding and both writes read it.
-    incoming = cut_lineage(embed_logs(logs, cfg), f"embedded-{b}")
-    stored = cut_lineage(points.current(before=b), f"stored-{b}")
+    incoming = cut_lineage(rows, f"embedded-{name}")
+    stored = cut_lineage(points.current(place).select("id", "signature", "band_keys"), f"stored-{name}")
     decisions = decide(incoming, match(incoming, stored, cfg.metric), cfg.threshold)
     if cfg.dedupe_within_batch:
-        first = decisions.groupBy("signature").agg(F.min("id").alias("__first"))
-        decisions = decisions.join(first, "signature", "left").withColumn(
-            "decision", F.when((F.col("decision") == "new") & (F.col("id") != F.col("__first")),
-                               F.lit("duplicate")).otherwise(F.col("decision"))).withColumn(
-            "closest_log_id", F.when(F.col("id") != F.col("__first"), F.col("__first"))
-            .otherwise(F.col("closest_log_id"))).drop("__first")
-    decisions = cut_lineage(decisions, f"ingest-{b}")          # fixed before the store moves
+        # Only among the rows that would be stored: the first of equal ones is.
+        new = F.col("decision") == "new"
+        first = decisions.where(new).groupBy("signature").agg(F.min("id").alias("__first"))
+        twin = new & (F.col("id") != F.col("__first"))
+        decisions = salted_join(decisions, first, ["signature"], "left", salt_by=["id"]).withColumns({
+            "closest_log_id": F.when(twin, F.col("__first")).otherwise(F.col("closest_log_id")),
+            "decision": F.when(twin, F.lit("duplicate")).otherwise(F.col("decision"))}).drop("__first")
+    decisions = cut_lineage(decisions, f"ingest-{name}")          # fixed before the store moves
     new_points = decisions.where(F.col("decision") == "new").select(
         "id", "signature", "band_keys", "text_payload", "pod_name", "severity", "ts",
         F.lit(False).alias("sim_sync"), F.current_timestamp().alias("insert_ts"))
-    points.upsert(new_points, b)
+    points.upsert(new_points, epoch, writer)
     lookup.insert_if_absent(decisions.select(
         "id", "closest_log_id", F.col("lookup_sim").alias("similarity"), F.col("ts").alias("timestamp"),
-        F.col("pod_name").alias("location")), b)
+        F.col("pod_name").alias("location")), epoch, writer)
     return decisions
 
 
@@ -145,29 +158,26 @@ def sync_edges(points: TableStore, metric: str = "cosine") -> DataFrame:
     return nb.select(F.col("id").alias("src"), F.col("neighbour").alias("dst"), F.col("score").alias("sim"))
 
 
-def mark_synced(points: TableStore, ids: DataFrame, batch_id: int | None = None) -> int:
+def mark_synced(points: TableStore, ids: DataFrame, epoch: int | None = None, writer: str = OWN) -> int:
     """K3 completion: set ``sim_sync`` for the given ids (A13 on the store)."""
-    b = points.next_batch_id() if batch_id is None else batch_id
-    cur = points.current(before=b).join(ids.select("id"), "id", "left_semi")
-    points._write(cur.withColumn("sim_sync", F.lit(True)), b)
-    return b
+    epoch = points.next_epoch(writer) if epoch is None else epoch
+    cur = points.current(points.place(writer, epoch)).join(ids.select("id"), "id", "left_semi")
+    return points.replace(cur.withColumn("sim_sync", F.lit(True)), epoch, writer)
 
 
 def stream_ingest(stream: DataFrame, points: TableStore, lookup: TableStore, cfg: GateConfig,
-                  checkpoint: str, trigger_available_now: bool = True, dedupe_within: str | None = None):
-    """K1 on a stream: ``foreachBatch`` runs :func:`ingest` with the micro-batch id.
+                  checkpoint: str, trigger_available_now: bool = True, skip_seen: bool = False):
+    """K1 on a stream: ``foreachBatch`` runs :func:`ingest` with the micro-batch
+    number, under a writer's name made from the checkpoint's path.
 
-    ``dedupe_within`` (e.g. ``"1 hour"``), K4: records whose content id was
-    already seen within that event-time watermark are dropped before the
-    gate (``dropDuplicatesWithinWatermark``; the state is bounded by the
-    watermark).
+    ``skip_seen`` (K4): see :func:`ingest`.  No watermark is set, so a row
+    that comes late is gated like any other.
     """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        ingest(batch.drop("__id"), points, lookup, cfg, batch_id)
+    writer = "stream-" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        ingest(batch, points, lookup, cfg, epoch, writer, skip_seen)
 
-    if dedupe_within:
-        stream = (stream.withColumn("__id", log_id(F.col("text"), F.col("pod_name"), F.col("severity")))
-                  .withWatermark("ts", dedupe_within).dropDuplicatesWithinWatermark(["__id"]))
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if trigger_available_now:
         w = w.trigger(availableNow=True)

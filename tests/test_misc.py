@@ -2,7 +2,9 @@
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearline.functions import calendar as CAL
 from nearline.functions import envelopes as EN
@@ -40,7 +42,7 @@ def test_envelopes(spark):
     b = base64.b64encode(b'{"a": 1}').decode()
     df = spark.createDataFrame([(f" {b}\n",), (f'{{"b64": "{b}"}}',), (f'{{"body_b64": "{b}"}}',), ('{"x": 1}',),
                                 ("!!notb64",)], "raw string")
-    got = [tuple(r) for r in df.select(EN.unwrap(F.col("raw")).alias("u")).select("u.status_code", "u.body").collect()]
+    got = [tuple(r) for r in df.select(EN.unwrap(F.col("raw")).alias("u")).select("u.status_code", EN.as_text(F.col("u.body"))).collect()]
     assert got == [(200, '{"a": 1}'), (200, '{"a": 1}'), (200, '{"a": 1}'), (400, None), (400, None)]
     t = spark.createDataFrame([("log\n{\"a\": 1}\n\nnoise",), ("5",), ("no json",)], "t string")
     assert [r[0] for r in t.select(EN.last_json_line(F.col("t"))).collect()] == ['{"a": 1}', "5", None]
@@ -132,3 +134,98 @@ def test_gate_dedupe_within_batch(spark, logs):
     assert out[False] == (["new"] * 5, 5)
     # records 3 and 5 normalise to the same text: one of them becomes a duplicate of the other
     assert out[True] == (["duplicate"] + ["new"] * 4, 4)
+
+
+def test_envelopes_of_any_bytes(spark):
+    """Bytes that are no UTF-8 pass as bytes; a b64 that is no string is refused."""
+    import base64
+    raw = base64.b64encode(b"\xff\xfe\x00").decode()
+    df = spark.createDataFrame([(raw,), ('{"b64": 1234}',), ('{"b64": "", "body_b64": "%s"}' % raw,)], "raw string")
+    u = df.select(EN.unwrap(F.col("raw")).alias("u")).select("u.status_code", "u.body", EN.as_text(F.col("u.body"))).collect()
+    assert [(r[0], bytes(r[1]) if r[1] else None, r[2]) for r in u] == [(200, b"\xff\xfe\x00", None), (400, None, None), (200, b"\xff\xfe\x00", None)]
+
+
+def test_strict_records_fail(spark):
+    from nearline.functions import records as R
+    df = spark.createDataFrame([("a", ("p", "t", "s", "x"), None), (None, ("p", "t", "s", "x"), None)], R.RECORD_SCHEMA)
+    assert R.require_valid(df.where("text is not null")).count() == 1
+    with pytest.raises(Exception, match="missing text"):
+        R.require_valid(df).count()
+
+
+USERS = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.IntegerType())])
+
+
+def _store(spark):
+    return S.TableStore(spark, f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}", USERS, "id", "last_wins", ["v"])
+
+
+def _rows(spark, *pairs):
+    return spark.createDataFrame(list(pairs), USERS)
+
+
+def _view(st):
+    return sorted((r.id, r.v) for r in st.current().collect())
+
+
+def test_delete_survives_a_micro_batch(spark):
+    st = _store(spark)
+    st.upsert(_rows(spark, ("a", 1), ("b", 1)), 0, "stream-x")
+    st.delete_where(F.col("id") == "a")
+    st.upsert(_rows(spark, ("c", 1)), 1, "stream-x")
+    assert _view(st) == [("b", 1), ("c", 1)]
+    st.upsert(_rows(spark, ("d", 1)), 0, "stream-y")             # a restart on a new checkpoint
+    assert _view(st) == [("b", 1), ("c", 1), ("d", 1)]
+    st.update_where(F.col("id") == "d", {"v": F.lit(5)}, 0, "op")
+    st.update_where(F.col("id") == "d", {"v": F.col("v") + 1}, 1, "op")
+    st.update_where(F.col("id") == "d", {"v": F.col("v") + 1}, 1, "op")   # repeated: the same state before it
+    assert _view(st) == [("b", 1), ("c", 1), ("d", 6)]
+
+
+def test_empty_repeat_removes_the_rows(spark):
+    st = _store(spark)
+    st.upsert(_rows(spark, ("a", 1)), 0, "w")
+    st.upsert(_rows(spark, ("a", 1)).limit(0), 0, "w")
+    assert _view(st) == []
+
+
+def test_store_faults_are_not_an_empty_store(spark):
+    st = _store(spark)
+    st.upsert(_rows(spark, ("a", 1)))
+    other = S.TableStore(spark, st.root, T.StructType([T.StructField("id", T.ArrayType(T.IntegerType())), T.StructField("v", T.IntegerType())]), "id")
+    with pytest.raises(Exception):
+        other.log().collect()
+
+
+def test_dedupe_points_at_stored_records(spark, logs):
+    root = f"{ensure_checkpoint_dir(spark)}/w-{uuid.uuid4().hex}"
+    pts, look = S.point_store(spark, root), S.lookup_store(spark, root)
+    cfg = IG.GateConfig(M.MinHashParams(5, 64, 16, 3), 0.8, "jaccard", dedupe_within_batch=True)
+    batch = logs.select("text", "pod_name", "severity", F.to_timestamp("timestamp").alias("ts"))
+    IG.ingest(batch.where("pod_name <> 'pod-1'"), pts, look, cfg)
+    IG.ingest(batch.withColumn("pod_name", F.concat("pod_name", F.lit("x"))), pts, look, cfg)
+    stored = {r.id for r in pts.current().collect()}
+    assert {r.closest_log_id for r in look.current().collect()} <= stored
+
+
+def test_late_stream_rows_are_kept(spark, logs):
+    """Files out of order in time: no row is lost."""
+    base = f"{ensure_checkpoint_dir(spark)}/s-{uuid.uuid4().hex}"
+    src = logs.select("n", "text", "pod_name", "severity", F.to_timestamp("timestamp").alias("ts"))
+    src.where("n = 1").drop("n").coalesce(1).write.parquet(f"{base}/in/a")
+    src.where("n > 1").drop("n").coalesce(1).write.parquet(f"{base}/in/b")
+    pts, look = S.point_store(spark, base), S.lookup_store(spark, base)
+    stream = spark.readStream.schema(src.drop("n").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    cfg = IG.GateConfig(M.MinHashParams(5, 64, 16, 7, profile="basic"), 0.8, "jaccard")
+    IG.stream_ingest(stream, pts, look, cfg, f"{base}/ckpt", skip_seen=True).awaitTermination()
+    assert look.current().count() == 5
+
+
+def test_no_scratch_folder_off_local_masters(spark):
+    from nearline.session import is_local
+    assert is_local(spark)
+
+    class Far:
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[2,1,1024]"
+    assert not is_local(Far)
