@@ -3,26 +3,24 @@
 Scores are built-in higher-order expressions (``zip_with`` + ``aggregate``)
 over ``ARRAY<DOUBLE>``, evaluated next to the scan.  Top-k over a table is
 ``orderBy(...).limit(k)`` (TakeOrderedAndProject: each task keeps k rows).
-Batched search never joins: the query vectors are a literal with a checked
-size, every point gets one score per query, and a per-query ``row_number``
-keeps k rows (Spark inserts a WindowGroupLimit below the window, so each
-task also keeps only k rows per query).  Query sets above the size bound are
-searched in chunks of the bound.
+Batched search multiplies blocks of points with the query matrix inside
+tasks and keeps k rows per query and task; one window merges them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import salted_join
+from .tiles import DIGITS, best_partners
 
 METRICS = ("cosine", "euclidean", "dot")
-MAX_QUERY_VALUES = 1_000_000       # literal size bound for one batched pass
 
 
 def _d(v: Column) -> Column:
@@ -98,29 +96,39 @@ def batch_topk(points: DataFrame, id_col: str, vec_col: str, queries: list, k: i
         raise ValueError(f"metric is one of {METRICS}, not {metric!r}")
     if not queries:
         raise ValueError("no queries")
-    dim = len(queries[0])
-    per_pass = max(1, MAX_QUERY_VALUES // max(dim, 1))
-    parts = []
-    for start in range(0, len(queries), per_pass):
-        chunk = queries[start:start + per_pass]
-        fchunk = None if filters is None else filters[start:start + per_pass]
-        parts.append(_batch_pass(points, id_col, vec_col, chunk, start, k, metric, fchunk))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _batch_pass(points, id_col, vec_col, queries, offset, k, metric, filters):
-    v = F.col(vec_col)
-    scores = []
-    for i, q in enumerate(queries):
-        s = score(metric, v, _lit_vec(q))
-        if filters is not None and filters[i] is not None:
-            s = F.when(F.coalesce(filters[i], F.lit(False)), s)
-        scores.append(F.struct(F.lit(offset + i).alias("qid"), s.alias("score")))
-    exploded = (points.select(F.col(id_col), F.explode(F.array(*scores)).alias("__q"))
-                .select(F.col("__q.qid").alias("qid"), F.col(id_col), F.col("__q.score").alias("score"))
-                .where(F.col("score").isNotNull()))
-    w = Window.partitionBy("qid").orderBy(better_first(metric), F.col(id_col).asc())
-    return exploded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    allowed = [F.lit(True) if filters is None or f is None else F.coalesce(f, F.lit(False)) for f in (filters or [None] * len(queries))]
+    matrix = np.asarray(queries, dtype=np.float64)
+    costs = cost_blocks(metric)
+
+    def run(batches):
+        best: list[list] = [[] for _ in queries]             # (cost, id), at most k each
+
+        def keep(q, cost, ids):
+            order = np.lexsort((ids, cost))[:k]
+            best[q] = sorted([*best[q], *zip(cost[order].tolist(), ids[order].tolist())])[:k]
+
+        for b in batches:
+            lists = b.column("v")
+            if not len(lists):
+                continue
+            block = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+            ids, ok = b.column("id").to_numpy(zero_copy_only=False), np.stack(b.column("ok").to_pylist())
+            for a in range(0, len(block), 4096):
+                m = np.round(costs(block[a:a + 4096], matrix), DIGITS)
+                for q in range(len(queries)):
+                    use = np.flatnonzero(ok[a:a + 4096, q])
+                    if len(use):
+                        keep(q, m[use, q], ids[a:a + 4096][use])
+        rows = [(q, c, i) for q, found in enumerate(best) for c, i in found]
+        if rows:
+            qs, cs, ids = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int32()), pa.array(ids, pa.int64()), pa.array(cs, pa.float64())], names=["qid", "id", "cost"])
+
+    src = points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _d(F.col(vec_col)).alias("v"), F.array(*allowed).alias("ok"))
+    merged = src.mapInArrow(run, "qid int, id long, cost double")
+    w = Window.partitionBy("qid").orderBy("cost", "id")
+    return (merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("qid", F.col("id").alias(id_col), (F.col("cost") if metric == "euclidean" else -F.col("cost")).alias("score"), "rank"))
 
 
 # ------------------------------------------------------------ SimHash LSH
@@ -152,15 +160,37 @@ def simhash_band_keys(vec: Column, planes: list[list[float]], bands: int) -> Col
     return F.array(*keys)
 
 
+def bits_per_band(rows: int, bucket_rows: int = 64) -> int:
+    """So many sign bits that a bucket holds about ``bucket_rows`` rows."""
+    return max(2, math.ceil(math.log2(max(rows, 1) / bucket_rows)))
+
+
+def cost_blocks(metric: str):
+    """The matrix of costs (less is better) between two blocks of vectors."""
+    def costs(a, b):
+        if metric == "euclidean":
+            return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0))
+        product = a @ b.T
+        if metric == "dot":
+            return -product
+        norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+        return -np.where(norms == 0, 0.0, product / np.where(norms == 0, 1.0, norms))
+    return costs
+
+
 def lsh_neighbours(points: DataFrame, id_col: str, vec_col: str, metric: str = "cosine",
-                   nbits: int = 16, bands: int = 4, seed: int = 7) -> DataFrame:
-    """Each point's best *other* point among its SimHash star candidates."""
-    from ..session import cut_lineage
-    planes = hyperplanes(nbits, _dim(points, vec_col), seed)
-    # bucket keys are read four times (minima, hot keys, star join): write them once
-    keyed = cut_lineage(points.select(F.col(id_col), F.explode(simhash_band_keys(F.col(vec_col), planes, bands))
-                                      .alias("bk")), "simhash_keys")
-    return star_neighbours(keyed, points.select(id_col, vec_col), id_col, vec_col, metric)
+                   bands: int = 4, seed: int = 7) -> DataFrame:
+    """Each point's best *other* point among all points that share a
+    SimHash band with it: ``(id, neighbour, score)``; a point alone in all
+    its buckets has no row.  The number of sign bits follows the row count."""
+    if metric not in METRICS:
+        raise ValueError(f"metric is one of {METRICS}, not {metric!r}")
+    bits = bits_per_band(points.count())
+    planes = hyperplanes(bands * bits, _dim(points, vec_col), seed)
+    keys = F.explode(simhash_band_keys(F.col(vec_col), planes, bands)).alias("bk")
+    best = best_partners(points.select(id_col, vec_col, keys), "bk", id_col, vec_col, cost_blocks(metric))
+    score_col = F.col("cost") if metric == "euclidean" else -F.col("cost")
+    return best.select(id_col, F.col("partner").alias("neighbour"), score_col.alias("score"))
 
 
 def star_neighbours(keyed: DataFrame, vecs: DataFrame, id_col: str, vec_col: str,

@@ -111,26 +111,28 @@ def q_batch_search_filtered(spark, sf):
                       F.round("score", 6).alias("score"))
 
 
-NBITS, BANDS, SEED = 16, 4, 7
+BANDS, SEED, MOST_BITS = 4, 7, 8      # the oracle has planes for 8 bits a band, 16,384 rows
 
 
 def _self_nearest_sql() -> str:
-    planes = V.hyperplanes(NBITS, DIM, SEED)
-    r = NBITS // BANDS
-    bits = [f"(CASE WHEN {dot_sql('e', _arr(p))} >= 0 THEN '1' ELSE '0' END)" for p in planes]
-    keys = ", ".join(f"'b:{b}:' || " + " || ".join(bits[b * r:(b + 1) * r]) for b in range(BANDS))
-    return f"""WITH keyed AS (
-  SELECT vec_id, unnest([{keys}]) AS bk FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
-reps AS (SELECT bk, min(vec_id) AS rep FROM keyed GROUP BY bk),
-star AS (SELECT k.vec_id AS a, r.rep AS b FROM keyed k JOIN reps r USING (bk) WHERE k.vec_id <> r.rep),
-both_ AS (SELECT a, b FROM star UNION SELECT b AS a, a AS b FROM star),
-scored AS (SELECT x.a, x.b, {score_sql('cosine', 'ea.embedding::DOUBLE[]', 'eb.embedding::DOUBLE[]')} AS score
-  FROM both_ x JOIN embeddings ea ON ea.vec_id = x.a JOIN embeddings eb ON eb.vec_id = x.b)
+    """From the definition: the best among all that share a band, by a plain self-join."""
+    cuts = []
+    for bits in range(2, MOST_BITS + 1):
+        planes = V.hyperplanes(BANDS * bits, DIM, SEED)
+        sign = [f"(CASE WHEN {dot_sql('e', _arr(p))} >= 0 THEN '1' ELSE '0' END)" for p in planes]
+        keys = ", ".join(f"'b:{b}:' || " + " || ".join(sign[b * bits:(b + 1) * bits]) for b in range(BANDS))
+        cuts.append(f"SELECT vec_id, unnest([{keys}]) AS bk FROM e WHERE (SELECT bits FROM n) = {bits}")
+    return f"""WITH n AS (SELECT greatest(2, ceil(log2(count(*) / 64)))::INTEGER AS bits FROM embeddings),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+keyed AS ({" UNION ALL ".join(cuts)}),
+both_ AS (SELECT DISTINCT x.vec_id AS a, y.vec_id AS b FROM keyed x JOIN keyed y ON x.bk = y.bk AND x.vec_id <> y.vec_id),
+scored AS (SELECT x.a, x.b, round({score_sql('cosine', 'ea.e', 'eb.e')}, {V.DIGITS}) AS score
+  FROM both_ x JOIN e ea ON ea.vec_id = x.a JOIN e eb ON eb.vec_id = x.b)
 SELECT a AS vec_id, b AS neighbour, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM scored) WHERE rn = 1"""
 
 
 @register("self_nearest", "F4 H2 D8", _self_nearest_sql)
 def q_self_nearest(spark, sf):
-    out = V.lsh_neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding", "cosine", NBITS, BANDS, SEED)
+    out = V.lsh_neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding", "cosine", BANDS, SEED)
     return out.select("vec_id", "neighbour", F.round("score", 6).alias("score"))
