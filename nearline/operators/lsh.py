@@ -1,20 +1,24 @@
-"""LSH candidate generation and near-duplicate grouping.
-
-Candidates come from band buckets: documents sharing a band key.  A bucket
-may hold a third of all rows (boilerplate, exact copies), so no operator
-here pairs up the members of a bucket.  Each bucket is a *star* instead:
-every member is linked to the bucket's representative (its smallest id).
-That is O(rows x bands) edges whatever the bucket sizes, and every edge is
-verified with the exact Jaccard of the gram-hash sets.  The star links of
-each document, best first, form an out-degree-1 forest pointing at smaller
-ids; pointer jumping resolves it into clusters.
-
-The bucket minimum is a combinable aggregate (map-side partial, skew-proof);
-the joins back onto hot buckets and hot representatives are salted.
+"""LSH candidates and near-duplicate grouping.
+
+Candidates of a document are all documents that share a band key with it.
+A bucket may hold a third of all rows (boilerplate, exact copies), so its
+members are never paired up in a table:
+
+1. equal gram sets become one row (exact copies are the bulk of a bucket);
+2. all members of a bucket join the group of the bucket's smallest id, so
+   that every two documents with a common bucket have a common group;
+3. a group's members are compared in tiles of two chunks inside tasks, by the
+   exact Jaccard of their gram sets where they share a band, and each row
+   leaves with its best partner only.
+
+The best links form a graph in which every cycle is a mutual pair; the smaller
+id of such a pair is the centre, and pointer jumping resolves the rest.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,9 @@ from . import minhash as M
 from ..session import cut_lineage
 from .graph import resolve_forest
 from .skew import salted_join
+from .tiles import tiled
+
+BITMAP_BYTES = 64 << 20
 
 
 def band_rows(sig: DataFrame, id_col: str) -> DataFrame:
@@ -29,63 +36,105 @@ def band_rows(sig: DataFrame, id_col: str) -> DataFrame:
     return sig.select(F.col(id_col), F.explode("band_keys").alias("band_key"))
 
 
-def star_edges(bands: DataFrame, id_col: str) -> DataFrame:
-    """``(id, rep)`` links from each member to its bucket's smallest id.
-
-    Duplicate links over several bands are merged; a document that is the
-    smallest member of all its buckets gets no link.
-    """
-    reps = bands.groupBy("band_key").agg(F.min(id_col).alias("rep"))
-    linked = salted_join(bands, reps, ["band_key"], "inner", salt_by=[id_col])
-    return linked.where(F.col(id_col) != F.col("rep")).select(id_col, "rep").distinct()
-
-
-def verify_edges(edges: DataFrame, sets: DataFrame, id_col: str, left: str = "rep") -> DataFrame:
-    """C11 on each link: join both gram sets and compute the exact Jaccard.
-
-    ``sets(id, grams)``.  The representative side is hot by nature (one
-    representative per bucket), hence the salted join.
-    """
-    a = edges.join(sets.select(F.col(id_col), F.col("grams").alias("__ga")), id_col)
-    b = sets.select(F.col(id_col).alias(left), F.col("grams").alias("__gb"))
-    j = salted_join(a, b, [left], "inner", salt_by=[id_col])
-    return j.select(id_col, left, M.exact_jaccard(F.col("__ga"), F.col("__gb")).alias("jaccard"))
-
-
-def best_link(verified: DataFrame, id_col: str, threshold: float, partner: str = "rep") -> DataFrame:
-    """F1 (k=1): best verified partner per id, ties to the smallest partner id."""
-    ok = verified.where(F.col("jaccard") >= F.lit(threshold))
-    return ok.groupBy(id_col).agg(
-        F.min_by(F.col(partner), F.struct(-F.col("jaccard"), F.col(partner))).alias(partner),
-        F.max("jaccard").alias("jaccard"))
+def bucket_groups(bands: DataFrame, id_col: str) -> DataFrame:
+    """``(head, id)``: the members of the groups of the buckets' smallest
+    ids, the heads themselves among them; buckets of one row give none."""
+    heads = bands.groupBy("band_key").agg(F.min(id_col).alias("head"), F.count(F.lit(1)).alias("__rows")).where("__rows > 1").drop("__rows")
+    return salted_join(bands, heads, ["band_key"], "inner", salt_by=[id_col]).select("head", id_col).distinct()
+
+
+def head_links(bands: DataFrame, id_col: str) -> DataFrame:
+    """``(id, rep)``: each row and the smallest ids of its buckets, itself left out."""
+    return bucket_groups(bands, id_col).where(F.col("head") != F.col(id_col)).select(id_col, F.col("head").alias("rep"))
+
+
+def _best_in_tile(ids: np.ndarray, own: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each row's best partner (-1: none) and the Jaccard.  Rows
+    are in order of their ids; only rows that share a band count, and in a
+    tile of two chunks only pairs across."""
+    m = len(ids)
+    size = np.array([len(s) for s in sets])
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1                         # grams of one row only are in no intersection
+    shared = [place[x][count[x] > 1] for x in np.split(number, np.cumsum(size)[:-1])]
+    width = (int((count > 1).sum()) // 64 + 1) * 8
+    bits = None
+    if m * width <= BITMAP_BYTES:                            # as bits where they fit, with the same counts
+        bits = np.zeros((m, width), np.uint8)
+        for i, s in enumerate(shared):
+            flags = np.zeros(width * 8, bool)
+            flags[s] = True
+            bits[i] = np.packbits(flags)
+        bits = bits.view(np.uint64)
+    cross = own.min() != own.max()
+    partner, best = np.full(m, -1), np.zeros(m)
+    for i in range(m):
+        js = np.flatnonzero((bands == bands[i]).any(axis=1) & ((own != own[i]) if cross else np.ones(m, bool)))
+        js = js[js != i]
+        if not len(js):
+            continue
+        if bits is not None:
+            inter = np.concatenate([np.bitwise_count(bits[i][None, :] & bits[js[s:s + 256]]).sum(axis=1, dtype=np.int64) for s in range(0, len(js), 256)])
+        else:
+            inter = np.array([len(np.intersect1d(shared[i], shared[j], assume_unique=True)) for j in js])
+        jaccard = inter / np.maximum(size[i] + size[js] - inter, 1)
+        k = int(jaccard.argmax())                            # the first greatest: the smaller id
+        partner[i], best[i] = js[k], jaccard[k]
+    return partner, best
+
+
+def best_links(docs: DataFrame, id_col: str, text_col: str, params: M.MinHashParams, threshold: float, chunk: int = 500) -> DataFrame:
+    """F1 (k=1): ``(id, rep, jaccard)``: the best partner of each document
+    among all that share a band with it, ties to the smaller id, where the
+    exact Jaccard reaches ``threshold``."""
+    sets = M.gram_sets(docs, id_col, text_col, params).withColumn("grams", F.sort_array("grams"))
+    sets = cut_lineage(sets.withColumn("__set", F.md5(F.array_join("grams", ",").cast("binary"))), "gram_sets")
+    copies = cut_lineage(sets.groupBy("__set").agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("__copies")), "gram_set_firsts")
+    # Copies: all but the first point at it, the first at the next one.
+    copied = salted_join(sets.select(id_col, "__set"), copies.where("__copies > 1").drop("__copies"), ["__set"], "inner", salt_by=[id_col])
+    later = copied.where(F.col(id_col) != F.col("__first"))
+    equal = later.select(F.col(id_col), F.col("__first").alias("rep")).unionByName(
+        later.groupBy("__first").agg(F.min(id_col).alias("rep")).select(F.col("__first").alias(id_col), "rep")).withColumn("jaccard", F.lit(1.0))
+    firsts = sets.join(copies.select(F.col("__first").alias(id_col)), id_col, "left_semi").drop("__set")
+    keys = F.transform("band_keys", lambda k: F.xxhash64(k))
+    sig = cut_lineage(M.signatures_from_sets(firsts, id_col, params).select(id_col, "band_keys", keys.alias("bands")), "bands")
+    groups = cut_lineage(bucket_groups(band_rows(sig, id_col), id_col), "bucket_groups")
+    rows = (tiled(groups, "head", id_col, chunk).join(sig.select(id_col, "bands"), id_col)
+            .join(firsts.select(id_col, "grams"), id_col))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t.column(id_col).to_numpy(), kind="stable")))
+        ids = t.column(id_col).to_numpy()
+        partner, best = _best_in_tile(ids, t.column("__own").to_numpy(), np.stack(t.column("bands").to_pylist()),
+                                      [np.asarray(x, np.int64) for x in t.column("grams").to_pylist()])
+        ok = np.flatnonzero(partner >= 0)
+        return pa.table({id_col: pa.array(ids[ok]), "rep": pa.array(ids[partner[ok]]), "jaccard": pa.array(best[ok])})
+
+    found = rows.groupBy("head", "__ti", "__tk").applyInArrow(run, f"{id_col} long, rep long, jaccard double").where(F.col("jaccard") >= threshold)
+    rank = F.struct((-F.col("jaccard")).alias("c"), F.col("rep"), "jaccard")
+    return (found.unionByName(equal).groupBy(id_col).agg(F.min(rank).alias("w"))
+            .select(id_col, F.col("w.rep").alias("rep"), F.col("w.jaccard").alias("jaccard")))
 
 
 def near_dup_clusters(docs: DataFrame, id_col: str, text_col: str, params: M.MinHashParams,
                       threshold: float = 0.8) -> DataFrame:
     """Flagship: ``(id, cluster_id, similarity)`` for every document.
 
-    normalise -> shingle -> MinHash -> band keys -> star links -> exact
-    Jaccard >= threshold -> best link -> clusters (bottleneck similarity to
-    the cluster root, 1.0 for the root itself).
+    normalise -> shingle -> MinHash -> band keys -> best link -> clusters.
+    ``cluster_id`` is the cluster's smallest id, ``similarity`` the weakest
+    link on the way to its centre (1.0 at the centre).
     """
-    # Gram sets are written once: the signature/band path and both gram-set
-    # joins of the verification read them.
-    sets = cut_lineage(M.gram_sets(docs, id_col, text_col, params), "gram_sets")
-    sig = cut_lineage(M.signatures_from_sets(sets, id_col, params).select(id_col, "band_keys"), "bands")
-    edges = cut_lineage(star_edges(band_rows(sig, id_col), id_col), "star_edges")
-    links = best_link(verify_edges(edges, sets, id_col), id_col, threshold)
-    roots = resolve_forest(links.select(F.col(id_col).alias("node"), F.col("rep").alias("nxt"),
-                                        F.col("jaccard").alias("w")),
-                           docs.select(id_col), "min")
-    return roots.select(F.col("node").alias(id_col), F.col("root").alias("cluster_id"),
-                        F.round("sim", 6).alias("similarity"))
+    links = cut_lineage(best_links(docs, id_col, text_col, params, threshold), "best_links")
+    back = links.select(F.col(id_col).alias("rep"), F.col("rep").alias(id_col), F.lit(True).alias("__mutual"))
+    forest = links.join(back, [id_col, "rep"], "left").where(F.col("__mutual").isNull() | (F.col("rep") < F.col(id_col)))
+    roots = cut_lineage(resolve_forest(forest.select(F.col(id_col).alias("node"), F.col("rep").alias("nxt"), F.col("jaccard").alias("w")),
+                                       docs.select(id_col), "min"), "near_roots")
+    least = roots.groupBy("root").agg(F.min("node").alias("cluster_id"))
+    return salted_join(roots, least, ["root"], "inner", salt_by=["node"]).select(
+        F.col("node").alias(id_col), "cluster_id", F.round("sim", 6).alias("similarity"))
 
 
 def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, params: M.MinHashParams,
                    threshold: float = 0.8) -> DataFrame:
-    """Verified star links ``(id, rep, jaccard)`` with jaccard >= threshold."""
-    sets = cut_lineage(M.gram_sets(docs, id_col, text_col, params), "gram_sets")
-    sig = cut_lineage(M.signatures_from_sets(sets, id_col, params).select(id_col, "band_keys"), "bands")
-    ver = verify_edges(star_edges(band_rows(sig, id_col), id_col), sets, id_col)
-    return ver.where(F.col("jaccard") >= threshold).select(
-        id_col, "rep", F.round("jaccard", 6).alias("jaccard"))
+    """The best link of each document, ``(id, rep, jaccard)``, from ``threshold``."""
+    return best_links(docs, id_col, text_col, params, threshold).withColumn("jaccard", F.round("jaccard", 6))

@@ -23,7 +23,7 @@ def _jaccard_sql(a: str, b: str) -> str:
 
 
 def _verified_sql(p: M.MinHashParams) -> str:
-    """CTE list up to ``ver(doc_id, rep, jaccard)``."""
+    """CTE list up to ``nn(doc_id, rep, jaccard)``: by definition, every two that share a band."""
     g = M.grams_sql("documents", "doc_id", "text", p)
     sig = M.signature_sql("documents", "doc_id", "text", p)
     bands = M.band_rows_sql("SELECT * FROM sig", "doc_id", p)
@@ -31,25 +31,25 @@ def _verified_sql(p: M.MinHashParams) -> str:
 g AS ({g}),
 sig AS ({sig}),
 bands AS ({bands}),
-reps AS (SELECT band_key, min(doc_id) AS rep FROM bands GROUP BY band_key),
-edges AS (SELECT DISTINCT b.doc_id, r.rep FROM bands b JOIN reps r USING (band_key) WHERE b.doc_id <> r.rep),
+edges AS (SELECT DISTINCT x.doc_id, y.doc_id AS rep FROM bands x JOIN bands y ON x.band_key = y.band_key AND x.doc_id <> y.doc_id),
 sets AS (SELECT d.doc_id, coalesce(x.grams, []::BIGINT[]) AS grams FROM documents d
          LEFT JOIN (SELECT doc_id, list(DISTINCT gram_hash) AS grams FROM g GROUP BY doc_id) x USING (doc_id)),
 ver AS (SELECT e.doc_id, e.rep, {_jaccard_sql('a.grams', 'b.grams')} AS jaccard
-        FROM edges e JOIN sets a ON a.doc_id = e.doc_id JOIN sets b ON b.doc_id = e.rep)"""
+        FROM edges e JOIN sets a ON a.doc_id = e.doc_id JOIN sets b ON b.doc_id = e.rep),
+nn AS (SELECT doc_id, rep, jaccard FROM (
+         SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, rep) AS rn
+         FROM ver WHERE jaccard >= {THRESHOLD}) WHERE rn = 1)"""
 
 
-def near_dup_clusters_sql(p: M.MinHashParams = FLAGSHIP, t: float = THRESHOLD) -> str:
+def near_dup_clusters_sql(p: M.MinHashParams = FLAGSHIP) -> str:
     return f"""WITH RECURSIVE {_verified_sql(p)},
-nn AS (SELECT doc_id, rep, jaccard FROM (
-         SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, rep) AS rn
-         FROM ver WHERE jaccard >= {t}) WHERE rn = 1),
+fwd AS (SELECT n.* FROM nn n LEFT JOIN nn m ON m.doc_id = n.rep AND m.rep = n.doc_id WHERE m.doc_id IS NULL OR n.rep < n.doc_id),
 walk AS (
-  SELECT d.doc_id, d.doc_id AS cluster_id, 1.0::DOUBLE AS similarity FROM documents d
-  WHERE d.doc_id NOT IN (SELECT doc_id FROM nn)
+  SELECT d.doc_id, d.doc_id AS root, 1.0::DOUBLE AS similarity FROM documents d
+  WHERE d.doc_id NOT IN (SELECT doc_id FROM fwd)
   UNION ALL
-  SELECT nn.doc_id, w.cluster_id, least(w.similarity, nn.jaccard) FROM nn JOIN walk w ON nn.rep = w.doc_id)
-SELECT doc_id, cluster_id, round(similarity, 6) AS similarity FROM walk"""
+  SELECT f.doc_id, w.root, least(w.similarity, f.jaccard) FROM fwd f JOIN walk w ON f.rep = w.doc_id)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS cluster_id, round(similarity, 6) AS similarity FROM walk"""
 
 
 @register("near_dup_clusters", "B18 C2 C3 C5 C6 C7 D8 F3 C11 F1 G1 H7 I6", near_dup_clusters_sql,
@@ -59,13 +59,13 @@ def q_near_dup_clusters(spark, sf):
     return lsh.near_dup_clusters(docs, "doc_id", "text", FLAGSHIP, THRESHOLD)
 
 
-def near_dup_pairs_sql(p: M.MinHashParams = FLAGSHIP, t: float = THRESHOLD) -> str:
+def near_dup_pairs_sql(p: M.MinHashParams = FLAGSHIP) -> str:
     return f"""WITH {_verified_sql(p)}
-SELECT doc_id, rep, round(jaccard, 6) AS jaccard FROM ver WHERE jaccard >= {t}"""
+SELECT doc_id, rep, round(jaccard, 6) AS jaccard FROM nn"""
 
 
 @register("near_dup_pairs", "D8 F3 C11 H6", near_dup_pairs_sql,
-          note="verified star links (member, bucket representative)")
+          note="best verified link of each document")
 def q_near_dup_pairs(spark, sf):
     docs = spread(table(spark, sf, "documents"), "doc_id")
     return lsh.near_dup_pairs(docs, "doc_id", "text", FLAGSHIP, THRESHOLD)

@@ -62,7 +62,7 @@ JOIN bk ka ON ka.doc_id = e.doc_id JOIN bk kb ON kb.doc_id = e.rep"""
 def q_signature_similarity(spark, sf):
     from ..operators.vectors import cosine
     sig = cut_lineage(M.signatures(spread(table(spark, sf, "documents"), "doc_id"), "doc_id", "text", P), "signatures")
-    edges = lsh.star_edges(lsh.band_rows(sig, "doc_id"), "doc_id")
+    edges = lsh.head_links(lsh.band_rows(sig, "doc_id"), "doc_id")
     a = sig.select("doc_id", F.col("signature").alias("sa"), F.col("band_keys").alias("ka"))
     b = sig.select(F.col("doc_id").alias("rep"), F.col("signature").alias("sb"), F.col("band_keys").alias("kb"))
     j = lsh.salted_join(edges.join(a, "doc_id"), b, ["rep"], "inner", salt_by=["doc_id"])
