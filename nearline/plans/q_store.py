@@ -142,7 +142,10 @@ def q_parameterised_sql(spark, sf):
         args={"start": "1996-01-01 00:00:00", "status": "F"}, orders=table(spark, sf, "orders"))
 
 
-@register("store_lifecycle", "A3 A4 A6 A8 A9", None, note="side effects on table folders; pytest checks them")
+@register("store_lifecycle", "A3 A4 A6 A8 A9", """
+SELECT 'created' AS step, 1::BIGINT AS value UNION ALL SELECT 'created_again', 0
+UNION ALL SELECT 'rows_before_clear', count(*) FROM events UNION ALL SELECT 'rows_after_clear', 0
+UNION ALL SELECT 'dropped', 1 UNION ALL SELECT 'recreated', 1""")
 def q_store_lifecycle(spark, sf):
     root = _root(spark, "life")
     pts, look = S.point_store(spark, root), S.lookup_store(spark, root)
@@ -253,9 +256,11 @@ def q_sync_edges(spark, sf):
     return edges.select("src", "dst", F.round("sim", 6).alias("sim"))
 
 
-@register("stream_ingest", "K1 K4", None,
-          note="documents as a file stream through foreachBatch(ingest), availableNow; rows-only, "
-               "pytest compares it with the batch gate")
+@register("stream_ingest", "K1 K4", """
+SELECT DISTINCT id, id AS closest_log_id, 1.0::DOUBLE AS similarity
+FROM (SELECT md5(text || '-' || json_object('pod_name', source, 'severity', lang)::VARCHAR) AS id FROM documents)""",
+          note="documents as a file stream through foreachBatch(ingest), availableNow, into an empty store: "
+               "every record is new; pytest compares two batches with the batch gate")
 def q_stream_ingest(spark, sf):
     docs = table(spark, sf, "documents")
     # The file source needs a directory: the stream watches the table folder
@@ -270,3 +275,38 @@ def q_stream_ingest(spark, sf):
     q = IG.stream_ingest(logs, pts, look, cfg, root + "/_stream_checkpoint", skip_seen=True)
     q.awaitTermination()
     return look.current().select("id", "closest_log_id", F.round("similarity", 6).alias("similarity"))
+
+
+SEARCH = "ERROR 2024-01-05T00:00:00Z user_id=323e4567-e89b-12d3-a456-426614174131 ip=10.0.1.2 took 50ms code 3 props none"
+
+
+def _search_sql(cond: str) -> str:
+    p = GATE.params
+    sig = M.signature_sql("(SELECT DISTINCT id, text FROM lg UNION ALL SELECT 'probe', '" + SEARCH + "')", "id", "text", p)
+    eq = (f"list_sum(list_transform(range(1, {p.num_hashes} + 1), lambda i: (a.signature[i] = b.signature[i])::INTEGER)) / {p.num_hashes}")
+    return f"""WITH logs AS ({LOG_LINES_SQL}),
+lg AS (SELECT md5(text || '-' || json_object('pod_name', pod_name, 'severity', severity)::VARCHAR) AS id, text, severity, pod_name FROM logs),
+sig AS ({sig})
+SELECT a.id, round({eq}, 6) AS score, severity FROM sig a JOIN sig b ON b.id = 'probe'
+JOIN (SELECT DISTINCT id, severity, pod_name FROM lg) l ON l.id = a.id WHERE {cond} ORDER BY {eq} DESC, a.id LIMIT 10"""
+
+
+def _filled(spark, sf):
+    """A log store that holds every log line as a point."""
+    from ..sources.log_store import LogStore
+    st = LogStore(spark, _root(spark, "search"), GATE)
+    st.create()
+    rows = IG.embed_logs(log_lines(spark, sf), GATE)
+    st.points.upsert(rows.withColumn("sim_sync", F.lit(False)).withColumn("insert_ts", F.lit(None).cast("timestamp")))
+    return st
+
+
+@register("search_text", "D4 D6 A9", lambda: _search_sql("true"))
+def q_search_text(spark, sf):
+    return _filled(spark, sf).search_text(SEARCH, 10).select("id", F.round("score", 6).alias("score"), "severity")
+
+
+@register("search_text_filtered", "D5 D7 E2", lambda: _search_sql("severity IN ('VIEW', 'CLICK') AND pod_name <> 'pod-0'"))
+def q_search_text_filtered(spark, sf):
+    specs = [{"key": "severity", "op": "in", "value": ["VIEW", "CLICK"]}, {"key": "pod_name", "op": "not_in", "value": ["pod-0"]}]
+    return _filled(spark, sf).search_text(SEARCH, 10, specs).select("id", F.round("score", 6).alias("score"), "severity")

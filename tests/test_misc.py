@@ -229,3 +229,21 @@ def test_no_scratch_folder_off_local_masters(spark):
         class sparkContext:  # noqa: N801
             master = "local-cluster[2,1,1024]"
     assert not is_local(Far)
+
+
+def test_log_store(spark, logs):
+    from nearline.sources.log_store import LogStore
+    st = LogStore(spark, f"{ensure_checkpoint_dir(spark)}/ls-{uuid.uuid4().hex}", IG.GateConfig(M.MinHashParams(5, 64, 16, 3), 0.8, "jaccard"))
+    assert st.create() and not st.create()
+    batch = logs.select("text", "pod_name", "severity", F.to_timestamp("timestamp").alias("ts"))
+    assert st.insert(batch).count() == 5
+    top = st.search_text(batch.first()["text"], 2).collect()
+    assert top[0].score == 1.0 and len(top) == 2
+    assert {r.pod_name for r in st.search_text("anything", 5, {"key": "pod_name", "op": "equals", "value": "pod-2"}).collect()} == {"pod-2"}
+    page, _ = st.scroll(batch_size=3)
+    assert page.count() == 3 and st.near_occurrences([top[0].id]).count() == 1
+    assert st.sync().count() >= 1 and st.points.current().where("sim_sync").count() >= 1
+    st.clear()
+    assert st.points.current().count() == 0 and not st.create()
+    st.reset()
+    assert st.points.exists() and st.lookup.exists()
