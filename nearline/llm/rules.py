@@ -31,7 +31,6 @@ from .common import SPACE
 
 SIGNS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TOKEN = r"[a-zA-Z0-9\x80-\x{10FFFF}]+|[!-/:-@\[-`{-~]+"
 SCALE = 10_000
 
@@ -45,17 +44,21 @@ class RuleParams:
     trusted_upper: float = 0.2      # at most this share of capitals, no sign of SIGNS and no repeated line
 
 
-def length_without(text: Column, chars: str) -> Column:
-    return F.char_length(F.translate(text, chars, ""))
+def count_of(text: Column, chars: str) -> Column:
+    """How many of these ASCII characters a text holds: the bytes that go with them."""
+    left = text
+    for c in chars:
+        left = F.replace(left, F.lit(c), F.lit(""))
+    return F.octet_length(text) - F.octet_length(left)
 
 
-def tokens_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def token_hashes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 
 
-def after(tokens: str) -> Column:
-    """The tokens without the first."""
-    return F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
+def pair_hashes(h: str) -> Column:
+    """Hashes of each token with the next (the last one with the end)."""
+    return F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
 def bucket(h: Column, p: RuleParams) -> Column:
@@ -69,16 +72,14 @@ def worded_lines(text: Column) -> Column:
 def count_grams(docs: DataFrame, p: RuleParams) -> DataFrame:
     """``(bucket, raw, target)`` over all texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(text.alias("text"), tokens_of(text).alias("tokens"), worded_lines(text).alias("lines"))
-    trusted = ((F.size("tokens") >= p.trusted_tokens)
-               & (length_without(F.col("text"), SIGNS) == F.char_length("text"))
-               & (length_without(F.col("text"), UPPER) >= (1 - p.trusted_upper) * F.char_length("text"))
+    rows = docs.select(text.alias("text"), token_hashes(text).alias("h"), worded_lines(text).alias("lines"))
+    trusted = ((F.size("h") >= p.trusted_tokens)
+               & (count_of(F.col("text"), SIGNS) == 0)
+               & (F.regexp_count("text", F.lit("[A-Z]")) <= p.trusted_upper * F.char_length("text"))
                & (F.size("lines") == F.size(F.array_distinct("lines"))))
-    pairs = F.zip_with("tokens", after("tokens"), lambda a, b: F.xxhash64(a, b))
-    hashes = F.concat(F.transform("tokens", lambda t: F.xxhash64(t)), pairs)
     # The flag first: an expression beside explode() would be worked out for every n-gram.
     # explode_outer: for a plain explode Spark adds a filter that works out the hashes once more.
-    return (rows.select(trusted.cast("int").alias("trusted"), hashes.alias("hashes"))
+    return (rows.select(trusted.cast("int").alias("trusted"), F.concat("h", pair_hashes("h")).alias("hashes"))
             .select("trusted", F.explode_outer("hashes").alias("h")).where("h is not null")
             .groupBy(bucket(F.col("h"), p).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target")))
 
@@ -96,20 +97,30 @@ def ratio_table(docs: DataFrame, p: RuleParams) -> list[int]:
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
-    """From ``words`` to ``n_repeat_words``: words in
-    3-word windows that the text holds twice or more.  Equal windows are
-    found by sorting (hash, place); only texts with some are sorted."""
+    """From ``words`` to ``n_repeat_words``: words in 3-word windows that the
+    text holds twice or more.
+
+    Only texts with equal windows are sorted.  Up to 65,536 windows the sort
+    is one of plain numbers, the hash's high 48 bits with the place below, and
+    neighbours are compared in full; longer texts sort (hash, place).
+    """
     at = lambda k: F.slice("words", k, F.greatest(F.size("words") - 2, F.lit(0)))
     windows = F.zip_with(F.zip_with(at(1), at(2), lambda a, b: F.xxhash64(a, b)), at(3), lambda a, b: F.xxhash64(a, b))
-    docs = docs.withColumn("w3", windows)
-    placed = F.array_sort(F.transform("w3", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    docs = docs.withColumn("s3", F.when(F.size(F.array_distinct("w3")) < F.size("w3"), placed))
-    pairs = F.zip_with("s3", F.slice("s3", 2, F.size("s3")), lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])))
-    docs = docs.withColumn("places", F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))))
+    docs = docs.withColumn("w3", windows).withColumn("again", F.size(F.array_distinct("w3")) < F.size("w3"))
+    short = F.size("w3") <= 65536
+    high = lambda x: x.bitwiseAND(F.lit(-65536).cast("long"))
+    low = lambda x: x.bitwiseAND(F.lit(65535).cast("long")).cast("int")
+    docs = docs.withColumn("s3", F.when(F.col("again") & short, F.sort_array(F.transform("w3", lambda x, i: high(x).bitwiseOR(i.cast("long"))))))
+    docs = docs.withColumn("t3", F.when(F.col("again") & ~short, F.array_sort(F.transform("w3", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
+    same = lambda a, b: (high(a) == high(b)) & (F.get("w3", low(a)) == F.get("w3", low(b)))
+    pairs = F.zip_with("s3", F.slice("s3", 2, F.size("s3")), lambda a, b: F.when(same(a, b), F.array(low(a), low(b))))
+    long_pairs = F.zip_with("t3", F.slice("t3", 2, F.size("t3")), lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])))
+    found = F.when(F.col("s3").isNotNull(), F.array_compact(pairs)).when(F.col("t3").isNotNull(), F.array_compact(long_pairs))
+    docs = docs.withColumn("places", F.array_sort(F.array_distinct(F.flatten(found))))
     covered = F.aggregate(
         "places", F.struct(F.lit(0).alias("n"), F.lit(0).alias("stop")),
         lambda acc, i: F.struct((acc["n"] + i + 3 - F.greatest(acc["stop"], i)).alias("n"), (i + 3).alias("stop")))["n"]
-    return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("words", "w3", "s3", "places")
+    return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("words", "w3", "again", "s3", "t3", "places")
 
 
 def quality_rules(docs: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
@@ -118,17 +129,17 @@ def quality_rules(docs: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     # A split of a constant is folded into one array literal before the job starts.
     table = F.split(F.lit(",".join(map(str, ratio_table(docs.select("text"), p)))), ",").cast("array<int>")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = d.select("__row", "text", F.array_remove(F.split("text", f"[{SPACE}]+"), "").alias("words"), tokens_of(F.col("text")).alias("tokens"),
+    d = d.select("__row", "text", F.array_remove(F.split("text", f"[{SPACE}]+"), "").alias("words"), token_hashes(F.col("text")).alias("h"),
                  worded_lines(F.col("text")).alias("lines"))
     ratio = lambda acc, h: acc + F.get(table, bucket(h, p))
-    pairs = F.zip_with("tokens", after("tokens"), lambda a, b: F.xxhash64(a, b))
-    total = (F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: ratio(acc, F.xxhash64(t)))
-             + F.aggregate(pairs, F.lit(0).cast("long"), ratio))
+    none = F.lit(0).cast("long")
+    total = F.aggregate("h", none, ratio) + F.aggregate(pair_hashes("h"), none, ratio)
     d = d.select(
-        "__row", "words", F.size("words").cast("long").alias("n_words"), length_without(F.col("text"), SPACES).cast("long").alias("word_chars"),
-        (F.char_length("text") - length_without(F.col("text"), SIGNS)).cast("long").alias("n_symbols"),
+        "__row", "words", F.size("words").cast("long").alias("n_words"),
+        (F.char_length("text") - count_of(F.col("text"), SPACES)).cast("long").alias("word_chars"),
+        count_of(F.col("text"), SIGNS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("tokens") > 0, total / (2 * SCALE * F.size("tokens"))).otherwise(0.0).alias("score"))
+        F.when(F.size("h") > 0, total / (2 * SCALE * F.size("h"))).otherwise(0.0).alias("score"))
     d = repeated_words(d)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= p.threshold))
