@@ -37,7 +37,8 @@ SENSITIVE = re.compile(
     r"(?:password|passwd|secret|token|api_?key|pwd|bearer|credential|private|auth|signature|access)"
     r"[^\n]{0,24}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{20,})(?![A-Za-z0-9+/_=-])", re.I | re.A)
 CUES = ("passw", "secret", "token", "api", "pwd", "bearer", "credential", "private", "auth", "signature", "access")
-IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,31}")
+#: Words of the dictionary; without digits, so that a secret that was copied does not become one.
+IDENT = r"(?<![A-Za-z0-9_])[A-Za-z_]{4,32}(?![A-Za-z0-9_])"
 CONTEXT = 256
 #: Ordinary identifiers and words beside secrets; always part of the dictionary.
 SEED_IDENTIFIERS = ("authorization bearer access_token refresh_token client_secret client_id private_key public_key api_key apikey "
@@ -91,11 +92,11 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
 
 def identifier_dictionary(found: DataFrame, dict_bytes: int) -> bytes:
-    """The identifiers around candidates, most frequent last (zstandard finds
+    """The identifiers that two texts or more use around candidates, most frequent last (zstandard finds
     the end of a dictionary cheapest).  At most ``dict_bytes / 5`` rows and
     ``dict_bytes`` bytes reach the driver."""
-    words = (found.select(F.explode("cands").alias("c"))
-             .select(F.explode(F.regexp_extract_all(F.concat_ws(" ", "c.context", "c.value"), F.lit(f"({IDENT.pattern})"))).alias("w"))
+    said = F.concat_ws("\n", F.transform("cands", lambda c: F.concat_ws("\n", c["context"], c["value"])))
+    words = (found.where("size(cands) > 0").select(F.explode(F.array_distinct(F.regexp_extract_all(said, F.lit(IDENT), F.lit(0)))).alias("w"))
              .groupBy("w").count().where("count >= 2").orderBy(F.desc("count"), "w").limit(dict_bytes // 5))
     kept, size = [], 0
     for r in words.toLocalIterator():
