@@ -172,9 +172,17 @@ def resolve_forest(links: DataFrame, nodes: DataFrame, combine: str = "min") ->
 def star_sink(stars: DataFrame) -> DataFrame:
     """Flat star rows in output order (anchor, sim desc, member asc).
 
-    Range partitioning on the full sort key splits a hot anchor's members
-    over many tasks; nothing is collected into one list.
+    An anchor without members keeps one row, its member and sim null.  Range
+    partitioning on the full sort key splits a hot anchor's members over many
+    tasks; nothing is collected into one list.
     """
-    members = stars.where(~F.col("is_anchor"))
-    return members.select("anchor", F.col("node").alias("member"), "sim").orderBy(
-        "anchor", F.desc("sim"), "member")
+    members = stars.where(~F.col("is_anchor")).select("anchor", F.col("node").alias("member"), "sim")
+    lone = stars.groupBy("anchor").agg(F.count_if(~F.col("is_anchor")).alias("__n"), F.first("node").alias("__node")).where("__n = 0")
+    none = F.when(F.lit(False), F.col("__node"))
+    rows = members.unionByName(lone.select("anchor", none.alias("member"), F.lit(None).cast("double").alias("sim")))
+    return rows.orderBy("anchor", F.desc("sim"), "member")
+
+
+def write_stars(stars: DataFrame, path: str) -> None:
+    """The sink's rows as Parquet, a folder that is replaced as a whole."""
+    star_sink(stars).write.mode("overwrite").parquet(path)

@@ -40,3 +40,17 @@ def route(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     """K6: split into (good, dead letter) on a row condition."""
     flag = F.coalesce(ok, F.lit(False))
     return df.where(flag), df.where(~flag)
+
+
+def route_attempts(df: DataFrame, ok: Column, attempts: Column, cap: int) -> DataFrame:
+    """K6 with an attempt cap: ``route`` is ``good``, ``retry`` (failed with
+    attempts left) or ``rejected``, ``next_attempt`` the number of the next try."""
+    flag = F.coalesce(ok, F.lit(False))
+    left = F.coalesce(attempts, F.lit(0)) < F.lit(cap)
+    route = F.when(flag, "good").when(left, "retry").otherwise("rejected")
+    return df.withColumn("route", route).withColumn("next_attempt", F.when(F.col("route") == "retry", F.coalesce(attempts, F.lit(0)) + 1))
+
+
+def write_rejects(routed: DataFrame, path: str) -> None:
+    """K6: append the rejected rows to the rejects folder."""
+    routed.where(F.col("route") == "rejected").drop("route", "next_attempt").write.mode("append").parquet(path)

@@ -90,7 +90,8 @@ def q_star_partition(spark, sf):
 
 
 @register("nested_clusters", "A15 G10 H4", lambda: (
-    f"SELECT anchor, node AS member, sim FROM ({_stars_sql('min', 'max_in_sum')}) WHERE NOT is_anchor"))
+    f"WITH s AS (SELECT * FROM ({_stars_sql('min', 'max_in_sum')})) SELECT anchor, node AS member, sim FROM s WHERE NOT is_anchor "
+    f"UNION ALL SELECT anchor, NULL, NULL FROM s WHERE is_anchor AND node NOT IN (SELECT anchor FROM s WHERE NOT is_anchor)"))
 def q_nested_clusters(spark, sf):
     edges, nodes = customer_graph(spark, sf)
     out = G.star_decompose(edges, nodes)

@@ -251,6 +251,16 @@ def q_ok_error_rows(spark, sf):
                      r["error"].alias("error"))
 
 
+@register("attempt_cap", "K6", """
+SELECT event_id, CASE WHEN k % 10 <> 0 THEN 'good' WHEN event_id % 5 < 3 THEN 'retry' ELSE 'rejected' END AS route,
+  CASE WHEN k % 10 = 0 AND event_id % 5 < 3 THEN event_id % 5 + 1 END AS next_attempt
+FROM (SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events)""")
+def q_attempt_cap(spark, sf):
+    ev = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    tried = F.pmod("event_id", F.lit(5))
+    return RL.route_attempts(ev, F.col("k") % 10 != 0, tried, 3).select("event_id", "route", "next_attempt")
+
+
 @register("dead_letter", "K6", """
 SELECT event_id, CASE WHEN (json_extract(props, '$.k')::BIGINT % 10) = 0 THEN 'dead_letter' ELSE 'good' END AS route
 FROM events""")
