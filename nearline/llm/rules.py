@@ -146,5 +146,10 @@ def quality_rules(docs: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns."""
-    return quality_rules(docs, p).where("kept").select("__row.*")
+    """The rows of ``docs`` that the rules keep, with their own columns.
+
+    The verdict is turned into a row by a generator: a filter on it would be
+    pushed down as an expression, and all rules worked out again for it.
+    """
+    kept = F.when(F.col("kept"), F.array(F.struct(F.lit(True).alias("__kept"), F.col("__row"))))
+    return quality_rules(docs, p).select(F.inline_outer(kept)).where("__kept IS NOT NULL").select("__row.*")
