@@ -38,7 +38,7 @@ from .common import byte_texts, pack, unpack
 #: Words of the lower-cased UTF-8 bytes: digits, letters, everything that is not ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 GAP = 64
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
 RUN = 1 << 20
 
@@ -82,14 +82,16 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
         number = TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
         for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), byte_texts(b.column("text"))):
-                ids.append(i)
-                texts.append(t)
-                size += len(t) + 8
-                if size >= segment_bytes:
-                    yield row(segment(ids, texts, number))
-                    number += 1
-                    ids, texts, size = [], [], 0
+            for s in range(0, b.num_rows, 128):              # few texts at a time as Python objects
+                part = b.slice(s, 128)
+                for i, t in zip(part.column("doc_id").to_pylist(), byte_texts(part.column("text"))):
+                    ids.append(i)
+                    texts.append(t)
+                    size += len(t) + 8
+                    if size >= segment_bytes:
+                        yield row(segment(ids, texts, number))
+                        number += 1
+                        ids, texts, size = [], [], 0
         if ids:
             yield row(segment(ids, texts, number))
 
