@@ -148,7 +148,8 @@ class TableStore:
     def _one_per_key(self, rows: DataFrame, pick) -> DataFrame:
         cols = [f.name for f in self.schema.fields if f.name != self.key]
         whole = F.struct(*cols)
-        rank = F.struct(*self.order, F.xxhash64(*[F.col(c).cast("string") for c in cols])) if self.order else F.xxhash64(*[F.col(c).cast("string") for c in cols])
+        # Ties of the order columns go by the other values, so a repeated write picks the same row.
+        rank = F.struct(*self.order, *[F.col(c).cast("string").alias(f"__{c}") for c in cols])
         return rows.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(pick(whole, rank).alias("__r")) \
             .select(self.key, *[F.col(f"__r.{c}").alias(c) for c in cols])
 
