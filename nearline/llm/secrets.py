@@ -1,9 +1,10 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
-Three fixed patterns give the base spans.  Further candidates are long
-strings that follow a sensitive word closely; each one's novelty is its
-marginal cost: the compressed size of context plus candidate less that of
-the context alone, under a raw zstandard dictionary made of identifiers that
+Three fixed patterns give the base spans.  Further candidates are the strings
+of 12 characters or more that follow a sensitive word, or each other, closely
+on one line; each one's novelty is its marginal cost: the compressed size of
+context plus candidate less that of the context alone, from which further
+copies of the candidate are removed, under a raw zstandard dictionary made of identifiers that
 the corpus itself uses next to sensitive words.  A string that costs nearly
 its own length is reported (kind ``novel``).
 
@@ -32,13 +33,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: A sensitive word, up to 24 characters without a line end, then a long string.
-SENSITIVE = re.compile(
-    r"(?:password|passwd|secret|token|api_?key|pwd|bearer|credential|private|auth|signature|access)"
-    r"[^\n]{0,24}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{20,})(?![A-Za-z0-9+/_=-])", re.I | re.A)
+CUE = re.compile(r"password|passwd|secret|token|api_?key|pwd|bearer|credential|private|auth|signature|access", re.I | re.A)
+#: The next long string, at most 24 characters on, without a line end; it may follow a sign ``=``.
+NEXT = re.compile(r"[^\n]{0,24}?(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,})", re.A)
 CUES = ("passw", "secret", "token", "api", "pwd", "bearer", "credential", "private", "auth", "signature", "access")
-#: Words of the dictionary; without digits, so that a secret that was copied does not become one.
-IDENT = r"(?<![A-Za-z0-9_])[A-Za-z_]{4,32}(?![A-Za-z0-9_])"
+#: Words of the dictionary; without digits, so that a secret that was copied does not become one.  Of an
+#: identifier that goes on with a digit, as ``config_name2``, the parts before count: its copies are no context.
+IDENT = r"(?<![A-Za-z0-9_])[A-Za-z_]{4,32}(?![A-Za-z0-9])"
 CONTEXT = 256
 #: Ordinary identifiers and words beside secrets; always part of the dictionary.
 SEED_IDENTIFIERS = ("authorization bearer access_token refresh_token client_secret client_id private_key public_key api_key apikey "
@@ -67,14 +68,35 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     low = text.lower()
     if not any(w in low for w in CUES):
         return []
-    out = []
-    for m in SENSITIVE.finditer(text):
-        a, z = m.span(1)
-        if not any(a < e and s < z for _, s, e in taken):
-            out.append((a, z, m.group(1), text[max(0, a - CONTEXT):a] + "\n" + text[z:z + CONTEXT]))
+    out, done = [], 0
+    for cue in CUE.finditer(text):
+        if cue.end() <= done:                                # the walk from an earlier word has passed here
+            continue
+        done = cue.end()
+        while m := NEXT.match(text, done):
+            a, done = m.span(1)
+            if not any(a < e and s < done for _, s, e in taken):
+                out.append((a, done, m.group(1), context_of(text, a, done)))
     return out
 
 
+def context_of(text: str, a: int, z: int) -> str:
+    """``CONTEXT`` characters on either side of ``text[a:z]`` without further
+    copies of that string, whole or cut by the edge."""
+    size, value = z - a, text[a:z]
+
+    def without(lo: int, hi: int, start: int, stop: int) -> str:
+        parts, at, k = [], lo, text.find(value, start, stop)
+        while k >= 0:
+            parts.append(text[at:max(at, k)])
+            at = max(at, k + size)
+            k = text.find(value, k + size, stop)
+        return "".join([*parts, text[at:hi]])
+
+    lo, hi = max(0, a - CONTEXT), min(len(text), z + CONTEXT)
+    return without(lo, a, max(0, lo - size + 1), a) + "\n" + without(z, hi, z, hi + size - 1)
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """``(doc_id, base spans, candidates with context)`` of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +142,11 @@ class Novelty:
     def marginal(self, value: str, context: str) -> int | None:
         """That cost if the candidate is novel (it reaches ``min_ratio`` of
         its length and the string holds a digit), else None."""
+        if not any(c in "0123456789" for c in value):
+            return None
         base = context.encode() + b"\n"
         extra = len(self.packer.compress(base + value.encode())) - len(self.packer.compress(base))
-        return extra if extra >= self.min_ratio * len(value) and any(c in "0123456789" for c in value) else None
+        return extra if extra >= self.min_ratio * len(value) else None
 
 
 def score_novelty(found: DataFrame, dictionary: bytes, min_ratio: float) -> DataFrame:

@@ -39,6 +39,31 @@ def test_novelty(spark):
     assert got == {0: ["Xk9Qz3Lp7VtR2mWc8NbYd5Hs"], 1: [], 2: []}
 
 
+A, B, C = "Xk9Qz3Lp7VtR2mWc8NbYd5Hs", "q7Zt4KfW9xLc2VhP6sJm8RbG", "Vz8Kq2Lw5Xr9Tn"
+
+
+def test_copies_are_no_context(spark):
+    """A secret twice within 256 characters, one copy cut by the edge of the context, or a copy in a base span."""
+    texts = [f"Authorization: {A}\nplease log in with bearer {A} now", f"bearer {A}\n{'and so on, ' * 22}auth {A} end",
+             f"api_key = {A}\nAuthorization: Bearer {A}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.novel] for r in secrets.scan_secrets(df).collect()}
+    assert got == {0: [A, A], 1: [A, A], 2: [A]}
+    assert not any(A in r.text for r in secrets.redact_secrets(df).collect())
+    far = "x" * 250 + " " + A + " " + "y" * 240 + A
+    at = far.index(A)
+    assert not any(A[:n] in secrets.context_of(far, at, at + len(A)) for n in range(6, len(A)))
+
+
+def test_every_string_after_a_cue(spark):
+    """All strings of a line, from 12 characters on; a string too far from the one before is none."""
+    texts = [f"credentials: {A} {B}", f"pwd {C}", f"auth={C}", f"bearer {A}\n{B}", f"bearer {A} {'far ' * 7}{B}", "auth=" * 3000 + C]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.novel] for r in secrets.scan_secrets(df).collect()}
+    assert [got[k] for k in range(5)] == [[A, B], [C], [C], [A], [A]]
+    assert len(secrets.candidates(texts[5], [])) == 1
+
+
 def test_redact(docs):
     before, after = {}, {}
     for r in docs.collect():
