@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``.
 
 1. quality rules: documents that the rules reject go;
-2. near-duplicates: the smallest id of each group stays;
+2. near-duplicates: one row of each group stays, that of the smallest id (a null
+   id comes last, repeated rows count as one);
 3. decontamination: documents that hold a benchmark window go;
 4. secrets: every secret span is masked in place, all documents stay;
 5. mixing: each source's documents are taken to its target; the rows are the
@@ -25,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bbit.drop_near_duplicates(docs)
+    return bbit.one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -347,3 +347,29 @@ def drop_near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataF
     that repeat an id share its fate."""
     gone = near_duplicates(docs, p).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def one_of_each_group(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
+    """Like :func:`drop_near_duplicates`, but by rows: of rows that repeat an
+    id and a text one stays (the smallest by the other columns), texts that
+    share an id are compared one by one, and so are rows with a null id; these, and
+    all texts of an id but its smallest, come after all others.  Ids lie below 2^62."""
+    node = F.col("doc_id").cast("long")
+    count = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+    twice = cut_lineage(count.where("c > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id")), "near_twice")
+    if twice.isEmpty():
+        return drop_near_duplicates(docs, p)
+    again = docs.join(twice.where("__id IS NOT NULL"), F.col("doc_id") == F.col("__id"), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = again.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__zero"), *rest)).alias("__rest")).select("doc_id", "text", "__rest.*")
+    first = again.groupBy("doc_id").agg(F.min("text").alias("__first"))
+    one = one.join(first, "doc_id").withColumn("__node", F.when(F.col("text").eqNullSafe(F.col("__first")), node))
+    plain = docs.where("doc_id IS NOT NULL").join(twice, F.col("doc_id") == F.col("__id"), "left_anti")
+    top = docs.agg(F.max(node).alias("top")).first()["top"] or 0
+    columns = [*docs.columns, "__node"]
+    named = one.select(*columns).unionByName(docs.where("doc_id IS NULL").withColumn("__node", F.lit(None).cast("long")))
+    # Numbered once and written, so every later read sees the same numbers.
+    named = cut_lineage(named.withColumn("__node", F.coalesce("__node", F.lit(max(top, 0) + 1) + F.monotonically_increasing_id())), "near_rows")
+    rows = plain.withColumn("__node", node).unionByName(named)
+    gone = near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"), p).where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    return rows.join(gone, F.col("__node") == F.col("__gone"), "left_anti").select(*docs.columns)

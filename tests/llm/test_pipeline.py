@@ -62,6 +62,18 @@ def test_edge_rows_run_through(spark, docs, no_docs, sf):
         assert "taken" in table.columns and table.count() >= 0
 
 
+def test_one_row_of_each_group(spark, docs):
+    """Repeated rows, texts that share an id and null ids: the pipeline's stage keeps one row of each group."""
+    stage = dict(C.STAGES)["near_dedup"]
+    assert sorted(str(r.doc_id) for r in stage(spark, docs, "").collect()) == sorted(["1", "4", "5", "6", "7", "8", "9", "11", "12", "13", "14"])
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(80)) for c in "abcd")
+    rows = [(5, one), (5, one), (7, one), (7, two), (9, two), (None, three), (None, three), (None, four), (11, four), (None, None), (None, None), (12, None), (12, None)]
+    out = stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "").collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:1]) for r in out if r.text != two) == sorted(
+        [("5", "a"), ("None", "c"), ("11", "d"), ("None", ""), ("None", ""), ("12", "")])
+    assert len([r for r in out if r.text == two]) == 1
+
+
 def test_registered_once(spark):
     import __spark_entry__ as E
     names = list(E.queries())
