@@ -263,10 +263,13 @@ FROM (SELECT md5(text || '-' || json_object('pod_name', source, 'severity', lang
                "every record is new; pytest compares two batches with the batch gate")
 def q_stream_ingest(spark, sf):
     docs = table(spark, sf, "documents")
-    # The file source needs a directory: the stream watches the table folder
-    # and picks the documents file by name.
-    stream = (spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "documents.parquet").parquet(sf.rstrip("/")))
+    # The file source needs a directory: a table of part files is one itself,
+    # a single file is picked by name from the folder it lies in.
+    reader = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1)
+    if any(f.rsplit("/", 1)[-1] == "documents.parquet" for f in docs.inputFiles()):
+        stream = reader.option("pathGlobFilter", "documents.parquet").parquet(sf.rstrip("/"))
+    else:
+        stream = reader.parquet(f"{sf.rstrip('/')}/documents.parquet")
     logs = stream.select(F.col("text"), F.col("source").alias("pod_name"), F.col("lang").alias("severity"),
                          F.timestamp_seconds(F.col("doc_id")).alias("ts"))
     root = _root(spark, "stream")

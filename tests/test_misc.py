@@ -247,3 +247,14 @@ def test_log_store(spark, logs):
     assert st.points.current().count() == 0 and not st.create()
     st.reset()
     assert st.points.exists() and st.lookup.exists()
+
+
+def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
+    """A table that Spark wrote is a folder; the stream takes all its part files."""
+    from nearline.plans import q_store
+    rows = [(i, f"request {'abcdefgh'[i]} failed {'xyzuvwst'[i] * 9} in module {'klmnopqr'[i] * 7}", "en", "a", 9) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert len(docs.inputFiles()) == 2
+    ids = {r.id for r in docs.select(q_store.IG.log_id(F.col("text"), F.col("source"), F.col("lang")).alias("id")).collect()}
+    assert {r.id for r in q_store.q_stream_ingest(spark, str(tmp_path)).collect()} == ids
