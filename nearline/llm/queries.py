@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bbit, bwt, chat, ctw, mixing, pii, positions, rules, secrets, subword
+from . import bbit, bwt, chat, codes, ctw, mixing, pii, positions, rules, secrets, subword
 from .registry import query
 
 
@@ -170,3 +170,40 @@ def op7(spark, sf_dir):
 @query("op5_suffix_array_dedup")
 def op5(spark, sf_dir):
     return bwt.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+def _assigned(books: str) -> str:
+    """Every part with its nearest entry of a codebook table, ties to the lower entry."""
+    return f"""SELECT p.r, p.part, any_value(p.x) AS x, arg_min(b.entry, d * 64 + b.entry) AS entry, min(d) AS d
+  FROM p JOIN {books} b USING (part), LATERAL (SELECT list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT AS d)
+  GROUP BY p.r, p.part"""
+
+
+def _moved(books: str, parts: str) -> str:
+    return f"""SELECT b.part, b.entry, CASE WHEN m.x IS NULL THEN b.x ELSE m.x END AS x FROM {books} b LEFT JOIN (
+  SELECT part, entry, list(v ORDER BY i) AS x FROM (SELECT part, entry, i, floor(sum(v) / count(*))::BIGINT AS v
+    FROM (SELECT part, entry, unnest(x) AS v, unnest(range(len(x))) AS i FROM {parts}) GROUP BY part, entry, i) GROUP BY part, entry) m
+  ON m.part = b.part AND m.entry = b.entry"""
+
+
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS e, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (SELECT r, part, e[part * (len(e) // 16) + 1:(part + 1) * (len(e) // 16)] AS x FROM v, (SELECT unnest(range(16)) AS part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x FROM p WHERE r <= 64),
+a0 AS MATERIALIZED ({_assigned("c0")}),
+c1 AS MATERIALIZED ({_moved("c0", "a0")}),
+a1 AS MATERIALIZED ({_assigned("c1")}),
+c2 AS MATERIALIZED ({_moved("c1", "a1")}),
+a2 AS MATERIALIZED ({_assigned("c2")}),
+o AS (SELECT r, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, lower(code) AS code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256
+FROM o JOIN v USING (r)
+"""
+
+
+@query("op13_vector_codes", OP13_SQL)
+def op13(spark, sf_dir):
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
