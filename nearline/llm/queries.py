@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bbit, bwt, chat, codes, ctw, mixing, pii, positions, rules, secrets, subword
+from . import bbit, bwt, chat, codes, ctw, mixing, pii, positions, rules, secrets, subword, warc
+from ..session import cut_lineage
 from .registry import query
 
 
@@ -207,3 +208,22 @@ FROM o JOIN v USING (r)
 def op13(spark, sf_dir):
     found, books = codes.compress(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS n,
+  replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS u FROM pages),
+r AS (SELECT *, n >= 1000 AND rank() OVER same > 1 AS again, first_value(page_id) OVER same AS top
+      FROM p WINDOW same AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, u DESC NULLS LAST))
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN top END AS refers_to FROM r
+"""
+
+
+@query("op12_warc_transactions", OP12_SQL)
+def op12(spark, sf_dir):
+    path = warc.archive_path(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    records = cut_lineage(warc.read_records(spark, path, with_payload=False), "warc_records")
+    found = warc.resolve_revisits(warc.assemble(records))
+    return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
