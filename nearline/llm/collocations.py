@@ -16,7 +16,8 @@ block's graph as sorted arrays:
    with it, plus the pieces that end with it.
 
 Counts of blocks add up, so grams of all lengths travel to shards by a hash of
-their words, as compressed rows of one block and shard.  A gram's rows, however
+their words, as compressed rows of one block and shard (a row has its own list
+of words, and its grams as places in it).  A gram's rows, however
 frequent it is, are one number a block, and a frequent word or word pair is
 spread over all shards by the other words of its grams.  The number of shards
 follows the bytes of text.  A shard adds up its grams and returns those of
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import salted_join
 from ..session import cut_lineage
-from .common import mix64, text_bytes, text_size, unsqueeze, squeeze
+from .common import mix64, squeeze, text_size, unsqueeze
 
 BLOCK = 1_500_000                       # words of a block
 SHARD_BYTES = 24 << 20                  # text bytes a shard stands for
@@ -85,6 +86,10 @@ def block_graph(words: list[bytes], piece: np.ndarray, own: int) -> Graph:
     words follow as context."""
     coded = pa.array(words, pa.binary()).dictionary_encode()
     w, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    often = np.argsort(-np.bincount(w, minlength=size), kind="stable")   # frequent words get small numbers
+    rank = np.empty(size, np.int64)
+    rank[often] = np.arange(size)
+    w = rank[w]
     n = len(w)
     pair = piece[:-1] == piece[1:]                                    # word i and i + 1 are one piece's
     triple = pair[:-1] & pair[1:]
@@ -115,7 +120,7 @@ def block_graph(words: list[bytes], piece: np.ndarray, own: int) -> Graph:
     last = np.flatnonzero(~np.concatenate([pair, [False]])[:own])
     counts = (np.bincount(first, weights=flow, minlength=size) + np.bincount(w[last], minlength=size)).astype(np.int64)
     used = flow > 0                                                   # pairs of the context alone have none
-    return Graph(coded.dictionary, (first[source], second[source], edge % size, weight), (first[used], second[used], flow[used]), counts, len(heads))
+    return Graph(coded.dictionary.take(pa.array(often)), (first[source], second[source], edge % size, weight), (first[used], second[used], flow[used]), counts, len(heads))
 
 
 def _blocks(words: list[bytes], piece: np.ndarray):
@@ -126,40 +131,54 @@ def _blocks(words: list[bytes], piece: np.ndarray):
 
 # ------------------------------------------------------------ blocks to shards
 
-def _gram_texts(words: pa.Array, ids: tuple[np.ndarray, ...]) -> pa.Array:
-    """Grams as their words joined by blanks; offsets of 64 bits."""
-    parts = [words.cast(pa.large_binary()).take(pa.array(i)) for i in ids]
-    return parts[0] if len(parts) == 1 else pa.compute.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers below 2**32 by byte place, compressed."""
+    return squeeze(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unsqueeze(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _packets(lang: str, graph: Graph, shards: int):
-    """``(shard, lang, total words, grams, counts)`` rows of one block."""
-    h = np.array([xxhash.xxh64_intdigest(x) for x in graph.words.to_pylist()], np.uint64)
+    """The rows of one block: ``(shard, lang, total words, vocabulary, first,
+    second, third, counts)``.  Places count from 1; 0 is no word."""
     have = np.flatnonzero(graph.counts)
-    total = int(graph.counts.sum())
-    for ids, count in ((graph.edges[:3], graph.edges[3]), (graph.nodes[:2], graph.nodes[2]), ((have,), graph.counts[have])):
-        if not len(count):
-            continue
-        mixed = h[ids[0]]
-        for i in ids[1:]:
-            mixed = mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + h[i])
-        shard = (mix64(mixed) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        texts = _gram_texts(graph.words, tuple(i[order] for i in ids))
-        cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        data, offs = text_bytes(texts)
-        count = count[order].astype(np.int64)
-        for s in np.flatnonzero(np.diff(cut)):
-            x, y = cut[s], cut[s + 1]
-            yield int(s), lang, total, squeeze(data[offs[x]:offs[y]]), squeeze(np.diff(offs[x:y + 1]).astype(np.uint32)), squeeze(count[x:y])
-            total = 0                                                 # a block's words are told once
-
-
-PACKET = "shard int, lang string, words long, grams binary, sizes binary, counts binary"
+    none = lambda n: np.zeros(n, np.int64)
+    e, d = graph.edges, graph.nodes
+    a = np.concatenate([e[0], d[0], have]) + 1
+    b = np.concatenate([e[1] + 1, d[1] + 1, none(len(have))])
+    c = np.concatenate([e[2] + 1, none(len(d[0]) + len(have))])
+    count = np.concatenate([e[3], d[2], graph.counts[have]]).astype(np.int64)
+    if not len(a):
+        return
+    h = np.concatenate([[0], np.fromiter((xxhash.xxh64_intdigest(x) for x in graph.words.to_pylist()), np.uint64, len(graph.words))]).astype(np.uint64)
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    shard = (mix64(mix64(mix64(h[a]) * odd + h[b]) * odd + h[c]) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    total, size = int(graph.counts.sum()), len(graph.words) + 1
+    for s in np.flatnonzero(np.diff(cut)):
+        mine = order[cut[s]:cut[s + 1]]
+        x, y, z = a[mine], b[mine], c[mine]
+        used = np.zeros(size, bool)
+        used[x] = used[y] = used[z] = True
+        used[0] = True
+        place = np.cumsum(used) - 1
+        x, y, z = place[x], place[y], place[z]
+        o = np.lexsort((z, y, x))
+        x, y, z = x[o], y[o], z[o]
+        vocabulary = b"\n".join(graph.words.take(pa.array(np.flatnonzero(used[1:]))).to_pylist())
+        yield (int(s), lang, total, squeeze(np.frombuffer(vocabulary, np.uint8)), _planes(np.diff(x, prepend=0)), _planes(y), _planes(z), squeeze(count[mine][o]))
+        total = 0                                                     # a block's words are told once
+
+
+PACKET = "shard int, lang string, words long, vocabulary binary, first binary, second binary, third binary, counts binary"
 
 
 def _block_rows(shards: int):
-    schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("words", pa.int64()), ("grams", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("words", pa.int64()),
+                        *[(n, pa.binary()) for n in ("vocabulary", "first", "second", "third", "counts")]])
 
     def sent(rows):
         rows = [list(c) for c in zip(*rows)]
@@ -195,26 +214,42 @@ def _block_rows(shards: int):
     return run
 
 
+def _added(rows: pa.Table, least: int) -> tuple[list[str], np.ndarray]:
+    """The phrases of one shard and language that occur often enough, and their counts."""
+    vocabularies = [unsqueeze(v, np.uint8).tobytes().split(b"\n") for v in rows.column("vocabulary").to_pylist()]
+    coded = pa.array([w for v in vocabularies for w in v], pa.binary()).dictionary_encode()
+    number = np.split(coded.indices.to_numpy().astype(np.int64) + 1, np.cumsum([len(v) for v in vocabularies])[:-1])
+    size = len(coded.dictionary) + 1
+    del vocabularies
+    parts = []
+    for own, first, second, third in zip(number, *(rows.column(c).to_pylist() for c in ("first", "second", "third"))):
+        own = np.concatenate([[0], own])
+        parts.append([own[np.cumsum(_from_planes(first))], own[_from_planes(second)], own[_from_planes(third)]])
+    x, y, z = (np.concatenate(p) for p in zip(*parts))
+    count = np.concatenate([unsqueeze(c, np.int64) for c in rows.column("counts").to_pylist()])
+    del parts
+    pairs, pair = np.unique(x * size + y, return_inverse=True)        # so that a gram is one number, whatever the vocabulary
+    key = pair * size + z
+    del x, y, z, pair
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    total = np.add.reduceat(count, heads)
+    key, total = key[heads][total >= least], total[total >= least]
+    pair, z = pairs[key // size], key % size
+    words = [""] + [w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()]
+    return [" ".join(words[i] for i in g if i) for g in zip((pair // size).tolist(), (pair % size).tolist(), z.tolist())], total
+
+
 def _shard_sums(least: int):
     def run(t: pa.Table) -> pa.Table:
-        langs, out = t.column("lang").to_pylist(), []
-        totals: dict[str, int] = {}
-        for lang, words in zip(langs, t.column("words").to_pylist()):
-            totals[lang] = totals.get(lang, 0) + words
-        for lang in sorted(totals):
+        out = []
+        for lang in sorted(set(t.column("lang").to_pylist())):
             rows = t.filter(pa.compute.equal(t.column("lang"), lang))
-            parts = []
-            for grams, sizes, counts in zip(*(rows.column(c).to_pylist() for c in ("grams", "sizes", "counts"))):
-                data, length = unsqueeze(grams, np.uint8), unsqueeze(sizes, np.uint32)
-                offs = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
-                texts = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offs), pa.py_buffer(data)])
-                parts.append(pa.table({"phrase": texts, "f": unsqueeze(counts, np.int64)}))
-            added = pa.concat_tables(parts).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
-            added = added.filter(pa.compute.greater_equal(added.column("f_sum"), least))
-            n = added.num_rows
-            out.append(pa.table({"lang": pa.array([lang] * (n + 1), pa.string()),
-                                 "phrase": pa.concat_arrays([*added.column("phrase").cast(pa.binary()).cast(pa.string()).chunks, pa.array([""], pa.string())]),
-                                 "f": pa.concat_arrays([*added.column("f_sum").chunks, pa.array([totals[lang]], pa.int64())])}))
+            phrases, total = _added(rows, least)
+            words = sum(rows.column("words").to_pylist())
+            out.append(pa.table({"lang": pa.array([lang] * (len(phrases) + 1), pa.string()), "phrase": pa.array([*phrases, ""], pa.string()),
+                                 "f": pa.array([*total.tolist(), words], pa.int64())}))
         return pa.concat_tables(out)
 
     return run
@@ -227,7 +262,7 @@ def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     _, size = text_size(docs, text_col)
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // SHARD_BYTES))
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    packets = rows.mapInArrow(_block_rows(shards), PACKET).repartition(shards, "shard")
+    packets = rows.mapInArrow(_block_rows(shards), PACKET).repartitionById(shards, "shard")
     return packets.groupBy("shard").applyInArrow(_shard_sums(least), "lang string, phrase string, f long")
 
 
@@ -268,11 +303,12 @@ def exact_score(a: str, l: str, r: str) -> Column:  # noqa: E741
 
 def _first(best: DataFrame, top: int) -> DataFrame:
     """The first ``top`` phrases of every language with their rank.  A language
-    may hold most rows: its phrases are ranked in slices first, and only the
-    first ``top`` of every slice meet."""
+    may hold most rows: its phrases are ranked in slices first, in ever fewer
+    ones, and only the first ``top`` of every slice go on."""
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    slices = int(best.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    sliced = best.withColumn("__slice", F.pmod(F.xxhash64("phrase"), F.lit(slices)))
-    some = (sliced.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "__slice").orderBy(*order)))
-            .where(F.col("rank") <= top).drop("rank", "__slice"))
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    n = int(best.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    for slices in sorted({n, max(4, int(n ** 0.5)), 4}, reverse=True):
+        best = (best.withColumn("__slice", F.pmod(F.xxhash64("phrase"), F.lit(slices)))
+                .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "__slice").orderBy(*order)))
+                .where(F.col("rank") <= top).drop("rank", "__slice"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
