@@ -1,4 +1,5 @@
-"""Best partner of every row among the members of its groups, compared in tiles.
+"""Best partner of every row among the members of its groups, compared in tiles
+(:func:`best_partners` within one table, :func:`best_matches` between two).
 
 A group (an LSH bucket, say) may hold any number of rows.  Its members are
 dealt into chunks of about ``chunk`` rows, and every two chunks meet in one
@@ -16,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .skew import salted_join
+
 #: Scores are compared to so many digits, so that equal pairs tie whatever the block.
 DIGITS = 9
 
@@ -59,3 +63,71 @@ def best_partners(members: DataFrame, group: str, id_col: str, value_col: str, c
     found = rows.groupBy(group, "__ti", "__tk").applyInArrow(run, f"{id_col} long, partner long, cost double")
     best = found.groupBy(id_col).agg(F.min(F.struct("cost", "partner")).alias("b"))
     return best.select(id_col, F.col("b.partner").alias("partner"), F.col("b.cost").alias("cost"))
+
+
+def _matrix(t: pa.Table, col: str) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    lists = t.column(col).combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def best_matches(new: DataFrame, old: DataFrame, new_bands: DataFrame, old_bands: DataFrame, similarity: Callable[[np.ndarray, np.ndarray], np.ndarray],
+                 chunk: int = 500, exclude_same: bool = False) -> DataFrame:
+    """``(key, match_id, similarity)``: for every row of ``new`` the most similar
+    row of ``old`` among all that share a band with it, ties to the smaller id;
+    rows without one have no row.
+
+    ``new(key, signature, bands)`` and ``old(key, id, signature, bands)`` have
+    one row per key; the band tables ``(bk, key)`` one per band.  All members of
+    a bucket join the group of the bucket's smallest old key.  The new and the
+    old members of a group are dealt into chunks, and every new chunk meets
+    every old one in a task of its own, where ``similarity`` compares one
+    signature with a block of them and only rows with a common band count.  A
+    tile returns one row per new member.  ``exclude_same``: a row is no match
+    for the row of its own key.
+    """
+    heads = old_bands.groupBy("bk").agg(F.min("key").alias("head"))
+    wanted = salted_join(new_bands, heads, ["bk"], "inner", salt_by=["key"])
+    asks = cut_lineage(wanted.select("head", "key").distinct(), "match_asks")
+    # Only buckets that are asked for; their hot ones are spread.
+    have = salted_join(old_bands, wanted.select("bk", "head").distinct(), ["bk"], "inner", salt_by=["key"])
+    have = cut_lineage(have.select("head", "key").distinct(), "match_members")
+    size = (asks.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("na"))
+            .join(have.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("nh")), "head"))
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = salted_join(asks, size, ["head"], "inner", salt_by=["key"]).select("head", "key", place("na").alias("ta"), every("nh").alias("th"))
+    right = salted_join(have, size, ["head"], "inner", salt_by=["key"]).select("head", "key", every("na").alias("ta"), place("nh").alias("th"))
+    left = left.join(new.select("key", "signature", "bands"), "key").select(
+        "head", "ta", "th", F.lit(True).alias("asks"), "key", F.lit(None).cast("string").alias("id"), "signature", "bands")
+    right = right.join(old.select("key", "id", "signature", "bands"), "key").select(
+        "head", "ta", "th", F.lit(False).alias("asks"), "key", "id", "signature", "bands")
+
+    def run(t: pa.Table) -> pa.Table:
+        asks_ = t.column("asks").to_numpy()
+        mine, theirs = t.filter(pa.array(asks_)), t.filter(pa.array(~asks_))
+        none = pa.table({"key": pa.array([], pa.string()), "match_id": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+        if not mine.num_rows or not theirs.num_rows:
+            return none
+        theirs = theirs.sort_by("id")                        # the first best: the smaller id
+        ids, sig, bands = theirs.column("id").to_pylist(), _matrix(theirs, "signature"), _matrix(theirs, "bands")
+        own = np.array(theirs.column("key").to_pylist(), object)
+        keys, found, best = mine.column("key").to_pylist(), [], []
+        for key, s, b in zip(keys, _matrix(mine, "signature"), _matrix(mine, "bands")):
+            ok = (bands == b[None, :]).any(axis=1)
+            if exclude_same:
+                ok &= own != key
+            js = np.flatnonzero(ok)
+            if len(js):
+                m = np.round(similarity(s, sig[js]), DIGITS)
+                k = int(m.argmax())
+                found.append((key, ids[js[k]]))
+                best.append(float(m[k]))
+        if not found:
+            return none
+        k, i = zip(*found)
+        return pa.table({"key": pa.array(k, pa.string()), "match_id": pa.array(i, pa.string()), "similarity": pa.array(best, pa.float64())})
+
+    tiles = left.unionByName(right).groupBy("head", "ta", "th").applyInArrow(run, "key string, match_id string, similarity double")
+    best = tiles.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("c"), F.col("match_id").alias("i"))).alias("b"))
+    return best.select("key", F.col("b.i").alias("match_id"), (-F.col("b.c")).alias("similarity"))

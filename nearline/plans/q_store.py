@@ -196,15 +196,16 @@ lg AS (SELECT md5(text || '-' || json_object('pod_name', pod_name, 'severity', s
               epoch_us(ts) < (SELECT m FROM mid) AS first FROM logs),
 sig AS ({sig}),
 bands AS ({bands}),
+keys AS (SELECT id, dense_rank() OVER (ORDER BY signature) AS k FROM sig),
 stored AS (SELECT DISTINCT id FROM lg WHERE first),
 incoming AS (SELECT id FROM lg WHERE NOT first),
-heads AS (SELECT band_key, min(b.id) AS match_id FROM bands b JOIN stored s USING (id) GROUP BY band_key),
-cand AS (SELECT DISTINCT b.id, h.match_id FROM bands b JOIN (SELECT DISTINCT id FROM incoming) i USING (id)
-         JOIN heads h USING (band_key)),
-scored AS (SELECT c.id, c.match_id, {eq} AS similarity
-           FROM cand c JOIN sig a ON a.id = c.id JOIN sig b ON b.id = c.match_id),
-best AS (SELECT id, match_id, similarity FROM (
-           SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, match_id) AS rn FROM scored) WHERE rn = 1),
+news AS (SELECT k, min(id) AS any_id FROM (SELECT DISTINCT id FROM incoming) JOIN keys USING (id) GROUP BY k),
+olds AS (SELECT k, min(id) AS match_id FROM stored JOIN keys USING (id) GROUP BY k),
+cand AS (SELECT DISTINCT n.k, n.any_id, o.match_id FROM news n JOIN bands x ON x.id = n.any_id JOIN bands y ON y.band_key = x.band_key JOIN olds o ON o.match_id = y.id),
+scored AS (SELECT c.k, c.match_id, {eq} AS similarity FROM cand c JOIN sig a ON a.id = c.any_id JOIN sig b ON b.id = c.match_id),
+top AS (SELECT k, match_id, similarity FROM (
+          SELECT *, row_number() OVER (PARTITION BY k ORDER BY similarity DESC, match_id) AS rn FROM scored) WHERE rn = 1),
+best AS (SELECT i.id, match_id, similarity FROM (SELECT DISTINCT id FROM incoming) i JOIN keys USING (id) JOIN top USING (k)),
 dec AS (SELECT i.id, coalesce(b.similarity >= {GATE.threshold}, false) AS dup, b.match_id, b.similarity
         FROM incoming i LEFT JOIN best b USING (id))"""
 
@@ -245,15 +246,34 @@ def q_near_occurrences(spark, sf):
     return out.select("id", "closest_log_id", F.round("similarity", 6).alias("similarity"))
 
 
-@register("sync_edges", "K3 F4 H2 A13", None,
-          note="nearest unsynced neighbour per stored point, then sim_sync set; rows-only")
+def _sync_sql() -> str:
+    """From the definition: of all stored points, the nearest other one that shares a band."""
+    n = GATE.params.num_hashes
+    eq = f"list_sum(list_transform(range(1, {n} + 1), lambda i: (a.signature[i] = b.signature[i])::INTEGER)) / {n}"
+    return _gate_sql() + f""",
+pts AS (SELECT id FROM stored UNION SELECT id FROM dec WHERE NOT dup),
+by_key AS (SELECT k, min(id) AS first FROM pts JOIN keys USING (id) GROUP BY k),
+seconds AS (SELECT k, min(id) AS second FROM pts JOIN keys USING (id) JOIN by_key USING (k) WHERE id <> first GROUP BY k),
+both_ AS (SELECT DISTINCT p.k, p.first AS x, q.first AS y FROM by_key p JOIN bands u ON u.id = p.first JOIN bands v ON v.band_key = u.band_key
+          JOIN by_key q ON q.first = v.id AND q.k <> p.k),
+rated AS (SELECT z.k, z.y, {eq} AS sim FROM both_ z JOIN sig a ON a.id = z.x JOIN sig b ON b.id = z.y),
+other AS (SELECT id AS src, y AS dst, sim FROM pts JOIN keys USING (id) JOIN rated USING (k)
+          UNION ALL SELECT id, first, 1.0 FROM pts JOIN keys USING (id) JOIN by_key USING (k) WHERE id <> first
+          UNION ALL SELECT first, second, 1.0 FROM by_key JOIN seconds USING (k))
+SELECT src, dst, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rn FROM other) WHERE rn = 1"""
+
+
+@register("sync_edges", "K3 F4 H2 A13", _sync_sql,
+          note="two inserts with a sync pass after each; the neighbour graph equals that of one pass over all points")
 def q_sync_edges(spark, sf):
-    _dec, pts, _look = _gate_run(spark, sf)
-    edges = IG.sync_edges(pts)
-    from ..session import cut_lineage
-    edges = cut_lineage(edges, "sync-edges")
-    IG.mark_synced(pts, edges.select(F.col("src").alias("id")))
-    return edges.select("src", "dst", F.round("sim", 6).alias("sim"))
+    from ..sources.log_store import LogStore
+    first, second = _halves(log_lines(spark, sf))
+    st = LogStore(spark, _root(spark, "sync"), GATE)
+    st.insert(first)
+    st.sync()
+    st.insert(second)
+    st.sync()
+    return st.edges().select("src", "dst", F.round("sim", 6).alias("sim"))
 
 
 @register("stream_ingest", "K1 K4", """

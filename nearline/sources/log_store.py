@@ -54,12 +54,33 @@ class LogStore:
         return S.near_occurrences(self.lookup.current(), ids)
 
     def sync(self) -> DataFrame:
-        """K3: edges from every unsynced point to its nearest; marks them synced."""
+        """K3: brings every point's edge to its nearest other point up to date
+        and marks the points as synced; the edges that changed."""
+        from ..streaming.neighbours import sync
+        return sync(self.points, self.config.metric)
+
+    def edges(self) -> DataFrame:
+        """``(src, dst, sim)``: the nearest other point of every synced point."""
+        from ..streaming.neighbours import edge_store
+        return edge_store(self.points).current()
+
+    def delete_conditional(self, specs) -> DataFrame:
+        """Delete the points that the filter holds for; their ids."""
         from ..session import cut_lineage
-        from ..streaming.ingest import mark_synced, sync_edges
-        edges = cut_lineage(sync_edges(self.points), "sync-edges")
-        mark_synced(self.points, edges.select(F.col("src").alias("id")))
-        return edges
+        from ..streaming.neighbours import forget
+        gone = cut_lineage(FL.apply(self.points.current(), specs).select("id"), "deleted_ids")
+        self.points.delete_keys(gone)
+        forget(self.points, gone)
+        return gone
+
+    def update_payload_conditional(self, values: dict, specs=None) -> int:
+        """Set payload columns of the points that the filter holds for.  Text,
+        signature and id stay as they are, so neither index nor edges change."""
+        fixed = {"id", "signature", "band_keys", "text_payload"} & set(values)
+        if fixed:
+            raise ValueError(f"{sorted(fixed)} cannot be updated")
+        rows = FL.apply(self.points.current(), specs)
+        return self.points.replace(rows.withColumns({k: F.lit(v) for k, v in values.items()}))
 
     def clear(self) -> None:
         """All rows of both tables go, their definitions stay."""

@@ -163,6 +163,10 @@ class TableStore:
         finally:
             stream.close()
 
+    def has_writes(self, before: int) -> bool:
+        """True where a write below a place is there (names are listed, no row is read)."""
+        return self._base() is not None or any(int(n.split("=")[1]) < before for n in self._names("/data"))
+
     def is_settled(self, seq: int) -> bool:
         base = self._base()
         return base is not None and seq <= base.upto
@@ -301,7 +305,8 @@ class TableStore:
     def _write(self, rows: DataFrame, seq: int, deleted: bool = False) -> None:
         if self.is_settled(seq):                              # a repeated write that is merged already
             return
-        out = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields], F.lit(deleted).alias("__deleted"))
+        flag = F.col("__deleted") if "__deleted" in rows.columns else F.lit(deleted)
+        out = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields], flag.alias("__deleted"))
         out.write.mode("overwrite").parquet(f"{self.root}/data/seq={seq}")
         if self.compact_every and len(self._names("/data")) >= self.compact_every:
             base = self._base()
@@ -357,6 +362,29 @@ class TableStore:
             self._write(self.current(seq).where(F.coalesce(cond, F.lit(False))).withColumns(updates), seq)
         return seq
 
+    def put(self, rows: DataFrame, epoch: int, writer: str) -> int:
+        """Whole rows, one per key, with a ``__deleted`` flag each."""
+        return self.replace(rows.select(*self._cols(), "__deleted"), epoch, writer)
+
+    def is_written(self, epoch: int, writer: str = OWN) -> bool:
+        """True where that write is finished."""
+        seq = self._commits().get((writer, epoch))
+        if seq is not None and self._has(f"/data/seq={seq}/_SUCCESS"):
+            return True
+        return any(a <= epoch <= b for a, b in self._settled(self._base()).get(writer, []))
+
+    def writes(self, before: int, wanted) -> list[tuple[int, DataFrame]]:
+        """``(place, rows with __deleted)`` of the finished writes below a place for
+        which ``wanted(place)`` holds; merged ones come as one, under the place they reach."""
+        out, base = [], self._base()
+        if base is not None and base.upto < before and wanted(base.upto):
+            out.append((base.upto, self._segments(base).drop("seq")))
+        tail = self._tail(base, before)
+        for seq in sorted(int(n.split("=")[1]) for n in self._names("/data")):
+            if (base.upto if base else -1) < seq < before and self._has(f"/data/seq={seq}/_SUCCESS") and wanted(seq):
+                out.append((seq, tail.where(F.col("seq") == seq).drop("seq")))
+        return out
+
     def abandon(self, epoch: int, writer: str = OWN) -> int:
         """Settle a write that failed for good as one without rows; until then it
         holds compaction back, since its repetition could still bring rows."""

@@ -6,10 +6,13 @@ and the lookup table (first wins).  Both writes are named by (writer, epoch) and
 have a fixed place in the stores' logs, so a replayed micro-batch sees the
 store as its first run did and changes nothing.
 
-Matching (F1, k=1) uses the band buckets of the stored points: each bucket
-is represented by its smallest stored id (its head); an incoming log's
-candidates are the heads of the buckets it falls into (at most ``bands``
-candidates, whatever the bucket sizes), scored with the configured metric.
+Matching (F1, k=1) finds the best of *all* stored points that share a band with
+the incoming log, scored with the configured metric, ties to the smaller id.
+The stored side comes from the band index beside the points
+(:mod:`nearline.sources.band_index`): only the slots of the batch's bands are
+opened, and new and stored signatures meet in tiles.  A batch whose place
+lies before writes that are indexed already (an old one, repeated) is matched
+against the view of the points at that place instead, with the same result.
 ``cosine`` of raw signatures is the faithful default; ``jaccard`` (share of
 equal signature slots) is offered as the better-behaved choice.
 """
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ..operators import minhash as M
 from ..operators.skew import salted_join
-from ..operators.vectors import cosine
 from ..session import cut_lineage
+from ..sources.band_index import BandIndex, best_of_ids, distinct_signatures, keyed, match_view, similarity_blocks
 from ..sources.store import OWN, TableStore
 
 
@@ -56,41 +59,28 @@ def embed_logs(logs: DataFrame, cfg: GateConfig) -> DataFrame:
                       "severity", F.col("ts").cast("timestamp").alias("ts"))
 
 
-def _sim(metric: str, a, b):
-    if metric == "cosine":
-        return cosine(a, b)
-    if metric == "jaccard":
-        return M.signature_similarity(a, b)
-    raise ValueError("metric must be 'cosine' or 'jaccard'")
+def match(incoming: DataFrame, stored: DataFrame, metric: str) -> DataFrame:
+    """``(id, match_id, similarity)``: the best of all stored points that share
+    a band, per incoming id (no row if none).  Equal signatures are compared once."""
+    new = cut_lineage(distinct_signatures(incoming).drop("id"), "new_signatures")
+    return best_of_ids(incoming, match_view(new, stored, metric))
 
 
-def match(incoming: DataFrame, stored: DataFrame, metric: str) -> DataFrame:
-    """``(id, match_id, similarity)``: best stored head per incoming id (no row if none).
+def band_index(points: TableStore) -> BandIndex:
+    """The index that stands beside a point store."""
+    return BandIndex(points.spark, points.root + "-bands")
 
-    A match depends only on the signature (candidates come from its band
-    keys, scores from its values), so candidates are generated once per
-    distinct signature; identical log lines, however many, collapse in a
-    map-side partial aggregate first.  The results go back to the ids with
-    a salted join (one signature may stand for a third of the batch).
-    """
-    uniq = incoming.select("signature", "band_keys").dropDuplicates(["signature"]) \
-        .withColumn("sig_key", F.xxhash64("signature"))
-    heads = (stored.select("id", F.explode("band_keys").alias("bk"))
-             .groupBy("bk").agg(F.min("id").alias("match_id")))
-    inb = uniq.select("sig_key", "signature", F.explode("band_keys").alias("bk"))
-    cand = salted_join(inb.select("sig_key", "bk"), heads, ["bk"], "inner", salt_by=["sig_key"]) \
-        .select("sig_key", "match_id").distinct()
-    sigs = stored.select(F.col("id").alias("match_id"), F.col("signature").alias("__sb"))
-    j = salted_join(cand.join(uniq.select("sig_key", F.col("signature").alias("__sa")), "sig_key"), sigs,
-                    ["match_id"], "inner", salt_by=["sig_key"])
-    scored = j.select("sig_key", "__sa", "match_id", _sim(metric, F.col("__sa"), F.col("__sb")).alias("similarity"))
-    best = scored.groupBy("sig_key", "__sa").agg(
-        F.min_by(F.struct("match_id", "similarity"), F.struct(-F.col("similarity"), F.col("match_id"))).alias("w"))
-    best = best.select(F.col("__sa").alias("signature"), F.col("w.match_id").alias("match_id"),
-                       F.col("w.similarity").alias("similarity"))
-    per_id = incoming.select("id", "signature").dropDuplicates(["id"])
-    out = salted_join(per_id, best, ["signature"], "inner", salt_by=["id"])
-    return out.select("id", "match_id", "similarity")
+
+def match_stored(incoming: DataFrame, points: TableStore, place: int, metric: str) -> DataFrame:
+    """:func:`match` against the points as they were before ``place``."""
+    index = band_index(points)
+    if not points.has_writes(place):
+        return incoming.sparkSession.createDataFrame([], "id string, match_id string, similarity double")
+    if index.reaches(place):
+        return match(incoming, points.current(place).select("id", "signature", "band_keys"), metric)
+    index.catch_up(points, place)
+    new = cut_lineage(distinct_signatures(incoming).drop("id"), "new_signatures")
+    return best_of_ids(incoming, index.match(new, metric))
 
 
 def decide(incoming: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
@@ -113,13 +103,15 @@ def ingest(logs: DataFrame, points: TableStore, lookup: TableStore, cfg: GateCon
     epoch = points.next_epoch(writer) if epoch is None else epoch
     place, look_place = points.place(writer, epoch), lookup.place(writer, epoch)
     name = f"{writer}-{epoch}"
+    similarity_blocks(cfg.metric)                                 # refuse an unknown metric before any work
     rows = embed_logs(logs, cfg)
+    if points.is_settled(place):                                  # merged long ago: nothing is written, the answer is on record
+        return settled_decisions(rows, lookup)
     if skip_seen:
         rows = rows.join(lookup.log(look_place).select("id").distinct(), "id", "left_anti")
     # Embedded once: matching, deciding and both writes read it.
     incoming = cut_lineage(rows, f"embedded-{name}")
-    stored = cut_lineage(points.current(place).select("id", "signature", "band_keys"), f"stored-{name}")
-    decisions = decide(incoming, match(incoming, stored, cfg.metric), cfg.threshold)
+    decisions = decide(incoming, match_stored(incoming, points, place, cfg.metric), cfg.threshold)
     if cfg.dedupe_within_batch:
         # Only among the rows that would be stored: the first of equal ones is.
         new = F.col("decision") == "new"
@@ -139,29 +131,32 @@ def ingest(logs: DataFrame, points: TableStore, lookup: TableStore, cfg: GateCon
     return decisions
 
 
+def settled_decisions(rows: DataFrame, lookup: TableStore) -> DataFrame:
+    """The decisions of a batch whose writes are merged, from its lookup rows."""
+    found = lookup.lookup(rows.select("id")).select("id", "closest_log_id", F.col("similarity").alias("lookup_sim"))
+    own = F.col("closest_log_id") == F.col("id")
+    return rows.join(found, "id").withColumns({
+        "decision": F.when(own, F.lit("new")).otherwise(F.lit("duplicate")),
+        "match_id": F.when(~own, F.col("closest_log_id")), "similarity": F.when(~own, F.col("lookup_sim"))})
+
+
 def summary(decisions: DataFrame) -> DataFrame:
     """Counts per decision."""
     return decisions.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sync_edges(points: TableStore, metric: str = "cosine") -> DataFrame:
-    """K3: nearest other unsynced point for every unsynced point, as edges.
-
-    Candidates are band-bucket stars among the unsynced points (see
-    :func:`nearline.operators.vectors.star_neighbours`).  Returns
-    ``(src, dst, sim)``; call :func:`mark_synced` after the edges are stored.
-    """
-    from ..operators.vectors import star_neighbours
-    uns = points.current().where(~F.col("sim_sync"))
-    keyed = uns.select("id", F.explode("band_keys").alias("bk"))
-    nb = star_neighbours(keyed, uns.select("id", "signature"), "id", "signature", metric)
-    return nb.select(F.col("id").alias("src"), F.col("neighbour").alias("dst"), F.col("score").alias("sim"))
+    """K3 as a plain scan: ``(src, dst, sim)`` from every unsynced point to its
+    nearest other *unsynced* point, the best of all that share a band.
+    :func:`nearline.streaming.neighbours.sync` keeps the edges of all points up."""
+    from .neighbours import nearest_edges
+    return nearest_edges(keyed(points.current().where(~F.coalesce("sim_sync", F.lit(False)))), metric)
 
 
 def mark_synced(points: TableStore, ids: DataFrame, epoch: int | None = None, writer: str = OWN) -> int:
     """K3 completion: set ``sim_sync`` for the given ids (A13 on the store)."""
     epoch = points.next_epoch(writer) if epoch is None else epoch
-    cur = points.current(points.place(writer, epoch)).join(ids.select("id"), "id", "left_semi")
+    cur = points.lookup(ids.select("id"), points.place(writer, epoch))
     return points.replace(cur.withColumn("sim_sync", F.lit(True)), epoch, writer)
 
 
