@@ -65,12 +65,48 @@ def best_partners(members: DataFrame, group: str, id_col: str, value_col: str, c
     return best.select(id_col, F.col("b.partner").alias("partner"), F.col("b.cost").alias("cost"))
 
 
-def _matrix(t: pa.Table, col: str) -> np.ndarray:
+def matrix(t: pa.Table, col: str) -> np.ndarray:
     """A column of equally long lists as a matrix."""
     lists = t.column(col).combine_chunks()
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
+def best_of_lists(asks: DataFrame, have: DataFrame, costs: Callable[[np.ndarray, np.ndarray], np.ndarray], chunk: int = 4000) -> DataFrame:
+    """``(id, partner, cost)``: for every id of ``asks(g, id, v)`` the other id with
+    the least cost among ``have(g, id, v)`` of the same lists ``g``, ties to the
+    smaller id.  Both sides of a list are dealt into chunks, and every two
+    chunks meet in a task; a tile returns one row per asking row."""
+    asks, have = cut_lineage(asks, "list_asks"), cut_lineage(have, "list_rows")
+    chunks = lambda df, n: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(n))
+    size = chunks(asks, "na").join(chunks(have, "nh"), "g")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # One row per list, and lists are few: Spark sees how few and broadcasts them.
+    left = asks.join(size, "g").select("g", "id", "v", place("na").alias("ta"), every("nh").alias("th"))
+    right = have.join(size, "g").select("g", "id", "v", every("na").alias("ta"), place("nh").alias("th"))
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        ids, partner, cost = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if mine.num_rows and theirs.num_rows:
+            theirs = theirs.sort_by("id")
+            own, other = mine.column("id").to_numpy(), theirs.column("id").to_numpy()
+            a, b = matrix(mine, "v"), matrix(theirs, "v")
+            for k in range(0, len(a), 256):
+                m = np.round(costs(a[k:k + 256], b), DIGITS)
+                m[own[k:k + 256, None] == other[None, :]] = np.inf
+                j = m.argmin(axis=1)
+                c = m[np.arange(len(j)), j]
+                ok = np.isfinite(c)
+                ids.append(own[k:k + 256][ok])
+                partner.append(other[j[ok]])
+                cost.append(c[ok])
+        return pa.table({"id": pa.array(np.concatenate(ids)), "partner": pa.array(np.concatenate(partner)), "cost": pa.array(np.concatenate(cost))})
+
+    found = left.groupBy("g", "ta", "th").cogroup(right.groupBy("g", "ta", "th")).applyInArrow(run, "id long, partner long, cost double")
+    best = found.groupBy("id").agg(F.min(F.struct("cost", "partner")).alias("b"))
+    return best.select("id", F.col("b.partner").alias("partner"), F.col("b.cost").alias("cost"))
+
+
 def best_matches(new: DataFrame, old: DataFrame, new_bands: DataFrame, old_bands: DataFrame, similarity: Callable[[np.ndarray, np.ndarray], np.ndarray],
                  chunk: int = 500, exclude_same: bool = False) -> DataFrame:
     """``(key, match_id, similarity)``: for every row of ``new`` the most similar
@@ -110,10 +146,10 @@ def best_matches(new: DataFrame, old: DataFrame, new_bands: DataFrame, old_bands
         if not mine.num_rows or not theirs.num_rows:
             return none
         theirs = theirs.sort_by("id")                        # the first best: the smaller id
-        ids, sig, bands = theirs.column("id").to_pylist(), _matrix(theirs, "signature"), _matrix(theirs, "bands")
+        ids, sig, bands = theirs.column("id").to_pylist(), matrix(theirs, "signature"), matrix(theirs, "bands")
         own = np.array(theirs.column("key").to_pylist(), object)
         keys, found, best = mine.column("key").to_pylist(), [], []
-        for key, s, b in zip(keys, _matrix(mine, "signature"), _matrix(mine, "bands")):
+        for key, s, b in zip(keys, matrix(mine, "signature"), matrix(mine, "bands")):
             ok = (bands == b[None, :]).any(axis=1)
             if exclude_same:
                 ok &= own != key

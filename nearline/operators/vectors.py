@@ -3,22 +3,24 @@
 Scores are built-in higher-order expressions (``zip_with`` + ``aggregate``)
 over ``ARRAY<DOUBLE>``, evaluated next to the scan.  Top-k over a table is
 ``orderBy(...).limit(k)`` (TakeOrderedAndProject: each task keeps k rows).
-Batched search multiplies blocks of points with the query matrix inside
-tasks and keeps k rows per query and task; one window merges them.
+Batched search compares blocks of queries with blocks of points inside tasks
+and keeps k rows per query and block; one window merges them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .skew import salted_join
-from .tiles import DIGITS, best_partners
+from ..session import cut_lineage
+from .tiles import DIGITS, best_of_lists, best_partners, matrix
 
 METRICS = ("cosine", "euclidean", "dot")
 
@@ -84,51 +86,80 @@ def topk(points: DataFrame, id_col: str, vec_col: str, query, k: int = 5, metric
     return ranked.withColumn("rank", F.row_number().over(w))
 
 
-def batch_topk(points: DataFrame, id_col: str, vec_col: str, queries: list, k: int = 5,
-               metric: str = "cosine", filters: list[Column | None] | None = None) -> DataFrame:
-    """``(qid, rank, id, score)``, k rows per query, query order kept in ``qid``.
+def search_blocks(points: DataFrame, id_col: str, vec_col: str, queries: DataFrame, qid_col: str, qvec_col: str, k: int = 5,
+                  metric: str = "cosine", filters: list[Column] | None = None, filter_col: str | None = None,
+                  same: tuple[str, str] | None = None, not_self: bool = False, point_rows: int = 16384, query_rows: int = 2048) -> DataFrame:
+    """The ``k`` best points of every query of a table, ``(qid, rank, id, score)``.
 
-    ``filters[i]`` (optional) restricts the candidates of query i.
-    """
-    if filters is not None and len(filters) != len(queries):
-        raise ValueError(f"{len(filters)} filters for {len(queries)} queries")
-    if metric not in METRICS:
-        raise ValueError(f"metric is one of {METRICS}, not {metric!r}")
-    if not queries:
-        raise ValueError("no queries")
-    allowed = [F.lit(True) if filters is None or f is None else F.coalesce(f, F.lit(False)) for f in (filters or [None] * len(queries))]
-    matrix = np.asarray(queries, dtype=np.float64)
-    costs = cost_blocks(metric)
+    Both tables are dealt into blocks by a hash of their ids, and every block of
+    queries meets every block of points in a task of its own, as a matrix of
+    costs; a task keeps ``k`` rows per query, and the blocks' rows are ranked
+    per query with a partial limit before the shuffle.  Memory is bounded by
+    the block sizes, whatever the tables' sizes; nothing passes the driver but
+    two counts.  Ties go to the smaller id.
 
-    def run(batches):
-        best: list[list] = [[] for _ in queries]             # (cost, id), at most k each
-
-        def keep(q, cost, ids):
-            order = np.lexsort((ids, cost))[:k]
-            best[q] = sorted([*best[q], *zip(cost[order].tolist(), ids[order].tolist())])[:k]
-
-        for b in batches:
-            lists = b.column("v")
-            if not len(lists):
-                continue
-            block = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
-            ids, ok = b.column("id").to_numpy(zero_copy_only=False), np.stack(b.column("ok").to_pylist())
-            for a in range(0, len(block), 4096):
-                m = np.round(costs(block[a:a + 4096], matrix), DIGITS)
-                for q in range(len(queries)):
-                    use = np.flatnonzero(ok[a:a + 4096, q])
-                    if len(use):
-                        keep(q, m[use, q], ids[a:a + 4096][use])
-        rows = [(q, c, i) for q, found in enumerate(best) for c, i in found]
-        if rows:
-            qs, cs, ids = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int32()), pa.array(ids, pa.int64()), pa.array(cs, pa.float64())], names=["qid", "id", "cost"])
-
-    src = points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _d(F.col(vec_col)).alias("v"), F.array(*allowed).alias("ok"))
-    merged = src.mapInArrow(run, "qid int, id long, cost double")
+    A query's own filter: ``filter_col`` (of ``queries``) has the place of a
+    condition in ``filters``, null for none; ``same`` names a column of the
+    points and one of the queries that must be equal (null is equal to
+    nothing).  ``not_self`` leaves out the point whose id is the query's.
+    Rows without a vector take no part.
+    """
+    if k < 1:
+        raise ValueError("k from 1")
+    if (filters is None) != (filter_col is None):
+        raise ValueError("filters and filter_col go together")
+    costs, filtered, equal = cost_blocks(metric), bool(filters), same is not None      # what tasks need of the arguments
+    none = F.lit(None).cast("string")
+    p = points.where(F.col(vec_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.array(*[F.coalesce(f, F.lit(False)) for f in filters or []]).cast("array<boolean>").alias("ok"),
+        (F.col(same[0]).cast("string") if same else none).alias("same"))
+    q = queries.where(F.col(qvec_col).isNotNull()).select(
+        F.col(qid_col).alias("qid"), F.col(qvec_col).alias("v"), (F.col(filter_col) if filter_col else F.lit(None)).cast("int").alias("f"),
+        (F.col(same[1]).cast("string") if same else none).alias("same"))
+    nq, np_ = max(1, -(-q.count() // query_rows)), max(1, -(-p.count() // point_rows))
+    np_ = max(np_, min(points.sparkSession.sparkContext.defaultParallelism // nq, 64))       # no result depends on it
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = p.select("*", block("id", np_).alias("pb")).select("*", every(nq).alias("qb"))
+    q = q.select("*", block("qid", nq).alias("qb")).select("*", every(np_).alias("pb"))
+    id_type, qid_type = p.schema["id"].dataType, q.schema["qid"].dataType
+    schema = T.StructType([T.StructField("qid", qid_type), T.StructField("id", id_type), T.StructField("cost", T.DoubleType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["qid", "id", "cost"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([right.column("qid").slice(0, 0), left.column("id").slice(0, 0), pa.array([], pa.float64())], names=names)
+        left = left.sort_by("id").combine_chunks()               # the first least: the smaller id
+        ids, block_ = left.column("id"), matrix(left, "v")
+        ok = np.array(left.column("ok").to_pylist(), bool) if filtered else None
+        f = right.column("f").to_pylist()
+        mine, theirs = (np.array(t.column("same").to_pylist(), object) for t in (left, right)) if equal else (None, None)
+        own = {x: i for i, x in enumerate(ids.to_pylist())} if not_self else {}
+        at, of, cost = [], [], []
+        asked, qids = matrix(right, "v"), right.column("qid").to_pylist()
+        for a in range(0, len(asked), 64):
+            m = np.round(costs(asked[a:a + 64], block_), DIGITS)
+            for j, row in enumerate(m):
+                i = a + j
+                if filtered and f[i] is not None:
+                    row = np.where(ok[:, f[i]], row, np.inf)
+                if equal:
+                    row = np.where((mine == theirs[i]) & (theirs[i] is not None), row, np.inf)
+                if qids[i] in own:
+                    row[own[qids[i]]] = np.inf
+                cut = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+                some = np.flatnonzero((row <= cut) & np.isfinite(row))
+                some = some[np.argsort(row[some], kind="stable")][:k]
+                at.append(some)
+                of.append(np.full(len(some), i))
+                cost.append(row[some])
+        return pa.table([right.column("qid").take(pa.array(np.concatenate(of))), ids.take(pa.array(np.concatenate(at))),
+                         pa.array(np.concatenate(cost).astype(np.float64))], names=names)
+
+    found = p.groupBy("qb", "pb").cogroup(q.groupBy("qb", "pb")).applyInArrow(run, schema)
     w = Window.partitionBy("qid").orderBy("cost", "id")
-    return (merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("qid", F.col("id").alias(id_col), (F.col("cost") if metric == "euclidean" else -F.col("cost")).alias("score"), "rank"))
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("qid", "rank", "id", (F.col("cost") if metric == "euclidean" else -F.col("cost")).alias("score")))
 
 
 # ------------------------------------------------------------ SimHash LSH
@@ -160,14 +191,16 @@ def simhash_band_keys(vec: Column, planes: list[list[float]], bands: int) -> Col
     return F.array(*keys)
 
 
-def bits_per_band(rows: int, bucket_rows: int = 64) -> int:
-    """So many sign bits that a bucket holds about ``bucket_rows`` rows."""
-    return max(2, math.ceil(math.log2(max(rows, 1) / bucket_rows)))
-
-
 def cost_blocks(metric: str):
-    """The matrix of costs (less is better) between two blocks of vectors."""
+    """The matrix of costs (less is better) between two blocks of vectors; ``jaccard``
+    is the share of equal places (of signatures)."""
+    if metric not in (*METRICS, "jaccard"):
+        raise ValueError(f"metric is one of {(*METRICS, 'jaccard')}, not {metric!r}")
+
     def costs(a, b):
+        if metric == "jaccard":
+            return -np.stack([(b == x[None, :]).sum(axis=1) / b.shape[1] for x in a])
+        a, b = a.astype(np.float64), b.astype(np.float64)
         if metric == "euclidean":
             return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0))
         product = a @ b.T
@@ -178,55 +211,106 @@ def cost_blocks(metric: str):
     return costs
 
 
-def lsh_neighbours(points: DataFrame, id_col: str, vec_col: str, metric: str = "cosine",
-                   bands: int = 4, seed: int = 7) -> DataFrame:
-    """Each point's best *other* point among all points that share a
-    SimHash band with it: ``(id, neighbour, score)``; a point alone in all
-    its buckets has no row.  The number of sign bits follows the row count."""
-    if metric not in METRICS:
-        raise ValueError(f"metric is one of {METRICS}, not {metric!r}")
-    bits = bits_per_band(points.count())
-    planes = hyperplanes(bands * bits, _dim(points, vec_col), seed)
-    keys = F.explode(simhash_band_keys(F.col(vec_col), planes, bands)).alias("bk")
-    best = best_partners(points.select(id_col, vec_col, keys), "bk", id_col, vec_col, cost_blocks(metric))
-    score_col = F.col("cost") if metric == "euclidean" else -F.col("cost")
-    return best.select(id_col, F.col("partner").alias("neighbour"), score_col.alias("score"))
+# ------------------------------------------------------------ nearest other point of every point
+
+@dataclass(frozen=True)
+class IndexParams:
+    """Lists of a coarse quantiser.  Bounds, whatever the table's size: centroids
+    are fitted on ``sample`` rows, calibrated with ``asks`` rows, and at most
+    ``most_lists`` are broadcast in tasks."""
+    sample: int = 20_000
+    asks: int = 400
+    most_lists: int = 1024
+    recall: float = 0.97                 # of the asks' true nearest points, in the lists probed
+    rounds: int = 6
 
 
-def star_neighbours(keyed: DataFrame, vecs: DataFrame, id_col: str, vec_col: str,
-                    metric: str = "cosine") -> DataFrame:
-    """Best other point per id among bucket-star candidates.
+def _some(points: DataFrame, n: int, salt: int) -> DataFrame:
+    """``n`` rows by the smallest hashes of their ids: the same at every run."""
+    return points.orderBy(F.xxhash64(F.lit(salt), "id"), "id").limit(n)
 
-    ``keyed(id, bk)`` holds the bucket keys of each point.  Candidates of u:
-    the smallest member of each bucket u is in, and the members of the
-    buckets u is the smallest of: O(n x bands) edges, never all pairs of a
-    bucket.  Ties go to the smaller id; a point with no candidate has no row.
-    Returns ``(id, neighbour, score)``.
+
+def fit_lists(points: DataFrame, metric: str, params: IndexParams) -> np.ndarray:
+    """Centroids of ``(id, v)`` rows by k-means on a bounded sample."""
+    rows = _some(points, params.sample, 1).select("v").toArrow()
+    x = matrix(rows, "v").astype(np.float64)
+    if metric == "cosine":
+        x = _unit_rows(x)
+    lists = int(min(params.most_lists, max(1, round(math.sqrt(len(x))))))
+    c = x[:lists].copy()                                         # rows in hash order: a random choice
+    for _ in range(params.rounds):
+        own = np.concatenate([_list_costs(metric, x[a:a + 4096], c).argmin(axis=1) for a in range(0, len(x), 4096)])
+        size = np.bincount(own, minlength=lists)
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
+        if metric == "cosine":
+            c = _unit_rows(c)
+    return c
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1.0, n)
+
+
+def _list_costs(metric: str, x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.round(cost_blocks(metric)(x, centroids), DIGITS)
+
+
+def probes_needed(points: DataFrame, centroids: np.ndarray, metric: str, params: IndexParams) -> int:
+    """How many lists a point must look into, nearest centroids first, so that a
+    share of ``recall`` of the sampled points finds its true nearest one, which
+    an exact search over all rows tells."""
+    asks = cut_lineage(_some(points, params.asks, 2), "index_asks")
+    best = search_blocks(points, "id", "v", asks, "id", "v", 1, metric, not_self=True).select("qid", F.col("id").alias("near"))
+    both = (asks.withColumnRenamed("id", "qid").join(best, "qid")
+            .join(points.select(F.col("id").alias("near"), F.col("v").alias("w")), "near")).select("v", "w").toArrow()
+    if not both.num_rows:
+        return len(centroids)
+    order = np.argsort(_list_costs(metric, matrix(both, "v"), centroids), axis=1, kind="stable")
+    own = _list_costs(metric, matrix(both, "w"), centroids).argmin(axis=1)
+    rank = np.sort((order == own[:, None]).argmax(axis=1) + 1)
+    return int(rank[min(len(rank) - 1, math.ceil(params.recall * len(rank)) - 1)])
+
+
+def nearest_others(points: DataFrame, id_col: str, vec_col: str, metric: str = "cosine", params: IndexParams = IndexParams(),
+                   chunk: int = 4000) -> DataFrame:
+    """``(id, neighbour, score)``: each point's nearest *other* point, ties
+    to the smaller id; a point alone in the table has no row.
+
+    Every row is stored in the list of its nearest centroid and looks into as
+    many lists as the calibration found necessary for the wanted recall, in
+    tiles.  Where that is half of all lists or more (points without structure,
+    small tables), comparing every two blocks of the table costs no more, and
+    the result is exact.  Points that meet no other in their lists are searched
+    exactly.  Vectors that are null take no part; ids are longs.
     """
-    reps = keyed.groupBy("bk").agg(F.min(id_col).alias("rep"))
-    star = (salted_join(keyed, reps, ["bk"], "inner", salt_by=[id_col])
-            .where(F.col(id_col) != F.col("rep")).select(F.col(id_col).alias("a"), F.col("rep").alias("b")))
-    both = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    j = both.join(vecs.withColumnRenamed(id_col, "a").withColumnRenamed(vec_col, "va"), "a")
-    j = salted_join(j, vecs.withColumnRenamed(id_col, "b").withColumnRenamed(vec_col, "vb"), ["b"], "inner",
-                    salt_by=["a"])
-    scored = j.select("a", "b", score(metric, F.col("va"), F.col("vb")).alias("score"))
-    best = scored.groupBy("a").agg(F.min_by(F.struct("b", "score"), _rank(metric)).alias("__w"))
-    return best.select(F.col("a").alias(id_col), F.col("__w.b").alias("neighbour"), F.col("__w.score").alias("score"))
-
-
-def _rank(metric: str) -> Column:
-    """Ascending rank key: best score first, then the smaller id."""
-    s = F.col("score") if metric == "euclidean" else -F.col("score")
-    return F.struct(s, F.col("b"))
-
-
-def _dim(points: DataFrame, vec_col: str) -> int:
-    """Vector dimension (one row read)."""
-    row = points.select(F.size(vec_col).alias("n")).where(F.col("n") > 0).first()
-    if row is None:
-        raise ValueError("no vectors")
-    return int(row["n"])
+    rows = points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _d(F.col(vec_col)).alias("v"))
+    rows = cut_lineage(rows, "index_rows")
+    score_col = F.col("cost") if metric == "euclidean" else -F.col("cost")
+    said = lambda best: best.select(F.col("id").alias(id_col), F.col("partner").alias("neighbour"), score_col.alias("score"))
+    costs = cost_blocks(metric)
+    if rows.isEmpty():
+        return said(rows.select("id", F.col("id").alias("partner"), F.lit(0.0).alias("cost")))
+    centroids = fit_lists(rows, metric, params)
+    probes = probes_needed(rows, centroids, metric, params)
+    if 2 * probes >= len(centroids):
+        return said(best_partners(rows.withColumn("g", F.lit(1)), "g", "id", "v", costs, chunk))
+
+    def listed(how_many):
+        def run(batches):
+            for b in batches:
+                order = np.argsort(_list_costs(metric, matrix(pa.Table.from_batches([b]), "v"), centroids), axis=1, kind="stable")[:, :how_many]
+                for a in range(how_many):
+                    yield pa.RecordBatch.from_arrays([pa.array(order[:, a].astype(np.int32)), b.column("id"), b.column("v")], names=["g", "id", "v"])
+        return rows.mapInArrow(run, "g int, id long, v array<double>")
+
+    found = cut_lineage(best_of_lists(listed(probes), listed(1), costs, chunk), "index_best")
+    alone = cut_lineage(rows.join(found.select("id"), "id", "left_anti"), "index_alone")
+    rest = search_blocks(rows, "id", "v", alone, "id", "v", 1, metric, not_self=True).select(
+        F.col("qid").alias("id"), F.col("id").alias("partner"), (F.col("score") if metric == "euclidean" else -F.col("score")).alias("cost"))
+    return said(found.unionByName(rest))
 
 
 def unit(v) -> list[float]:

@@ -333,3 +333,35 @@ def q_search_text(spark, sf):
 def q_search_text_filtered(spark, sf):
     specs = [{"key": "severity", "op": "in", "value": ["VIEW", "CLICK"]}, {"key": "pod_name", "op": "not_in", "value": ["pod-0"]}]
     return _filled(spark, sf).search_text(SEARCH, 10, specs).select("id", F.round("score", 6).alias("score"), "severity")
+
+
+# Filter 0 or 1 by the parity of the query's id / 20, none for every third query.
+BATCH_FILTERS = [[{"key": "severity", "op": "in", "value": ["VIEW", "CLICK"]}], [{"key": "pod_name", "op": "not_in", "value": ["pod-0"]}]]
+
+
+def _search_batch_sql() -> str:
+    p = GATE.params
+    sig = M.signature_sql("(SELECT DISTINCT id, text FROM lg)", "id", "text", p)
+    eq = f"list_sum(list_transform(range(1, {p.num_hashes} + 1), lambda i: (a.signature[i] = b.signature[i])::INTEGER)) / {p.num_hashes}"
+    return f"""WITH logs AS ({LOG_LINES_SQL}),
+lg AS (SELECT log_id, md5(text || '-' || json_object('pod_name', pod_name, 'severity', severity)::VARCHAR) AS id, text, severity, pod_name FROM logs),
+sig AS ({sig}),
+keys AS (SELECT id, dense_rank() OVER (ORDER BY signature) AS k FROM sig),
+one AS (SELECT k, any_value(signature) AS signature FROM keys JOIN sig USING (id) GROUP BY k),
+pts AS (SELECT DISTINCT id, k, severity IN ('VIEW', 'CLICK') AS f0, pod_name <> 'pod-0' AS f1 FROM lg JOIN keys USING (id)),
+asked AS (SELECT log_id AS qid, k, CASE WHEN log_id % 60 = 0 THEN -1 ELSE (log_id // 20) % 2 END AS f FROM lg JOIN keys USING (id) WHERE log_id % 20 = 0),
+rated AS (SELECT q.k AS qk, b.k AS pk, {eq} AS score FROM (SELECT DISTINCT k FROM asked) q JOIN one a ON a.k = q.k, one b),
+few AS (SELECT *, row_number() OVER (PARTITION BY k, f0, f1 ORDER BY id) AS n FROM pts)
+SELECT qid, rank, id, round(score, 6) AS score FROM (
+  SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
+  FROM asked JOIN rated ON qk = asked.k JOIN few ON few.k = pk AND n <= 5 WHERE f = -1 OR (f = 0 AND f0) OR (f = 1 AND f1)) WHERE rank <= 5"""
+
+
+@register("batch_search_texts", "D5 D7 H1 E2 E3", _search_batch_sql,
+          note="queries: the texts of every log line whose id is divisible by 20, against all stored points, with own filters")
+def q_batch_search_texts(spark, sf):
+    q = F.col("log_id")
+    place = F.when(q % 60 == 0, F.lit(None)).otherwise(F.floor(q / 20) % 2).cast("int")
+    texts = log_lines(spark, sf).where(q % 20 == 0).select(q.alias("qid"), "text", place.alias("filter"))
+    out = _filled(spark, sf).search_batch(texts, 5, BATCH_FILTERS)
+    return out.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))

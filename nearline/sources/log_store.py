@@ -6,13 +6,15 @@ object only holds their names and the embedding settings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as FL
 from ..operators import minhash as M
-from ..operators.vectors import cosine
+from ..operators.vectors import cosine, search_blocks
+from ..session import cut_lineage
 from . import store as S
+from .band_index import signature_key
 
 
 class LogStore:
@@ -46,6 +48,31 @@ class LogStore:
         rows = FL.apply(self.points.current(), specs).withColumn("score", sim)
         return rows.select("id", "score", "text_payload", "pod_name", "severity", "ts").orderBy(F.desc("score"), "id").limit(k)
 
+    def search_batch(self, texts: DataFrame, k: int = 5, filters: list | None = None) -> DataFrame:
+        """The ``k`` stored points most like each text of a table, ``(qid,
+        rank, id, score, payload columns)``.
+
+        ``texts(qid, text[, filter])``: ``filter`` is the place of a filter (DSL
+        specs) in ``filters``, null for none.  A filter restricts its queries'
+        points before they are ranked.  Points of equal signature and filters
+        are compared once, the ``k`` smallest ids of each stand for them.
+        """
+        points = self.points.current()
+        conds = [FL.compile_specs(f, points) for f in filters or []]
+        ok = F.array(*[F.coalesce(c, F.lit(False)) for c in conds]).cast("array<boolean>")
+        keyed = points.select("id", "signature", signature_key(F.col("signature")).alias("key"), ok.alias("ok"))
+        alike = Window.partitionBy("key", "ok", F.pmod(F.xxhash64("id"), F.lit(64)))
+        few = keyed.withColumn("n", F.row_number().over(alike.orderBy("id"))).where(F.col("n") <= k).drop("n")   # a hot signature in 64 slices
+        few = cut_lineage(few.withColumn("n", F.row_number().over(Window.partitionBy("key", "ok").orderBy("id"))).where(F.col("n") <= k).drop("n"), "search_points")
+        place = F.col("filter").cast("int") if "filter" in texts.columns else F.lit(None).cast("int")
+        asked = M.embed_rows(texts.select("qid", "text", place.alias("filter")), "text", self.config.params)
+        asked = cut_lineage(asked.select("qid", "filter", "signature"), "search_texts")
+        ok_at = [F.element_at("ok", i + 1) for i in range(len(conds))]
+        found = search_blocks(few, "id", "signature", asked, "qid", "signature", k, self.config.metric,
+                              ok_at if conds else None, "filter" if conds else None)
+        payload = points.select("id", "text_payload", "pod_name", "severity", "ts")
+        return found.join(payload, "id").select("qid", "rank", "id", "score", "text_payload", "pod_name", "severity", "ts")
+
     def scroll(self, specs=None, batch_size: int = 10, offset=None):
         rows = FL.apply(self.points.current(), specs)
         return S.scroll(rows, "id", None, batch_size, offset)
@@ -66,7 +93,6 @@ class LogStore:
 
     def delete_conditional(self, specs) -> DataFrame:
         """Delete the points that the filter holds for; their ids."""
-        from ..session import cut_lineage
         from ..streaming.neighbours import forget
         gone = cut_lineage(FL.apply(self.points.current(), specs).select("id"), "deleted_ids")
         self.points.delete_keys(gone)

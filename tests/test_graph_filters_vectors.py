@@ -97,7 +97,9 @@ def test_dot_top3(spark):
     got = [(r.id, round(r.score, 3)) for r in V.topk(df, "id", "vector", [0.2, 0.1, 0.9, 0.7], 3, "dot").collect()]
     assert got == [(4, 1.362), (1, 1.273), (3, 1.208)]
     with pytest.raises(ValueError):
-        V.batch_topk(df, "id", "vector", [[1, 0, 0, 0]], 2, "dot", filters=[None, None])
+        V.search_blocks(df, "id", "vector", df, "id", "vector", 2, "dot", filters=[F.lit(True)])
+    with pytest.raises(ValueError):
+        V.search_blocks(df, "id", "vector", df, "id", "vector", 2, "manhattan")
 
 
 def test_salted_join_equals_plain_join(spark):
@@ -154,25 +156,3 @@ def test_arrays_match_by_any_element(spark):
     assert ids({"key": "n", "op": "in", "value": ["x", 1]}) == [1, 5]
     assert ids({"key": "n", "op": "gt", "value": 1}) == [1, 2]
     assert ids({"key": "n", "op": "not_in", "value": [2, "x"]}) == [1]
-
-
-def test_neighbours_are_the_best_of_the_bucket(spark):
-    """Every point gets the best of all that share a band, small tiles or
-    large, and far more true nearest points than one candidate per bucket."""
-    import numpy as np
-    from nearline.operators import tiles
-    emb = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
-    got = {r.vec_id: r.neighbour for r in V.lsh_neighbours(emb, "vec_id", "embedding").collect()}
-    rows = emb.collect()
-    ids, m = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    sims = unit @ unit.T
-    np.fill_diagonal(sims, -2)
-    best = sims.max(axis=1)
-    at = {i: k for k, i in enumerate(ids)}
-    hits = sum(sims[at[i], at[j]] >= best[at[i]] - 1e-9 for i, j in got.items())
-    assert hits >= 224, hits
-    keyed = emb.select("vec_id", "embedding", F.lit(1).alias("g"))
-    for chunk in (7, 1000):
-        near = tiles.best_partners(keyed, "g", "vec_id", "embedding", V.cost_blocks("cosine"), chunk).collect()
-        assert len(near) == len(ids) and all(abs(-r.cost - best[at[r.vec_id]]) < 1e-8 for r in near)
