@@ -8,12 +8,19 @@ flagged and its span starts where the two outputs part.  Where a turn's own
 text lies inside its span is found by rendering the same prefix once more
 with a probe in place of the text.
 
-Rendering all prefixes of a conversation of k turns makes k^2/2 turns of
-text.  Prefixes are therefore taken inside blocks of ``block_turns`` turns
-(``first`` tells the template whether a block opens the conversation), so
-the work is linear in the number of turns.  Rows are hash-partitioned by
-conversation, sorted by turn and streamed: a task holds one block, never a
-conversation.
+Every prefix is rendered whole, and all turns are rendered once more with a
+probe in place of each text, to find where the finished conversation shows it.
+A template may rewrite earlier output (a marker that follows the last turn, a
+counter, rules for the last user turn): the parts are then cut from the finished
+text, so joined they are always the template's own rendering of the whole
+conversation, and a text that the template moved out of order, or dropped, has
+an empty span.  A task holds one conversation, and k turns make k^2 turns of text.
+
+A template that renders every turn by itself, as ChatML does, says so by
+``turn_local`` beside its ``render``.  Its prefixes are then taken inside blocks of ``block_turns``
+turns (``first`` tells the template whether a block opens the conversation),
+the work is linear in the number of turns and a task holds one block.  Rows
+are hash-partitioned by conversation, sorted by turn and streamed.
 
 Defined cases: a null text or role is empty; a null ``conv_id`` is a
 conversation of its own; rows with equal ``turn`` come in the order of role,
@@ -45,6 +52,7 @@ class ChatML:
     """
 
     start, end = "<|im_start|>", "<|im_end|>"
+    turn_local = True
 
     @staticmethod
     def escape(text: str) -> str:
@@ -108,6 +116,32 @@ def turn_spans(messages: list[tuple[str, str]], render: Callable[..., str], firs
         before = now
 
 
+def is_turn_local(template) -> bool:
+    """True where the very class that defines ``render`` says so; a subclass with
+    a ``render`` of its own must say it again."""
+    owner = next((c for c in type(template).__mro__ if "render" in vars(c)), None)
+    return owner is not None and bool(vars(owner).get("turn_local", False))
+
+
+def whole_spans(messages: list[tuple[str, str]], render: Callable[..., str]) -> Iterator[tuple[str, int, int, bool]]:
+    """The same for a whole conversation and any template: the parts are pieces
+    of the finished text, cut behind each turn's text there, or behind what the
+    turn's own prefix has in common with it if that is more."""
+    final = render(messages, True)
+    before, stop = "", 0
+    for t in range(1, len(messages) + 1):
+        now = render(messages[:t], True)
+        role, text = messages[t - 1]
+        probed = render([*messages[:t - 1], (role, PROBE), *messages[t:]], True)
+        k = probed.find(PROBE)
+        a, z = (k, len(final) - (len(probed) - k - len(PROBE))) if k >= 0 else (0, 0)
+        if not (stop <= a <= z):                                  # dropped, or shown among earlier turns
+            a = z = stop
+        end = len(final) if t == len(messages) else max(z, stop, _common(now, final))
+        yield final[stop:end], a - stop, z - stop, not now.startswith(before)
+        before, stop = now, end
+
+
 def format_conversations(rows: DataFrame, template=None, loss_roles: tuple[str, ...] = ("assistant",),
                          block_turns: int = BLOCK_TURNS) -> DataFrame:
     """One row per turn: its number, the formatted part, where its text lies
@@ -116,6 +150,7 @@ def format_conversations(rows: DataFrame, template=None, loss_roles: tuple[str,
     order inside one partition; their parts joined are the formatted text.
     """
     template = template or ChatML()
+    local = is_turn_local(template)
     sorted_rows = (rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                                F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
                    .repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text"))
@@ -128,7 +163,8 @@ def format_conversations(rows: DataFrame, template=None, loss_roles: tuple[str,
 
         def flush():
             nonlocal n
-            for k, (part, a, z, rewrites) in enumerate(turn_spans(held, template.render, n == 0)):
+            found = turn_spans(held, template.render, n == 0) if local else whole_spans(held, template.render)
+            for k, (part, a, z, rewrites) in enumerate(found):
                 out.append((conv, n + k, held[k][0], part, a, z, held[k][0] in loss_roles, rewrites))
             n += len(held)
             held.clear()
@@ -145,7 +181,7 @@ def format_conversations(rows: DataFrame, template=None, loss_roles: tuple[str,
                 if not started or c != conv:
                     flush()
                     conv, n, started = c, 0, True
-                elif len(held) >= block_turns:
+                elif local and len(held) >= block_turns:
                     flush()
                 held.append((role, text))
                 if len(out) >= 2000:

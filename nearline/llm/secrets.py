@@ -1,18 +1,22 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
 Three fixed patterns give the base spans.  Further candidates are the strings
-of 12 characters or more that follow a sensitive word, or each other, closely
-on one line; each one's novelty is its marginal cost: the compressed size of
+of 12 characters or more that follow a sensitive word, or each other, within
+``GAP`` characters, line ends included; each one's novelty is its marginal cost: the compressed size of
 context plus candidate less that of the context alone, from which further
 copies of the candidate are removed, under a raw zstandard dictionary made of identifiers that
 the corpus itself uses next to sensitive words.  A string that costs nearly
-its own length is reported (kind ``novel``).
+its own length is reported (kind ``novel``).  Strings without a digit and dotted
+strings may be long words and host names that compression knows no better, so
+they must cost ``STRICT_RATIO`` of their length and ``STRICT_BYTES`` bytes, as
+much as 128 random bits.
 
 One pass over the texts finds spans and candidates (a narrow table, written
 once); identifiers are counted over all candidates' contexts by a combinable
 aggregate, the most frequent ones fill a dictionary of ``dict_bytes``.
 
-Defined cases: a null text is empty and has no spans; rows with a null or
+Defined cases: a null text is empty and has no spans; an empty table gives no
+rows; very long texts are read whole; rows with a null or
 repeated ``doc_id`` are scanned like others, one row out for each row in;
 only ``doc_id`` and ``text`` are read.  Offsets count code points.
 """
@@ -34,8 +38,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CUE = re.compile(r"password|passwd|secret|token|api_?key|pwd|bearer|credential|private|auth|signature|access", re.I | re.A)
-#: The next long string, at most 24 characters on, without a line end; it may follow a sign ``=``.
-NEXT = re.compile(r"[^\n]{0,24}?(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,})", re.A)
+GAP = 80                     # characters between a sensitive word, or a string, and the next string
+STRICT_RATIO, STRICT_BYTES = 0.9, 16
+#: The next long string, ``GAP`` characters on at most; it may follow a sign ``=`` and hold single points.
+NEXT = re.compile(r"[\s\S]{0,%d}?(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-](?:[A-Za-z0-9+/_=-]|\.(?=[A-Za-z0-9+/_=-])){11,})" % GAP, re.A)
 CUES = ("passw", "secret", "token", "api", "pwd", "bearer", "credential", "private", "auth", "signature", "access")
 #: Words of the dictionary; without digits, so that a secret that was copied does not become one.  Of an
 #: identifier that goes on with a digit, as ``config_name2``, the parts before count: its copies are no context.
@@ -140,13 +146,12 @@ class Novelty:
                                                dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
     def marginal(self, value: str, context: str) -> int | None:
-        """That cost if the candidate is novel (it reaches ``min_ratio`` of
-        its length and the string holds a digit), else None."""
-        if not any(c in "0123456789" for c in value):
-            return None
+        """That cost if the candidate is novel, else None."""
         base = context.encode() + b"\n"
         extra = len(self.packer.compress(base + value.encode())) - len(self.packer.compress(base))
-        return extra if extra >= self.min_ratio * len(value) else None
+        strict = "." in value or not any(c in "0123456789" for c in value)
+        enough = extra >= STRICT_BYTES and extra >= STRICT_RATIO * len(value) if strict else extra >= self.min_ratio * len(value)
+        return extra if enough else None
 
 
 def score_novelty(found: DataFrame, dictionary: bytes, min_ratio: float) -> DataFrame:

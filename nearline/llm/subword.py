@@ -164,7 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, keep, p: SubwordPa
         weights, bias = descend([r[1:] for r in rows], p)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
 
-    got = training_rows(docs, labels, label_col, p, keep).coalesce(1).mapInArrow(run, "weights binary, bias double").collect()
+    # An exchange, so that the scan and the features of all documents stay spread
+    # and only the sample's rows (``max_train_rows`` labels at most) meet in one task.
+    got = training_rows(docs, labels, label_col, p, keep).repartition(1).mapInArrow(run, "weights binary, bias double").collect()
     if not got:
         return descend([], p)
     return np.frombuffer(bytes(got[0]["weights"]), np.float64), got[0]["bias"]

@@ -77,3 +77,32 @@ def test_query_adds_the_tricky_conversation(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     want = expect(rows)
     assert {c: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for c, r in got.items() if c != -1} == want
+
+
+class Counted:
+    """The head of the output tells the number of turns, and only the last user's text is marked: rewrites at every turn."""
+
+    def render(self, messages, first=True):
+        last = max((k for k, (r, _) in enumerate(messages) if r == "user"), default=-1)
+        return f"[{len(messages)}]" + "".join(f"<{r}>{'!' if k == last else ''}{t}</{r}>" for k, (r, t) in enumerate(messages))
+
+
+class Reversed:
+    """Shows the newest turn first."""
+
+    def render(self, messages, first=True):
+        return "".join(f"({r}:{t})" for r, t in reversed(messages))
+
+
+def test_templates_that_rewrite_long_conversations(spark):
+    """The joined parts are the template's own rendering of the whole conversation, beyond 64 turns too."""
+    turns = [("user" if k % 2 == 0 else "assistant", f"turn {k} of many") for k in range(200)]
+    df = spark.createDataFrame([(c, k, r, t) for c in (1, 2) for k, (r, t) in enumerate(turns[:200 if c == 1 else 3])], "conv_id long, turn long, role string, text string").repartition(3)
+    for template, rewrites, shown in ((Counted(), 199, 100), (DropsThoughts(), 99, 1), (Reversed(), 199, 0), (Trimmed(), 199, 100)):
+        rows = chat.format_conversations(df, template).where("conv_id = 1").orderBy("turn_no").collect()
+        assert "".join(r.formatted for r in rows) == template.render(turns)
+        assert sum(r.rewrites for r in rows) == rewrites
+        loss = [r.formatted[r.text_start:r.text_end] for r in rows if r.loss]
+        want = [t for r, t in turns if r == "assistant"]
+        assert len([x for x in loss if x]) == shown and all(x in ("", w) for x, w in zip(loss, want))
+    assert chat.is_turn_local(chat.ChatML()) and not chat.is_turn_local(DropsThoughts())

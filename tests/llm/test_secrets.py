@@ -56,11 +56,11 @@ def test_copies_are_no_context(spark):
 
 
 def test_every_string_after_a_cue(spark):
-    """All strings of a line, from 12 characters on; a string too far from the one before is none."""
-    texts = [f"credentials: {A} {B}", f"pwd {C}", f"auth={C}", f"bearer {A}\n{B}", f"bearer {A} {'far ' * 7}{B}", "auth=" * 3000 + C]
+    """All strings after a cue, line ends included, from 12 characters on; a string too far from the one before is none."""
+    texts = [f"credentials: {A} {B}", f"pwd {C}", f"auth={C}", f"bearer {A}\n{B}", f"bearer {A} {'far ' * 21}{B}", "auth=" * 3000 + C]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.novel] for r in secrets.scan_secrets(df).collect()}
-    assert [got[k] for k in range(5)] == [[A, B], [C], [C], [A], [A]]
+    assert [got[k] for k in range(5)] == [[A, B], [C], [C], [A, B], [A]]
     assert len(secrets.candidates(texts[5], [])) == 1
 
 
@@ -85,3 +85,17 @@ def test_query_digest(spark, sf):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in want) for k in ("assign", "access", "hex"))
         assert set(said.split(",")) <= set(r.spans.split(",")) or not said
+
+
+def test_strings_without_digits_and_far_from_the_cue(spark):
+    """The measure decides on strings without digits too; a cue reaches over 80 characters and line ends."""
+    random = "hQzKfWpLmXvRtYbNcJdGsA"
+    far = "private key for the staging host, which nobody should ever copy into a file: "
+    texts = {1: f"api_key_note: the credential {random} is live", 2: f"auth\n{random[::-1]}", 3: f"{far}Zk81mQ0pLx29VbTq77",
+             4: "the author of this representative misunderstanding and characteristically straightforward internationalization",
+             5: "private mail9.example.com and access www.example-host.org", 6: "credential" + " word" * 40 + f" {random.lower()}",
+             7: "bearer SG.ab12cdQ4.ef56ghZ8xW"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.novel] for r in secrets.scan_secrets(df).collect()}
+    assert got[1] == [random] and got[2] == [random[::-1]] and got[3] == ["Zk81mQ0pLx29VbTq77"]
+    assert got[4] == [] and got[5] == [] and got[6] == [] and got[7] == ["SG.ab12cdQ4.ef56ghZ8xW"]

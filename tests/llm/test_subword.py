@@ -60,3 +60,76 @@ def test_held_out_accuracy(spark):
     good, bad = [x.score for x in r if x.quality == 1], [x.score for x in r if x.quality == 0]
     auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
     assert auc >= 0.85 and np.mean([x.predicted == x.quality for x in r]) >= 0.9
+
+
+def slow_features(text, p):
+    """Buckets of one text by the definition, in plain integers."""
+    data, full = (text or "").encode(), (1 << 64) - 1
+    odd = 0x9E3779B97F4A7C15
+    out = []
+    for n in p.ngrams:
+        out += [((int.from_bytes(data[i:i + n], "big") + (n << 40)) * odd & full) >> (64 - p.bits) for i in range(len(data) - n + 1)]
+    for word in data.translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" "):
+        if word:
+            x = sum((c + 1) * pow(odd, (k & 63) + 1, 1 << 64) for k, c in enumerate(word)) & full
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                x = (x ^ (x >> shift)) * factor & full
+            out.append(x >> (64 - p.bits))
+    return out
+
+
+def slow_model(rows, p):
+    """The descent in plain Python, number by number."""
+    rng = np.random.default_rng(p.seed)
+    emb = [[float(x) for x in r] for r in rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim)).astype(np.float32)]
+    layer = [[-0.5, 0.5]] + [[0.0, 0.0] for _ in range(p.dim - 1)]
+    bias, step = [0.0, 0.0], 0
+    steps = p.epochs * -(-len(rows) // p.batch)
+    for _ in range(p.epochs):
+        order = rng.permutation(len(rows))
+        for s in range(0, len(order), p.batch):
+            part, rate = [rows[i] for i in order[s:s + p.batch]], p.rate * (1 - step / steps)
+            step += 1
+            grads = []
+            for label, feats in part:
+                weight = {b: feats.count(b) / len(feats) for b in set(feats)}
+                mean = [sum(w * emb[b][d] for b, w in weight.items()) for d in range(p.dim)]
+                z = [sum(m * layer[d][c] for d, m in enumerate(mean)) + bias[c] for c in (0, 1)]
+                e = [np.exp(v - max(z)) for v in z]
+                g = [e[c] / sum(e) - (c == label) for c in (0, 1)]
+                grads.append((weight, mean, g, [sum(g[c] * layer[d][c] for c in (0, 1)) for d in range(p.dim)]))
+            for d in range(p.dim):
+                for c in (0, 1):
+                    layer[d][c] -= rate * sum(m[d] * g[c] for _, m, g, _ in grads) / len(part)
+            for c in (0, 1):
+                bias[c] -= rate * sum(g[c] for _, _, g, _ in grads) / len(part)
+            for weight, _, _, back in grads:
+                for b, w in weight.items():
+                    for d in range(p.dim):
+                        emb[b][d] -= rate * p.buckets ** 0.5 / 16 * w * back[d]
+    return [sum(e[d] * (layer[d][1] - layer[d][0]) for d in range(p.dim)) for e in emb], bias[1] - bias[0]
+
+
+def test_scores_by_brute_force(spark):
+    """Model and scores equal a plain-Python descent over plainly computed features."""
+    p = subword.SubwordParams(bits=7, dim=3, epochs=4, batch=4, rate=0.4)
+    good, bad = "the river runs past the old mill", "$$$ click here $$$ free"
+    texts = [(i, f"{good} number {i} é" if i % 2 else f"{bad} {i} {i}") for i in range(14)] + [(50, ""), (51, None), (52, good * 30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    model = subword.train(docs, labels, "quality", F.lit(True), p)
+    weights, bias = slow_model([(i % 2, slow_features(t, p)) for i, t in texts[:10]], p)
+    assert np.allclose(model[0], weights, atol=2e-3) and abs(model[1] - bias) < 2e-3
+    for r in subword.score(docs, model, p).collect():
+        feats = slow_features(dict(texts)[r.doc_id], p)
+        odds = (sum(weights[b] for b in feats) / len(feats) if feats else 0) + bias
+        assert abs(r.score - 1 / (1 + np.exp(-odds))) < 2e-3
+
+
+def test_only_the_sample_meets_in_one_task(spark):
+    """An exchange stands between the scan of all documents and the descent."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = subword.training_rows(docs, labels, "quality", subword.SubwordParams(), F.lit(True)).repartition(1)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" in plan and "Coalesce" not in plan
