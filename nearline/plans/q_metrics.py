@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as MX
 from ..sources.tables import table
+from ..operators.selection import exact_median
 from .registry import register
 
 HOT_CPU = 20          # E19 threshold (percent)
@@ -105,3 +106,10 @@ def q_explode_metrics(spark, sf):
                                              "cpu_percent")
     nested = MX.nest(flat, "service", "year", "month", "cpu_percent")
     return MX.explode_nested(nested, "service", "year", "month", "cpu_percent")
+
+
+@register("exact_medians", "G5", """
+SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median, count(l_extendedprice) AS n_values FROM lineitem GROUP BY ALL""",
+          note="distributed selection: no group's values meet in one buffer")
+def q_exact_medians(spark, sf):
+    return exact_median(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")

@@ -79,3 +79,28 @@ def q_minhash_blake2b(spark, sf):
     sig = M.signatures(spread(table(spark, sf, "documents"), "doc_id"), "doc_id", "text", P_COMPAT)
     return sig.select("doc_id", "shingle_count", F.array_join("signature", ",").alias("signature"),
                       F.array_join("band_keys", " ").alias("band_keys"))
+
+
+P_SQL = M.MinHashParams(shingle_size=5, num_hashes=16, bands=8, seed=42, profile="basic", normalize=False, lowercase=False, collapse_whitespace=False)
+
+
+def _sql_functions_sql() -> str:
+    eq = f"list_sum(list_transform(range(1, {P_SQL.num_hashes} + 1), lambda i: (a.signature[i] = b.signature[i])::INTEGER)) / {P_SQL.num_hashes}"
+    return f"""WITH sig AS ({M.signature_sql("documents", "doc_id", "text", P_SQL)}),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+s AS (SELECT doc_id, count(DISTINCT array_to_string(w[k:k + 2], ' ')) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM w) GROUP BY doc_id)
+SELECT a.doc_id, b.doc_id AS next_id, round({eq}, 6) AS similarity, coalesce(n, 0) AS word_shingles
+FROM sig a JOIN sig b ON b.doc_id = a.doc_id + 1 LEFT JOIN s ON s.doc_id = a.doc_id"""
+
+
+@register("sql_functions", "C13 K8 C2", _sql_functions_sql,
+          note="SQL text only: registered embedder functions and a table function")
+def q_sql_functions(spark, sf):
+    from ..operators.embedders import MinHashEmbedder, register_functions
+    register_functions(spark, MinHashEmbedder(P_SQL, "jaccard"), "doc")
+    return spark.sql("""
+        WITH sig AS (SELECT doc_id, doc_signature(doc_grams(text)) AS signature FROM {docs}),
+             s AS (SELECT doc_id, count(DISTINCT gram) AS n FROM {docs}, LATERAL doc_shingles(text, 3) GROUP BY doc_id)
+        SELECT a.doc_id, b.doc_id AS next_id, round(doc_compare(a.signature, b.signature), 6) AS similarity, coalesce(n, 0) AS word_shingles
+        FROM sig a JOIN sig b ON b.doc_id = a.doc_id + 1 LEFT JOIN s ON s.doc_id = a.doc_id""",
+                     docs=spread(table(spark, sf, "documents"), "doc_id"))

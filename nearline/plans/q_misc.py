@@ -217,12 +217,12 @@ def q_check_arguments(spark, sf):
 
 
 @register("conversation_history", "J9", """
-SELECT conv_id, turn, 'role - ' || role || ': ' || text AS line FROM conversations""")
+SELECT conv_id, turn, 'role - ' || role || ': ' || text AS line FROM conversations ORDER BY conv_id, turn, line""")
 def q_conversation_history(spark, sf):
     c = table(spark, sf, "conversations")
-    # One listing line per turn, ordered by (conv_id, turn) when written;
-    # a conversation is never gathered into one value.
-    return c.select("conv_id", "turn", EN.history_line(F.col("role"), F.col("text")).alias("line"))
+    # One listing line per turn, in the order of conversation and turn (a range
+    # partition by that order); a conversation is never gathered into one value.
+    return c.select("conv_id", "turn", EN.history_line(F.col("role"), F.col("text")).alias("line")).orderBy("conv_id", "turn", "line")
 
 
 # ----------------------------------------------------------- reliability

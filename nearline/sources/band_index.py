@@ -52,9 +52,13 @@ def similarity_blocks(metric: str):
     def jaccard(a, block):
         return (block == a[None, :]).sum(axis=1) / block.shape[1]
 
-    if metric not in ("cosine", "jaccard"):
-        raise ValueError("metric must be 'cosine' or 'jaccard'")
-    return cosine if metric == "cosine" else jaccard
+    def dot(a, block):
+        return block.astype(np.float64) @ a.astype(np.float64)
+
+    known = {"cosine": cosine, "dot": dot, "jaccard": jaccard}
+    if metric not in known:
+        raise ValueError(f"a similarity is one of {sorted(known)}, not {metric!r}")
+    return known[metric]
 
 
 def keyed(points: DataFrame) -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as FL
-from ..operators import minhash as M
-from ..operators.vectors import cosine, search_blocks
+from ..operators.vectors import search_blocks
 from ..session import cut_lineage
 from . import store as S
 from .band_index import signature_key
@@ -23,11 +22,14 @@ class LogStore:
     def __init__(self, spark: SparkSession, root: str, config=None):
         from ..streaming.ingest import GateConfig
         self.spark, self.config = spark, config or GateConfig()
+        self.embedder = self.config.embedder
+        if self.embedder is None:
+            raise ValueError("a log store embeds single texts: give it an embedder, or parameters with hash='md5'")
         self.points, self.lookup = S.point_store(spark, root), S.lookup_store(spark, root)
 
     def create(self) -> bool:
         """Both tables; False where both are there already."""
-        made = [self.points.create_if_absent(dim=self.config.params.num_hashes, distance="cosine"), self.lookup.create_if_absent()]
+        made = [self.points.create_if_absent(dim=self.embedder.size, distance=self.embedder.distance), self.lookup.create_if_absent()]
         return any(made)
 
     def insert(self, logs: DataFrame, **kw) -> DataFrame:
@@ -38,13 +40,13 @@ class LogStore:
     def embed_text(self, text: str) -> list[int]:
         """The signature of one text, made by the same steps as the stored ones."""
         row = self.spark.createDataFrame([(text,)], "text string")
-        return [int(x) for x in M.embed_rows(row, "text", self.config.params).first()["signature"]]
+        return [int(x) for x in self.embedder.embeds(row, "text").first()["signature"]]
 
     def search_text(self, text: str, k: int = 5, specs=None) -> DataFrame:
         """The ``k`` stored points most like a text, ``(id, score,
         payload columns)``; ``specs`` (filter DSL) restrict them first."""
         probe = F.array(*[F.lit(x) for x in self.embed_text(text)])
-        sim = cosine(F.col("signature"), probe) if self.config.metric == "cosine" else M.signature_similarity(F.col("signature"), probe)
+        sim = self.embedder.compare(F.col("signature"), probe)
         rows = FL.apply(self.points.current(), specs).withColumn("score", sim)
         return rows.select("id", "score", "text_payload", "pod_name", "severity", "ts").orderBy(F.desc("score"), "id").limit(k)
 
@@ -65,7 +67,7 @@ class LogStore:
         few = keyed.withColumn("n", F.row_number().over(alike.orderBy("id"))).where(F.col("n") <= k).drop("n")   # a hot signature in 64 slices
         few = cut_lineage(few.withColumn("n", F.row_number().over(Window.partitionBy("key", "ok").orderBy("id"))).where(F.col("n") <= k).drop("n"), "search_points")
         place = F.col("filter").cast("int") if "filter" in texts.columns else F.lit(None).cast("int")
-        asked = M.embed_rows(texts.select("qid", "text", place.alias("filter")), "text", self.config.params)
+        asked = self.embedder.embeds(texts.select("qid", "text", place.alias("filter")), "text")
         asked = cut_lineage(asked.select("qid", "filter", "signature"), "search_texts")
         ok_at = [F.element_at("ok", i + 1) for i in range(len(conds))]
         found = search_blocks(few, "id", "signature", asked, "qid", "signature", k, self.config.metric,

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-DISTANCES = ("cosine", "euclidean", "dot")
+DISTANCES = ("cosine", "euclidean", "dot", "jaccard")
 OWN = "store"                       # the writer of epochs that the store deals out
 
 

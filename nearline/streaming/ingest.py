@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import minhash as M
+from ..operators.embedders import Embedder, MinHashEmbedder
 from ..operators.skew import salted_join
 from ..session import cut_lineage
 from ..sources.band_index import BandIndex, best_of_ids, distinct_signatures, keyed, match_view, similarity_blocks
@@ -36,8 +37,15 @@ from ..sources.store import OWN, TableStore
 class GateConfig:
     params: M.MinHashParams = field(default_factory=lambda: M.MinHashParams(5, 128, 32, 123))
     threshold: float = 0.8
-    metric: str = "cosine"              # "cosine" (faithful) or "jaccard"
+    metric: str = "cosine"              # "cosine" (faithful), "dot" or "jaccard"
     dedupe_within_batch: bool = False
+    embedder: Embedder | None = None    # None: MinHash of ``params``, scored by ``metric``
+
+    def __post_init__(self):
+        if self.embedder is not None:   # its own distance scores
+            object.__setattr__(self, "metric", self.embedder.distance)
+        elif self.params.hash == "md5":
+            object.__setattr__(self, "embedder", MinHashEmbedder(self.params, self.metric))
 
 
 def log_id(text, pod_name, severity):
@@ -50,8 +58,8 @@ def embed_logs(logs: DataFrame, cfg: GateConfig) -> DataFrame:
     """``logs(text, pod_name, severity, ts)`` -> points rows with id, signature, band keys."""
     with_id = logs.withColumn("id", log_id(F.col("text"), F.col("pod_name"), F.col("severity")))
     p = cfg.params
-    if p.hash == "md5" and p.engine == "arrow":
-        emb = M.embed_rows(with_id, "text", p)          # in place: no join, no shuffle
+    if cfg.embedder is not None:
+        emb = cfg.embedder.embeds(with_id, "text")      # in place: no join, no shuffle
     else:
         sig = M.signatures(with_id.select("id", "text").dropDuplicates(["id"]), "id", "text", p)
         emb = with_id.join(sig, "id")
