@@ -2,30 +2,31 @@
 
 A byte is eight binary decisions (the 255 inner nodes of a byte's tree, high
 bit first), and each of these has a context tree over the bytes before it, of
-depth 0 to 2.  Every context keeps counts of zeros and ones; its block
+depth 0 to ``depth`` (6).  Every context keeps counts of zeros and ones; its block
 probability is Krichevsky and Trofimov's, and a context that is not of full
 depth is weighted half by its own estimate, half by the product of its
 children.  The weights that the training texts leave behind mix the estimates
 of all depths when a text is scored: for each bit the deepest estimate, then
 level by level (beta * own + deeper) / (beta + 1), beta being the ratio of a
 context's own block probability to its children's product.  A text is coded
-lower-cased (A-Z), after two start bytes (0), and ended by a byte 0.
+lower-cased (A-Z), after ``depth`` start bytes (0), and ended by a byte 0.
 
-Counts come from every training byte: tasks count (two bytes before, byte),
-which one combinable sum joins; the contexts that end in one byte, at most
-65,536 counts, are weighted in one task.  The finished model has at most
-65,792 rows of 256 probabilities (67 MB, by the number of byte pairs, whatever
-the corpus; a few MB on text), and may therefore be broadcast.
+The model grows with the corpus and is never gathered.  Tasks count grams
+(a byte with the bytes before it); shards, by a hash of the two nearest bytes
+before, add them up and hold whole contexts of two bytes or more.  What lies
+above those has 256 times 255 nodes, whatever the corpus, and is broadcast.
+Texts are dealt into batches of bounded size; a batch asks the shards for the
+log probabilities of its distinct grams and gets them back.
 
-Beside it the words' smoothed unigram score is worked out.  The vocabulary is
-unbounded and never gathered: tasks count words as 64-bit hashes, shards (by
-hash range) sum them; texts are dealt into batches of bounded size, a batch
-asks the shards for the counts of its words and gets them back.
+Beside it the words' smoothed unigram score is worked out the same way: tasks
+count words as 64-bit hashes, shards (by hash range) sum them, and the same
+batches ask for the counts of their words.
 
 Defined cases: a null text is empty and is scored like one (only its end);
 a null ``doc_id`` counts as training; rows with equal ids are scored one by one;
 without training texts every bit has probability one half; an empty table
-gives no rows.  Only ``doc_id`` and ``text`` are read.
+gives no rows; very long texts are scored whole.  Only ``doc_id`` and ``text``
+are read.
 """
 
 from __future__ import annotations
@@ -38,9 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .bbit import _LOWER, _runs, word_hashes
-from .common import pack, text_bytes, text_size, unpack
+from .bbit import _runs, word_hashes
+from .common import mix64, pack, squeeze, text_bytes, text_size, unpack, unsqueeze
+from .context_tree import NodeTable, Root, grams
 
+DEPTH = 6
 BATCH_BYTES = 8 << 20
 SHARD_BYTES = 24 << 20
 ALPHA = 0.1
@@ -48,152 +51,92 @@ ALPHA = 0.1
 
 # The byte model ------------------------------------------------------------
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """ln of the gamma function for x > 0: shifted up by 8, then Stirling's series."""
-    shift = np.log(x)
-    for k in range(1, 8):
-        shift = shift + np.log(x + k)
-    z = x + 8
-    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5) - shift
-
-
-def block_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """ln of the Krichevsky-Trofimov block probability of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
-
-
-def bit_counts(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 nodes (heap order, root first) from counts of
-    bytes along the last axis."""
-    zeros, ones, level = [], [], leaves
-    for _ in range(8):
-        zeros.append(level[..., 0::2])
-        ones.append(level[..., 1::2])
-        level = level[..., 0::2] + level[..., 1::2]
-    return np.concatenate(zeros[::-1], axis=-1), np.concatenate(ones[::-1], axis=-1)
-
-
-def byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 of each byte's probability from P(bit = 1) at the 255 nodes."""
-    out = np.zeros((*one.shape[:-1], 256))
-    x = np.arange(256)
-    for level in range(8):
-        node = (1 << level) - 1 + (x >> (8 - level))
-        p = one[..., node]
-        out += np.log10(np.where((x >> (7 - level)) & 1, p, 1 - p))
-    return out
-
-
-def mixed(beta_log: np.ndarray, own: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-    share = 1 / (1 + np.exp(-np.clip(beta_log, -700, 700)))
-    return share * own + (1 - share) * deeper
-
-
-def weigh(last: int, before: np.ndarray, byte: np.ndarray, n: np.ndarray) -> dict:
-    """The contexts that end in byte ``last``: weighted block probabilities
-    for the root, counts, and mixed bit probabilities by the byte before."""
-    seen, row = np.unique(before, return_inverse=True)
-    leaves = np.zeros((len(seen), 256))
-    np.add.at(leaves, (row, byte), n)
-    z2, o2 = bit_counts(leaves)
-    own = leaves.sum(axis=0)
-    z1, o1 = bit_counts(own)
-    children = block_log(z2, o2).sum(axis=0)
-    mine = block_log(z1, o1)
-    kt = (o1 + 0.5) / (z1 + o1 + 1)
-    deep = np.concatenate([(o2 + 0.5) / (z2 + o2 + 1), np.full((1, 255), 0.5)])       # the last row: no such byte before
-    return {"last": last, "seen": pack(seen.astype(np.int32)), "counts": pack(own), "weighted": pack(np.logaddexp(mine, children) - np.log(2)),
-            "mixed": pack(mixed(mine - children, kt, deep).astype(np.float32))}
-
-
-def context_counts(docs: DataFrame) -> DataFrame:
-    """``(key, n)``: how often each three bytes (the last is the one coded)
-    occur in the training texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gram_shard(key: np.ndarray, depth: int, shards: int) -> np.ndarray:
+    """The shard of the two bytes before the coded one."""
+    return (mix64(key >> np.uint64(8 * (depth - 1))) % np.uint64(shards)).astype(np.int64)
+
+
+def pack_keys(key: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, by byte place, compressed."""
+    return squeeze(np.diff(key, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unsqueeze(b, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their counts' sums."""
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(k) else c
+
+
+def _by_shard(key: np.ndarray, depth: int, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(shard, places of its keys, in order)``."""
+    shard = gram_shard(key, depth, shards)
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cut)):
+        yield int(s), order[cut[s]:cut[s + 1]]
+
+
+def gram_totals(docs: DataFrame, depth: int, shards: int) -> DataFrame:
+    """``(shard, keys, counts)``: training occurrences of each gram, one row per shard."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
 
-        def join():
-            k, c = np.concatenate(keys), np.concatenate(counts)
-            order = np.argsort(k, kind="stable")
-            k, c = k[order], c[order]
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            return [k[first]], [np.add.reduceat(c, first)]
+        def emit():
+            k, c = _added(keys, counts)
+            rows = [(s, pack_keys(k[at]), squeeze(c[at])) for s, at in _by_shard(k, depth, shards)]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "keys", "counts"])
 
         for b in batches:
             data, offs = text_bytes(b.column("text"))
             for _, _, part, po in _runs(data, offs):
-                k = np.sort(triples(part, po)[0])
-                first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                keys.append(k[first])
-                counts.append(np.diff(np.r_[first, len(k)]))
-                held += len(first)
+                k, c = np.unique(grams(part, po, depth)[0], return_counts=True)
+                keys.append(k)
+                counts.append(c.astype(np.int64))
+                held += len(k)
                 if held > 4 << 20:
-                    keys, counts = join()
-                    held = len(keys[0]) // 2
-        if keys:
-            keys, counts = join()
-            for s in range(0, len(keys[0]), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0][s:s + (1 << 18)].astype(np.int32)), pa.array(counts[0][s:s + (1 << 18)].astype(np.int64))],
-                                                 names=["key", "n"])
-
-    return docs.where("train").select("text").mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def triples(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text its bytes and the end as ``before << 16 | last << 8 |
-    byte``, and the offsets of the texts in that (one more byte each)."""
-    n = len(offs) - 1
-    where = offs + np.arange(n + 1)
-    x = np.zeros(len(data) + n, np.uint32)
-    keep = np.ones(len(x), bool)
-    keep[where[1:] - 1] = False                               # the ends
-    x[keep] = _LOWER[data]
-    last = np.zeros_like(x)
-    last[1:] = x[:-1]
-    last[where[:-1]] = 0
-    before = np.zeros_like(x)
-    before[1:] = last[:-1]
-    before[where[:-1]] = 0
-    return before << np.uint32(16) | last << np.uint32(8) | x, where
-
-
-class ByteModel:
-    """``row[before << 8 | last]`` picks one of ``table``'s rows of log10
-    probabilities of the next byte."""
-
-    def __init__(self, parts: list[dict]):
-        counts, children = np.zeros(256), np.zeros(255)
-        for p in parts:
-            counts += unpack(p["counts"], np.float64)
-            children += unpack(p["weighted"], np.float64)
-        z, o = bit_counts(counts)
-        beta, kt = block_log(z, o) - children, (o + 0.5) / (z + o + 1)
-        rows, self.row, at = [np.full((1, 255), 0.5, np.float32)], np.zeros(65536, np.int32), 1
-        for p in parts:
-            seen, m = unpack(p["seen"], np.int32), unpack(p["mixed"], np.float32).reshape(-1, 255)
-            pairs = (np.arange(256) << 8) | p["last"]
-            self.row[pairs] = at + len(seen)                  # bytes not seen before this one
-            self.row[pairs[seen]] = at + np.arange(len(seen))
-            rows.append(m)
-            at += len(m)
-        self.table = byte_logs(mixed(beta, kt, np.concatenate(rows).astype(np.float64))).astype(np.float32)
-
-    def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        key, where = triples(data, offs)
-        logs = self.table[self.row[key >> np.uint32(8)], key & np.uint32(255)].astype(np.float64)
-        return np.add.reduceat(logs, where[:-1]) if len(where) > 1 else np.zeros(0)
-
-
-def train_bytes(docs: DataFrame) -> ByteModel:
-    counts = cut_lineage(context_counts(docs), "ctw_counts").withColumn("last", F.shiftright("key", 8).bitwiseAND(255))
+                    merged = _added(keys, counts)
+                    keys, counts, held = [merged[0]], [merged[1]], len(merged[0])
+                    if held > 2 << 20:
+                        yield emit()
+                        keys, counts, held = [], [], 0
+        if held:
+            yield emit()
 
-    def run(t: pa.Table) -> pa.Table:
-        key = t.column("key").to_numpy()
-        part = weigh(int(key[0] >> 8) & 255, key >> 16, key & 255, t.column("n").to_numpy())
-        return pa.table({"last": pa.array([part["last"]], pa.int32()), **{k: pa.array([part[k]], pa.binary()) for k in ("seen", "counts", "weighted", "mixed")}})
+    def total(t: pa.Table) -> pa.Table:
+        k, c = _added([unpack_keys(x) for x in t.column("keys").to_pylist()], [unsqueeze(x, np.int64) for x in t.column("counts").to_pylist()])
+        return pa.table({"shard": t.column("shard").slice(0, 1), "keys": pa.array([pack_keys(k)], pa.binary()), "counts": pa.array([squeeze(c)], pa.binary())})
+
+    schema = "shard int, keys binary, counts binary"
+    return docs.where("train").select("text").mapInArrow(count, schema).groupBy("shard").applyInArrow(total, schema)
+
+
+def root_of(totals: DataFrame, depth: int) -> Root:
+    """Depths 0 and 1 of the tree: at most 256 rows of 511 numbers reach the driver."""
+    schema = "last int, weighted binary, counts binary"
 
-    parts = counts.groupBy("last").applyInArrow(run, "last int, seen binary, counts binary, weighted binary, mixed binary")
-    return ByteModel([r.asDict() for r in parts.orderBy("last").toLocalIterator()])
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
+                rows = [(k, pack(w), pack(c)) for k, (w, c) in NodeTable(unpack_keys(keys), unsqueeze(counts, np.int64), depth).top().items()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["last", "weighted", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        summed = [pack(np.sum([unpack(x, np.float64) for x in t.column(c).to_pylist()], axis=0)) for c in ("weighted", "counts")]
+        return pa.table({"last": t.column("last").slice(0, 1), "weighted": pa.array(summed[:1], pa.binary()), "counts": pa.array(summed[1:], pa.binary())})
+
+    children, counts = np.zeros((256, 255)), np.zeros((256, 256))
+    for r in totals.select("keys", "counts").mapInArrow(tops, schema).groupBy("last").applyInArrow(add, schema).toLocalIterator():
+        children[r["last"]], counts[r["last"]] = unpack(r["weighted"], np.float64), unpack(r["counts"], np.float64)
+    return Root(children, counts)
 
 
 # Words ---------------------------------------------------------------------
@@ -245,36 +188,58 @@ def summed(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def word_requests(dealt: DataFrame, bits: int) -> DataFrame:
-    """``(batch, shard, keys)``: the distinct words of each batch, by shard."""
+def batch_keys(data: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words (hashes) and grams of a batch of texts, sorted."""
+    words, parts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for _, _, part, po in _runs(data, offs):
+        words.append(np.unique(word_hashes(part, po)[0]))
+        parts.append(np.unique(grams(part, po, depth)[0]))
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(parts))
+
+
+def requests(dealt: DataFrame, bits: int, depth: int) -> DataFrame:
+    """``(batch, shard, keys)``: the distinct words of each batch, by shard, and
+    behind the words' shards its distinct grams."""
     def run(t: pa.Table) -> pa.Table:
-        data, offs = text_bytes(t.column("text"))
-        keys = [np.unique(word_hashes(part, po)[0]) for _, _, part, po in _runs(data, offs)]
-        k = np.unique(np.concatenate(keys))
-        shard = (k >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(k), np.int32)
+        words, parts = batch_keys(*text_bytes(t.column("text")), depth)
+        shard = (words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
         some, first = np.unique(shard, return_index=True)
-        cut = np.r_[first, len(k)]
-        return pa.table({"batch": pa.array([t.column("batch")[0].as_py()] * len(some), pa.int64()), "shard": pa.array(some, pa.int32()),
-                         "keys": pa.array([pack(k[a:z]) for a, z in zip(cut[:-1], cut[1:])], pa.binary())})
+        cut = np.r_[first, len(words)]
+        rows = [(int(s), pack(words[a:z])) for s, a, z in zip(some, cut[:-1], cut[1:])]
+        rows += [((1 << bits) + s, pack_keys(parts[at])) for s, at in _by_shard(parts, depth, 1 << bits)]
+        return pa.table({"batch": pa.array([t.column("batch")[0].as_py()] * len(rows), pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int32()),
+                         "keys": pa.array([r[1] for r in rows], pa.binary())})
 
     return dealt.groupBy("batch").applyInArrow(run, "batch long, shard int, keys binary")
 
 
-def word_replies(requests: DataFrame, totals: DataFrame) -> DataFrame:
-    """``(batch, shard, counts)``: a count for each key of a request."""
-    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        k, c = summed(known)
+def replies(asked: DataFrame, words: DataFrame, parts: DataFrame, bits: int, depth: int, root) -> DataFrame:
+    """``(batch, shard, answers)``: a count for each word of a request, or a log
+    probability (log10, 32 bits) for each gram."""
+    def run(wanted: pa.Table, known: pa.Table) -> pa.Table:
         out = []
-        for x in asked.column("keys").to_pylist():
-            want = unpack(x, np.uint64)
-            at = np.minimum(np.searchsorted(k, want), max(len(k) - 1, 0))
-            out.append(pack(np.where(k[at] == want, c[at], 0) if len(k) else np.zeros(len(want), np.int64)))
-        return pa.table({"batch": asked.column("batch"), "shard": asked.column("shard"), "counts": pa.array(out, pa.binary())})
-
-    return requests.groupBy("shard").cogroup(totals.groupBy("shard")).applyInArrow(run, "batch long, shard int, counts binary")
-
-
-def score_texts(docs: DataFrame, held_out: Column, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+        if not wanted.num_rows:
+            pass
+        elif wanted.column("shard")[0].as_py() < 1 << bits:
+            k, c = summed(known)
+            for x in wanted.column("keys").to_pylist():
+                want = unpack(x, np.uint64)
+                at = np.minimum(np.searchsorted(k, want), max(len(k) - 1, 0))
+                out.append(pack(np.where(k[at] == want, c[at], 0) if len(k) else np.zeros(len(want), np.int64)))
+        else:
+            k, c = _added([unpack_keys(x) for x in known.column("keys").to_pylist()], [unsqueeze(x, np.int64) for x in known.column("counts").to_pylist()])
+            nodes = NodeTable(k, c, depth)
+            for x in wanted.column("keys").to_pylist():
+                want = unpack_keys(x)
+                logs = np.concatenate([np.zeros(0), *(nodes.logs(want[a:a + 200_000], root.value) for a in range(0, len(want), 200_000))])
+                out.append(squeeze(logs.astype("<f4").view(np.uint8).reshape(-1, 4).T))
+        return pa.table({"batch": wanted.column("batch"), "shard": wanted.column("shard"), "answers": pa.array(out, pa.binary())})
+
+    known = words.unionByName(parts.withColumn("shard", (F.col("shard") + (1 << bits)).cast("int")))
+    return asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, "batch long, shard int, answers binary")
+
+
+def score_texts(docs: DataFrame, held_out: Column, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES, depth: int = DEPTH) -> DataFrame:
     """``(doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens,
     base_score, score)`` of every row; ``score`` is the model's log10
     probability of the text, ``base_score`` the words' unigram score."""
@@ -283,37 +248,44 @@ def score_texts(docs: DataFrame, held_out: Column, batch_bytes: int = BATCH_BYTE
     rows, size = text_size(d)
     batches = max(1, size // batch_bytes)
     bits = max(0, (size // shard_bytes).bit_length())
-    model = d.sparkSession.sparkContext.broadcast(train_bytes(d))
+    parts = cut_lineage(gram_totals(d, depth, 1 << bits), "ctw_grams")
+    root = d.sparkSession.sparkContext.broadcast(root_of(parts, depth))
     totals = cut_lineage(word_totals(d, bits), "ctw_words")
     know = totals.agg(F.sum(F.octet_length("keys") / 8).cast("long").alias("v")).first()["v"] or 0
     ends = d.where("train").count()
     words = _sum_counts(totals)
     n, v = words + ends, know + (ends > 0)
     dealt = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "doc_id", "held_out", "text")
-    replies = word_replies(word_requests(dealt, bits), totals)
+    answered = replies(requests(dealt, bits, depth), totals, parts, bits, depth, root)
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         data, offs = text_bytes(texts.column("text"))
-        got = sorted(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist()))
-        count = np.concatenate([unpack(c, np.int64) for _, c in got]) if got else np.zeros(0, np.int64)
-        parts = list(_runs(data, offs))
-        hashed = [word_hashes(part, po) for _, _, part, po in parts]
-        keys = np.unique(np.concatenate([h for h, _ in hashed])) if hashed else np.zeros(0, np.uint64)
-        logs, known = np.log10(count + ALPHA), count > 0
+        got = sorted(zip(answers.column("shard").to_pylist(), answers.column("answers").to_pylist()))
+        none = np.zeros(0, np.int64)
+        count = np.concatenate([none, *(unpack(x, np.int64) for s, x in got if s < 1 << bits)])
+        keys, asked = batch_keys(data, offs, depth)
+        byte_logs = np.empty(len(asked))
+        told = [np.ascontiguousarray(unsqueeze(x, np.uint8).reshape(4, -1).T).view("<f4").ravel() for s, x in got if s >= 1 << bits]
+        for (_, at), logs in zip(_by_shard(asked, depth, 1 << bits), told):
+            byte_logs[at] = logs
+        word_logs, known = np.log10(count + ALPHA), count > 0
         tokens, familiar, base, score = [], [], [], []
-        for (h, where), (_, _, part, po) in zip(hashed, parts):
+        for _, _, part, po in _runs(data, offs):
+            h, where = word_hashes(part, po)
             at = np.searchsorted(keys, h)
             tokens.append(np.diff(where) + 1)
             familiar.append(_sums(known[at].astype(np.int64), where) + (ends > 0))
-            base.append(_sums(logs[at], where) + np.log10(ends + ALPHA))
-            score.append(model.value.score(part, po))
+            base.append(_sums(word_logs[at], where) + np.log10(ends + ALPHA))
+            g, ends_at = grams(part, po, depth)
+            u, inverse = np.unique(g, return_inverse=True)
+            score.append(_sums(byte_logs[np.searchsorted(asked, u)][inverse], ends_at))
         tokens, familiar, base, score = (np.concatenate(x) for x in (tokens, familiar, base, score))
         base = base - tokens * np.log10(n + ALPHA * (v + 1))
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_bytes": pa.array(np.diff(offs), pa.int64()),
                          "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(familiar, pa.int64()),
                          "train_tokens": pa.array(np.full(len(tokens), n), pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
-    return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
+    return dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(
         run, "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

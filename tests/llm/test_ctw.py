@@ -6,10 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import nearline.llm as llm
 from nearline.llm import ctw
+from nearline.llm.common import text_bytes
+from nearline.llm.context_tree import NodeTable, Root, grams
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -77,9 +80,10 @@ def test_definition(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     held = F.col("doc_id").isin(5, 6)
     train = [t or "" for i, t in rows if i not in (5, 6)]
-    tree, base = Tree(train), unigrams(train, [t or "" for t in TEXTS])
-    for batch, shard in ((1 << 20, 1 << 20), (20, 10)):
-        got = ctw.score_texts(df, held, batch, shard).collect()
+    base = unigrams(train, [t or "" for t in TEXTS])
+    for batch, shard, depth in ((1 << 20, 1 << 20, 6), (20, 10, 6), (20, 1 << 20, 2), (1 << 20, 5, 3), (1 << 20, 1 << 20, 7)):
+        tree = Tree(train, depth)
+        got = ctw.score_texts(df, held, batch, shard, depth).collect()
         assert len(got) == len(rows)
         for r in got:
             assert (r.n_tokens, r.n_known, r.train_tokens) == base[r.doc_id][:3]
@@ -87,9 +91,27 @@ def test_definition(spark):
             assert math.isclose(r.score, tree.score(TEXTS[r.doc_id] or ""), rel_tol=1e-5)
 
 
-def test_probabilities_sum_to_one(spark, docs):
-    model = ctw.train_bytes(docs.select("text").withColumn("train", F.lit(True)))
-    assert np.allclose((10.0 ** model.table.astype(float)).sum(axis=1), 1, atol=1e-4)
+def test_probabilities_sum_to_one():
+    """Over all 256 bytes, after contexts seen and unseen; counts beyond the tables of logs too."""
+    key, _ = grams(*text_bytes(pa.array(TEXTS, pa.string())), 6)
+    key, count = np.unique(key, return_counts=True)
+    for times in (1, 100_000):
+        table = NodeTable(key, count * times, 6)
+        children, counts = np.zeros((256, 255)), np.zeros((256, 256))
+        for b, (w, c) in table.top().items():
+            children[b], counts[b] = w, c
+        root = Root(children, counts)
+        for before in (b"abraca", b"zzzzzz", b"\0\0\0\0\0t", b"e cat "):
+            context = sum(c << 8 * (k + 1) for k, c in enumerate(before))
+            logs = table.logs(np.array([context | x for x in range(256)], np.uint64), root)
+            assert math.isclose((10.0 ** logs).sum(), 1, rel_tol=1e-9)
+
+
+def test_block_probabilities():
+    from nearline.llm.context_tree import block_log
+    z, o = np.array([0, 1, 5, 70_000, 65_535, 10 ** 9]), np.array([0, 0, 9, 3, 1, 10 ** 9])
+    want = [math.lgamma(a + .5) + math.lgamma(b + .5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in zip(z.tolist(), o.tolist())]
+    assert np.allclose(block_log(z, o), want, rtol=1e-9, atol=1e-9)
 
 
 def test_edge_tables(spark, docs, no_docs):
@@ -110,3 +132,10 @@ def test_query_on_the_small_table(spark, sf):
     # A held-out byte costs well under the 8 bits of no model.
     bits = -sum(r.score for i, r in got.items() if held[i]) / math.log10(2) / sum(len(t.encode()) + 1 for i, t in text.items() if held[i])
     assert bits < 3.2
+
+
+def test_deep_contexts_beat_the_unigrams(spark):
+    """On held-out texts, the trees of depth 6 code better than words drawn by their frequency, and than two bytes of context."""
+    got = llm.QUERIES["op7_context_tree_score"](spark, "/root/testdata/sf0.1").where("held_out").agg(
+        F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
+    assert got["score"] > got["base"] and got["score"] / got["n"] > -4.0
