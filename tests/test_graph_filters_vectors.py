@@ -156,3 +156,46 @@ def test_arrays_match_by_any_element(spark):
     assert ids({"key": "n", "op": "in", "value": ["x", 1]}) == [1, 5]
     assert ids({"key": "n", "op": "gt", "value": 1}) == [1, 2]
     assert ids({"key": "n", "op": "not_in", "value": [2, "x"]}) == [1]
+
+
+def _walk(edges, nodes, combine):
+    """The definition, step by step: cycles, anchors, folded weights."""
+    out = {a: (b, w) for a, b, w in edges}
+    insum = {}
+    for _, b, w in edges:
+        insum[b] = insum.get(b, 0) + w
+    anchor_of_cycle, stars = {}, {}
+    for n in nodes:
+        seen = []
+        while n not in seen and n in out:
+            seen.append(n)
+            n = out[n][0]
+        cycle = seen[seen.index(n):] if n in seen else [n]
+        for c in cycle:
+            anchor_of_cycle[c] = min(cycle, key=lambda x: (-round(insum.get(x, 0), 9), x))
+    anchors = set(anchor_of_cycle.values())
+    for n in nodes:
+        w, u = 1.0, n
+        while u not in anchors:
+            w, u = (min(w, out[u][1]) if combine == "min" else w * out[u][1]), out[u][0]
+        stars[n] = (u, round(w, 9))
+    return stars
+
+
+@pytest.mark.parametrize("chunk", [40, 10 ** 6])
+def test_contraction_equals_the_walk(spark, monkeypatch, chunk):
+    import random
+    monkeypatch.setattr(G, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    n = 150
+    ids = [f"n{i:03d}" for i in range(n)]
+    edges = [(ids[i], ids[i + 1], 0.99) for i in range(40)]                                    # a chain into a cycle
+    edges += [(ids[40], ids[35], 0.5), (ids[41], ids[41], 0.9), (ids[42], ids[43], 0.7), (ids[43], ids[42], 0.7)]
+    edges += [(ids[i], ids[rng.randrange(n)], round(rng.random(), 2) + 0.1) for i in range(44, 140)]
+    df = spark.createDataFrame(edges, "src string, dst string, sim double").repartition(3)
+    nodes = spark.createDataFrame([(x,) for x in ids], "id string")
+    for combine in ("min", "product") if chunk > 40 else ("product",):
+        got = {r.node: (r.anchor, round(r.sim, 9)) for r in G.star_decompose(df, nodes, combine).collect()}
+        want = _walk(edges, ids, combine)
+        assert got.keys() == want.keys()
+        assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-8 for x in want)
