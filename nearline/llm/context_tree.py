@@ -126,8 +126,11 @@ class NodeTable:
         at = np.minimum(np.searchsorted(self.key, asked), max(len(self.key) - 1, 0))
         known = self.key[at] == asked if len(self.key) else np.zeros(len(asked), bool)
         out = np.empty(len(asked))
-        out[known] = self._mixed(asked[known], lambda d, bit: self.levels[d][bit].run[self.up[d][at[known]]], root)
-        out[~known] = self._mixed(asked[~known], lambda d, bit: self._find(asked[~known], d, bit), root)
+        place = at[known]
+        at_depth = {d: up[place] for d, up in self.up.items()}
+        out[known] = self._mixed(asked[known], lambda d, bit: self.levels[d][bit].run[at_depth[d]], root)
+        other = asked[~known]
+        out[~known] = self._mixed(other, lambda d, bit: self._find(other, d, bit), root)
         return out
 
     def _find(self, asked: np.ndarray, d: int, bit: int) -> np.ndarray:
