@@ -32,6 +32,7 @@ def gram_hash32_sql(expr: str) -> str:
     return f"('0x' || substr(md5({expr}), 1, 8))::BIGINT"
 
 
+# Fixed values below: digest sizes, byte order and text forms give the same numbers as the reference's hashes.
 @F.pandas_udf(T.LongType())
 def blake2b_u32(grams: pd.Series) -> pd.Series:
     """Reference-identical gram hash: little-endian blake2b, 4-byte digest."""

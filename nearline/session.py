@@ -90,14 +90,14 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-partition a table read from fewer files than the cluster has cores.
+    """Hash-partition a table that scans in fewer splits than the cluster has cores.
 
     For the readers of a query: CPU-heavy per-row work (regex masking, n-gram
-    hashing) should use every core, and a table stored as one row group scans
-    as one task.  Only the list of files is looked at, no stage runs; tables
-    of many files are left alone.
+    hashing) should use every core, and a small table stored as one row group
+    scans as one task.  Splits follow the bytes, so a table of few but large
+    files is left alone.  Only the scan is planned, no stage runs.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= target:
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= target:
         return df
     return df.repartition(target, *cols) if cols else df.repartition(target)

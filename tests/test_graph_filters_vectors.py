@@ -8,6 +8,7 @@ from nearline.operators import graph as G
 from nearline.operators import vectors as V
 from nearline.operators.skew import salted_join
 
+# The demonstration graph, whose stars FIXTURES.md derives.
 EDGES = [("1", "2", .85), ("2", "3", .90), ("3", "2", .90), ("4", "2", .80), ("5", "3", .85), ("6", "3", .80),
          ("7", "1", .80)]
 NODES = [str(i) for i in range(1, 9)]
