@@ -47,7 +47,7 @@ from ..operators.skew import salted_join
 from ..session import cut_lineage
 from .common import mix64, squeeze, text_size, unsqueeze
 
-BLOCK = 1_500_000                       # words of a block
+BLOCK = 1_000_000                       # words of a block
 SHARD_BYTES = 24 << 20                  # text bytes a shard stands for
 ENDS = b".,;:!?\n\x0b\x0c\r"            # fixed: characters between pieces
 _TO_END = bytes.maketrans(ENDS, b"\n" * len(ENDS))
