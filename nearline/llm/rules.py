@@ -16,7 +16,7 @@ words), so no text, word or window is ever shuffled.
 Defined cases: a null text is empty: all counts are 0 and the base rule
 rejects it (fewer than 50 words); a text without n-grams scores 0; rows with
 repeated ids are judged one by one; input columns of any name are carried
-through unchanged in ``__row``.
+through unchanged in ``__row``; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ has ``buckets`` numbers (256 KB by default), so it may be broadcast.
 Defined cases: a null or empty text has no features and gets the score of
 the bias alone; labels other than 0 and 1 and rows without text are not
 trained on; without both classes the score is the share of label 1 (0.5 if
-nothing is labelled); rows with repeated ids are scored one by one.
+nothing is labelled); rows with repeated ids are scored one by one; an empty
+table gives no rows; an id labelled twice counts once, with its smallest label.
 """
 
 from __future__ import annotations
