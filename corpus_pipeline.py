@@ -9,6 +9,11 @@
    documents with words taken, with ``epochs`` (whole passes over the source)
    and ``taken`` (words the mix takes, repeats counted).
 
+Null and empty texts fall under the quality rules' least number of words and go
+in the first stage; repeated rows and null ids are as stage 2 says; very long
+texts are read whole; an empty table gives an empty table from every stage;
+further columns pass through.
+
 Each stage's rows are written as Parquet in the shared folder and read again
 as the next one's documents, so a lost executor costs part of one stage.
 """
