@@ -43,11 +43,6 @@ def bucket_groups(bands: DataFrame, id_col: str) -> DataFrame:
     return salted_join(bands, heads, ["band_key"], "inner", salt_by=[id_col]).select("head", id_col).distinct()
 
 
-def head_links(bands: DataFrame, id_col: str) -> DataFrame:
-    """``(id, rep)``: each row and the smallest ids of its buckets, itself left out."""
-    return bucket_groups(bands, id_col).where(F.col("head") != F.col(id_col)).select(id_col, F.col("head").alias("rep"))
-
-
 def _best_in_tile(ids: np.ndarray, own: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The place of each row's best partner (-1: none) and the Jaccard.  Rows
     are in order of their ids; only rows that share a band count, and in a

@@ -9,7 +9,6 @@ and keeps k rows per query and block; one window merges them.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from dataclasses import dataclass
 
@@ -162,35 +161,6 @@ def search_blocks(points: DataFrame, id_col: str, vec_col: str, queries: DataFra
             .select("qid", "rank", "id", (F.col("cost") if metric == "euclidean" else -F.col("cost")).alias("score")))
 
 
-# ------------------------------------------------------------ SimHash LSH
-
-def hyperplanes(nbits: int, dim: int, seed: int) -> list[list[float]]:
-    """Deterministic random hyperplanes from md5 of ``"seed:bit:dim"``.
-
-    Components are uniform in [-1, 1) with 2^-20 resolution, so the SQL
-    oracle can use the very same literals.
-    """
-    out = []
-    for b in range(nbits):
-        row = []
-        for d in range(dim):
-            h = int(hashlib.md5(f"{seed}:{b}:{d}".encode()).hexdigest()[:5], 16)
-            row.append((h - (1 << 19)) / float(1 << 19))
-        out.append(row)
-    return out
-
-
-def simhash_band_keys(vec: Column, planes: list[list[float]], bands: int) -> Column:
-    """Sign bits of the projections, grouped into band keys ``b:{band}:{bits}``."""
-    nbits = len(planes)
-    if nbits % bands:
-        raise ValueError("bands must divide the number of hyperplanes")
-    r = nbits // bands
-    bits = [F.when(dot(vec, _lit_vec(p)) >= 0, F.lit("1")).otherwise(F.lit("0")) for p in planes]
-    keys = [F.concat(F.lit(f"b:{b}:"), F.concat(*bits[b * r:(b + 1) * r])) for b in range(bands)]
-    return F.array(*keys)
-
-
 def cost_blocks(metric: str):
     """The matrix of costs (less is better) between two blocks of vectors; ``jaccard``
     is the share of equal places (of signatures)."""

@@ -49,9 +49,10 @@ def _pair_sql() -> str:
     return f"""WITH sig AS ({_sig_sql()}),
 bands AS ({bands}),
 bk AS (SELECT doc_id, list(band_key) AS keys FROM bands GROUP BY doc_id),
-reps AS (SELECT band_key, min(doc_id) AS rep FROM bands GROUP BY band_key),
-edges AS (SELECT DISTINCT b.doc_id, r.rep FROM bands b JOIN reps r USING (band_key) WHERE b.doc_id <> r.rep)
-SELECT e.doc_id, e.rep, round({eq} / {n}, 6) AS est_jaccard,
+both_ AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.band_key = y.band_key AND x.doc_id <> y.doc_id),
+rated AS (SELECT z.a, z.b, {eq} / {n} AS est FROM both_ z JOIN sig a ON a.doc_id = z.a JOIN sig b ON b.doc_id = z.b),
+edges AS (SELECT a AS doc_id, b AS rep, est FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY est DESC, b) AS rn FROM rated) WHERE rn = 1)
+SELECT e.doc_id, e.rep, round(est, 6) AS est_jaccard,
   round(CASE WHEN {na} * {nb} = 0 THEN 0.0 ELSE {dotp} / ({na} * {nb}) END, 6) AS cosine,
   len(list_intersect(ka.keys, kb.keys))::INTEGER AS band_overlap
 FROM edges e JOIN sig a ON a.doc_id = e.doc_id JOIN sig b ON b.doc_id = e.rep
@@ -61,8 +62,13 @@ JOIN bk ka ON ka.doc_id = e.doc_id JOIN bk kb ON kb.doc_id = e.rep"""
 @register("signature_similarity", "C9 C10 C12 H6 D8 F3", _pair_sql)
 def q_signature_similarity(spark, sf):
     from ..operators.vectors import cosine
+    from ..sources.band_index import band_hashes, signature_key
+    from ..streaming.neighbours import nearest_edges
     sig = cut_lineage(M.signatures(spread(table(spark, sf, "documents"), "doc_id"), "doc_id", "text", P), "signatures")
-    edges = lsh.head_links(lsh.band_rows(sig, "doc_id"), "doc_id")
+    # The most similar of all documents that share a band (ids as text of equal length, so ties go to the smaller).
+    members = sig.select(F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("id"), signature_key(F.col("signature")).alias("key"), "signature",
+                         band_hashes(F.col("band_keys")).alias("bands"))
+    edges = nearest_edges(members, "jaccard").select(F.col("src").cast("long").alias("doc_id"), F.col("dst").cast("long").alias("rep"))
     a = sig.select("doc_id", F.col("signature").alias("sa"), F.col("band_keys").alias("ka"))
     b = sig.select(F.col("doc_id").alias("rep"), F.col("signature").alias("sb"), F.col("band_keys").alias("kb"))
     j = lsh.salted_join(edges.join(a, "doc_id"), b, ["rep"], "inner", salt_by=["doc_id"])
