@@ -40,3 +40,32 @@ def test_two_batches_equal_the_batch_gate_and_a_restart_changes_nothing(spark, l
     before = sp.next_epoch(), rows(sl)
     run()                                                                        # a restart without new files
     assert rows(sl) == before[1]
+
+
+def test_ids_are_forgotten_after_their_time(spark):
+    """With a ``ttl`` an id that comes again in time is dropped, and passes once it was forgotten."""
+    import time
+    base = f"{ensure_checkpoint_dir(spark)}/ttl-{uuid.uuid4().hex}"
+    name = f"ttl_{uuid.uuid4().hex[:8]}"
+
+    def come(k, rows):
+        spark.createDataFrame(rows, "id string, text string").coalesce(1).write.parquet(f"{base}/in/{k}")
+
+    come(0, [("a", "first"), ("b", "first"), ("a", "again")])
+    stream = spark.readStream.schema("id string, text string").parquet(f"{base}/in/*")
+    q = (ST.first_seen(stream, "id", ["text"], ttl_ms=6000).writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(processingTime="500 milliseconds").start())
+
+    def passed(n, seconds=100):
+        end = time.time() + seconds
+        while time.time() < end and spark.table(name).count() < n:
+            time.sleep(0.5)
+        return sorted(tuple(r) for r in spark.table(name).collect())
+
+    try:
+        assert passed(2) == [("a", "again"), ("b", "first")]
+        time.sleep(14)                                                  # longer than the ttl, batches run on
+        come(1, [("a", "later")])
+        assert passed(3) == [("a", "again"), ("a", "later"), ("b", "first")]
+    finally:
+        q.stop()
