@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lsh
 from ..operators import minhash as M
+from ..operators import setjoin
 from ..session import spread
 from ..sources.tables import table
 from .registry import register
@@ -69,3 +70,40 @@ SELECT doc_id, rep, round(jaccard, 6) AS jaccard FROM nn"""
 def q_near_dup_pairs(spark, sf):
     docs = spread(table(spark, sf, "documents"), "doc_id")
     return lsh.near_dup_pairs(docs, "doc_id", "text", FLAGSHIP, THRESHOLD)
+
+
+# The exact join: five-word shingles, from 80 %.
+WORDS, PERCENT = 5, 80
+
+
+def _word_sets_sql() -> str:
+    """CTE list up to ``near(a, b, n_common, n_union)``: a plain self-join of the shingles of distinct sets."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^ \t\n\x0B\f\r]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {WORDS - 1}], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WORDS - 2}, least(len(w), 1) + 1))) AS k FROM w)),
+k AS (SELECT w.doc_id, coalesce(md5(string_agg(sh, chr(10) ORDER BY sh)), 'empty ' || w.doc_id) AS k, count(sh) AS size FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+c AS (SELECT doc_id, size, min(doc_id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS class_rows FROM k),
+r AS (SELECT s.doc_id, s.sh, c.size FROM s JOIN c ON c.doc_id = s.doc_id AND c.class_id = c.doc_id),
+near AS (SELECT a, b, n_common, sa + sb - n_common AS n_union
+         FROM (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.size) AS sa, any_value(y.size) AS sb, count(*) AS n_common FROM r x JOIN r y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL)
+         WHERE 100 * n_common >= {PERCENT} * (sa + sb - n_common))"""
+
+
+def _word_sets(spark, sf):
+    docs = spread(table(spark, sf, "documents"), "doc_id")
+    return docs.select("doc_id", setjoin.word_shingles(F.col("text"), WORDS).alias("shingles"))
+
+
+@register("set_similarity_pairs", "D8 C11 F3", lambda: f"WITH {_word_sets_sql()}\nSELECT a, b, n_common, n_union FROM near",
+          note="all pairs of distinct five-word shingle sets from a Jaccard of 0.8, exact")
+def q_set_similarity_pairs(spark, sf):
+    return setjoin.similar_pairs(_word_sets(spark, sf), "doc_id", "shingles", PERCENT)
+
+
+@register("set_similarity_links", "D8 C11 G2", lambda: f"""WITH {_word_sets_sql()},
+o AS (SELECT n.a AS class_id, c.class_rows AS n FROM near n JOIN c ON c.doc_id = n.b UNION ALL SELECT n.b, c.class_rows FROM near n JOIN c ON c.doc_id = n.a)
+SELECT c.doc_id, c.class_id, (c.class_rows - 1 + coalesce(t.n, 0))::BIGINT AS n_links
+FROM c LEFT JOIN (SELECT class_id, sum(n) AS n FROM o GROUP BY class_id) t USING (class_id)""",
+          note="every document with its class of equal sets and its number of similar documents, exact")
+def q_set_similarity_links(spark, sf):
+    return setjoin.similar_counts(_word_sets(spark, sf), "doc_id", "shingles", PERCENT)
