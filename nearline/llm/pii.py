@@ -4,11 +4,13 @@ Fixed patterns give candidate spans: e-mail addresses, IPv4 addresses, card
 numbers, international phone numbers (each valid match is a base span) and
 local phone numbers.  Four labelers vote on each candidate (+1, 0, -1):
 the strict form, a gazetteer (top-level domains, calling codes, card
-prefixes, reserved networks), cue words around it, and its borders.
-Expectation-maximisation over the counts of vote patterns estimates the
-reliability of each labeler and a posterior for each pattern; a logistic span
-classifier is then trained on those posteriors with the votes, the kind, the
-length and the share of digits as features.  Base spans always stay;
+prefixes, reserved networks), cue words around it (English, German, French,
+Spanish), and its borders.  Expectation-maximisation over the counts of vote
+patterns estimates the reliability of each labeler for each kind, drawn to a
+stated prior where a kind is rare, and a posterior for each pattern; a
+logistic span classifier is then trained on those posteriors with the votes,
+the kind, the length, the share of digits and the hashed word before as
+features.  Base spans always stay;
 candidates that are no base span are added where the classifier says so and
 they overlap no base span.
 
@@ -32,6 +34,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +61,29 @@ CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39",
                  "95", "98", "351", "352", "353", "354", "358", "420", "421")
 CARD_PREFIX = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 RESERVED_NETWORK = r"^(0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
-CUES = {"email": r"mail|contact|reach|write|send", "ip": r"\bip\b|addr|host|server|client|from|login", "card": r"card|visa|credit|debit|payment|amex",
-        "phone": r"phone|call|tel|mobile|fax|cell|whatsapp", "local": r"phone|call|tel|mobile|fax|cell|whatsapp"}
-COUNTER_CUES = r"version|release|section|chapter|isbn|order|invoice|serial|build|total|sku|part no"
+# Beginnings of cue words in English, German, French and Spanish.
+MAIL_WORDS = r"e-?mail|mail|contact|reach|write|send|kontakt|schreib|senden|courriel|écri|envoy|joindre|correo|contacto|escrib|envi"
+NET_WORDS = r"ip|addr|host|server|client|from|login|adresse|rechner|serveur|depuis|connexion|direcci|servidor|desde"
+CARD_WORDS = r"card|visa|credit|debit|payment|amex|karte|kredit|zahlung|carte|crédit|paiement|tarjeta|crédito|pago"
+CALL_WORDS = r"phone|call|tel|mobile|fax|cell|whatsapp|telefon|anruf|ruf|handy|mobil|télé|appel|portable|teléfono|llam|móvil|celular"
+OTHER_WORDS = (r"version|release|section|chapter|isbn|order|invoice|serial|build|total|sku|part no|rechnung|bestell|artikel|kapitel|serien|auftrag|"
+               r"facture|commande|chapitre|série|référence|factura|pedido|capítulo|serie|versión|referencia")
+# End of fixed values.
+_begins = r"(?<!\p{L})(?:%s)"
+CUES = {k: _begins % w for k, w in (("email", MAIL_WORDS), ("ip", NET_WORDS), ("card", CARD_WORDS), ("phone", CALL_WORDS), ("local", CALL_WORDS))}
+COUNTER_CUES = _begins % OTHER_WORDS
 
 VOTERS = 4
-LENGTHS, DIGITS = 6, 4
-MAX_PATTERNS = len(PATTERNS) * 3 ** VOTERS * LENGTHS * DIGITS
+LENGTHS, DIGITS, WORDS = 6, 4, 64
+MAX_PATTERNS = len(PATTERNS) * 3 ** VOTERS * LENGTHS * DIGITS * WORDS
+#: The last word before a candidate (letters, in 24 characters).
+LAST_WORD = r"(\p{L}+)\P{L}*$"
+#: Chances of a vote of -1, 0, +1 before any data, for no span and for a span,
+#: by labeler: a failed form speaks against a span by 200 to 1, a cue by 10 to 1, another cue (an invoice) by 23 to 1.
+PRIOR = (((0.40, 0.27, 0.33), (0.002, 0.338, 0.66)), ((0.30, 0.30, 0.40), (0.10, 0.30, 0.60)),
+         ((0.35, 0.60, 0.05), (0.015, 0.485, 0.50)), ((0.40, 0.25, 0.35), (0.05, 0.25, 0.70)))
+SHARES = (0.35, 0.65)
+MASS = 20.0      # candidates of a kind that the prior counts for
 RUN = 256
 
 
@@ -168,91 +187,127 @@ def candidate(kind: str) -> Callable[[Column, Column], Column]:
         cast = [c.cast("tinyint").alias(f"v{j}") for j, c in enumerate(votes(kind, x, ok))]
         return F.struct(F.lit(list(PATTERNS).index(kind)).alias("kind"), start.alias("start"), (start + n).alias("stop"), ok.alias("base"),
                         (use | ok).alias("use"), *cast, F.least(F.floor(n / 6), F.lit(LENGTHS - 1)).cast("int").alias("len"),
-                        F.least(F.floor(d * DIGITS / n), F.lit(DIGITS - 1)).cast("int").alias("dig"))
+                        F.least(F.floor(d * DIGITS / n), F.lit(DIGITS - 1)).cast("int").alias("dig"),
+                        F.pmod(F.xxhash64(F.lit(kind), F.regexp_extract(x["before"], LAST_WORD, 1)), F.lit(WORDS)).cast("int").alias("word"))
 
     return make
 
 
 def label(found: DataFrame) -> DataFrame:
-    """``doc_id, spans``: every candidate's place, kind, whether it is a base
-    span, its votes and features."""
+    """``doc_id, spans``: the place of every base span, and of every candidate
+    that overlaps none, its kind, votes and features."""
     spans = [F.when(F.size(kind) > 0, F.filter(F.zip_with(kind, f"s_{kind}", candidate(kind)), lambda s: s["use"])) for kind in PATTERNS]
     placed = found.select("doc_id", *PATTERNS, *[starts(k).alias(f"s_{k}") for k in PATTERNS])
     # One array per kind, so that texts without matches cost nothing.
-    return placed.select("doc_id", F.flatten(F.array_compact(F.array(*spans))).alias("spans"))
+    d = placed.select("doc_id", F.flatten(F.array_compact(F.array(*spans))).alias("spans"))
+    # What overlaps a base span is settled, and would teach the labelers base spans under another kind.
+    d = d.select("doc_id", "spans", F.filter("spans", lambda s: s["base"]).alias("base"))
+    free = lambda s: s["base"] | ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    return d.select("doc_id", F.when(F.size("base") < F.size("spans"), F.filter("spans", free)).otherwise(F.col("spans")).alias("spans"))
 
 
-Pattern = tuple[int, tuple[int, ...], int, int]
+Pattern = tuple      # kind, votes, length class, digit class and, if it is used, the place of the word before
+
+
+def _varied(votes_of: dict[tuple, int]) -> int:
+    """How many labelers give other than one same vote to 5 % of a kind's candidates."""
+    n = sum(votes_of.values())
+    return sum(max(sum(c for vs, c in votes_of.items() if vs[j] == v) for v in (-1, 0, 1)) <= 0.95 * n for j in range(VOTERS))
 
 
 def estimate(counts: dict[Pattern, int], rounds: int = 40) -> tuple[dict[tuple, float], list]:
     """Expectation-maximisation over vote patterns: the posterior of each
-    (kind, votes) and each labeler's chances of -1, 0, +1 by class."""
+    (kind, votes), and each labeler's chances of -1, 0, +1 by class over all
+    kinds.  Within, every kind has chances of its own, drawn to ``PRIOR``, and
+    a share of spans, held in ``SHARES``.  Two classes can be told apart by
+    agreement only from three labelers on, so a kind where fewer vary keeps
+    the prior's chances."""
     pooled: dict[tuple, int] = {}
-    for (kind, vs, _, _), n in counts.items():
+    for (kind, vs, *_), n in counts.items():
         pooled[kind, vs] = pooled.get((kind, vs), 0) + n
-    post = {k: min(max(0.5 + 0.2 * sum(k[1]), 0.05), 0.95) for k in pooled}      # start: the vote's majority
-    chances: list = []
-    for _ in range(rounds):
-        # A little mass for a labeler that is right more often than wrong keeps the classes apart.
-        chances = [[[2.0, 2.0, 1.0], [1.0, 2.0, 2.0]] for _ in range(VOTERS)]
-        prior: dict[int, list[float]] = {}
+    kinds = sorted({kind for kind, _ in pooled})
+    chances = {k: [[list(row) for row in labeler] for labeler in PRIOR] for k in kinds}
+    share = dict.fromkeys(kinds, 0.0)                        # log odds of the classes
+    learned = [k for k in kinds if _varied({vs: n for (kind, vs), n in pooled.items() if kind == k}) >= 3]
+    post: dict[tuple, float] = {}
+    for step in range(rounds + 1):
+        for kind, vs in pooled:
+            odds = sum(math.log(c[1][v + 1] / c[0][v + 1]) for c, v in zip(chances[kind], vs)) + share[kind]
+            post[kind, vs] = 1 / (1 + math.exp(-min(max(odds, -500), 500)))
+        if step == rounds:
+            break
+        votes_of = {k: [[[MASS * c for c in row] for row in labeler] for labeler in PRIOR] for k in kinds}
         for (kind, vs), n in pooled.items():
-            q = post[kind, vs]
-            share = prior.setdefault(kind, [1.0, 1.0])
-            for y, w in ((0, 1 - q), (1, q)):
-                share[y] += n * w
+            for y, w in ((0, 1 - post[kind, vs]), (1, post[kind, vs])):
                 for j, v in enumerate(vs):
-                    chances[j][y][v + 1] += n * w
-        chances = [[[c / sum(row) for c in row] for row in labeler] for labeler in chances]
-        for kind, vs in pooled:
-            logs = [math.log(prior[kind][y]) + sum(math.log(chances[j][y][v + 1]) for j, v in enumerate(vs)) for y in (0, 1)]
-            post[kind, vs] = 1 / (1 + math.exp(min(max(logs[0] - logs[1], -500), 500)))
-    return post, chances
+                    votes_of[kind][j][y][v + 1] += n * w
+        for k in learned:
+            chances[k] = [[[c / sum(row) for c in row] for row in labeler] for labeler in votes_of[k]]
+            no, yes = (sum(votes_of[k][0][y]) for y in (0, 1))
+            q = min(max(yes / (no + yes), SHARES[0]), SHARES[1])
+            share[k] = math.log(q / (1 - q))
+    total = [[[sum(votes_of[k][j][y][v] for k in kinds) for v in range(3)] for y in (0, 1)] for j in range(VOTERS)] if kinds else [list(map(list, x)) for x in PRIOR]
+    return post, [[[c / sum(row) for c in row] for row in labeler] for labeler in total]
 
 
-def slots(p: Pattern) -> list[int]:
-    """Places of a pattern's features in the weight vector."""
-    kind, vs, length, digits = p
-    k = len(PATTERNS)
-    return [0, 1 + kind, *[1 + k + 3 * j + v + 1 for j, v in enumerate(vs)], 1 + k + 3 * VOTERS + length, 1 + k + 3 * VOTERS + LENGTHS + digits]
+#: Places in the weight vector: kinds, then votes by kind and labeler, lengths and digits by kind, words.
+AT_VOTES = len(PATTERNS)
+AT_LENGTHS = AT_VOTES + len(PATTERNS) * VOTERS * 3
+AT_DIGITS = AT_LENGTHS + len(PATTERNS) * LENGTHS
+AT_WORDS = AT_DIGITS + len(PATTERNS) * DIGITS
 
 
-def fit_classifier(counts: dict[Pattern, int], post: dict[tuple, float], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> list[float]:
-    """Logistic regression on the posteriors, patterns weighted by their counts."""
-    size = 1 + len(PATTERNS) + 3 * VOTERS + LENGTHS + DIGITS
-    w = [0.0] * size
-    total = sum(counts.values()) or 1
-    rows = sorted((slots(p), n / total, post[p[0], p[1]]) for p, n in counts.items())
+def slots(p: Pattern) -> list[int]:
+    """Places of a pattern's features in the weight vector."""
+    kind, vs, length, digits, *word = p
+    return [kind, *[AT_VOTES + 3 * (VOTERS * kind + j) + v + 1 for j, v in enumerate(vs)], AT_LENGTHS + LENGTHS * kind + length,
+            AT_DIGITS + DIGITS * kind + digits, *[AT_WORDS + w for w in word]]
+
+
+def fit_classifier(counts: dict[Pattern, int], post: dict[tuple, float], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3,
+                   enough: int = 200) -> list[float]:
+    """Logistic regression on the posteriors.  Weights begin at the prior's
+    log odds and are drawn to them.  Kinds weigh alike, however many candidates
+    they have, from ``enough`` on; a rarer kind stays nearer to the prior."""
+    start = np.zeros(AT_WORDS + WORDS)
+    odds = [math.log(yes / no) for labeler in PRIOR for no, yes in zip(*labeler)]
+    start[AT_VOTES:AT_LENGTHS] = odds * len(PATTERNS)
+    if not counts:
+        return start.tolist()
+    some = sorted(counts)
+    at = np.array([slots(p) for p in some])
+    size: dict[int, int] = {}
+    for p in some:
+        size[p[0]] = size.get(p[0], 0) + counts[p]
+    n = np.array([counts[p] / max(size[p[0]], enough) for p in some]) / len(size)
+    want = np.array([post[p[0], p[1]] for p in some])
+    w = start.copy()
     for _ in range(rounds):
-        grad = [decay * x for x in w]
-        for at, n, q in rows:
-            err = n * (1 / (1 + math.exp(-min(max(sum(w[i] for i in at), -500), 500))) - q)
-            for i in at:
-                grad[i] += err
-        w = [x - rate * g for x, g in zip(w, grad)]
-    return w
+        err = n * (1 / (1 + np.exp(-np.clip(w[at].sum(axis=1), -500, 500))) - want)
+        w -= rate * (decay * (w - start) + np.bincount(at.ravel(), np.repeat(err, at.shape[1]), len(w)))
+    return w.tolist()
 
 
 def learn(labeled: DataFrame) -> list[float]:
     """Weights of the span classifier; at most ``MAX_PATTERNS`` counts reach the driver."""
-    keys = ["kind", *[f"v{j}" for j in range(VOTERS)], "len", "dig"]
+    keys = ["kind", *[f"v{j}" for j in range(VOTERS)], "len", "dig", "word"]
     rows = labeled.select(F.explode("spans").alias("s")).groupBy(*[F.col(f"s.{k}").alias(k) for k in keys]).count().collect()
-    counts = {(r["kind"], tuple(r[f"v{j}"] for j in range(VOTERS)), r["len"], r["dig"]): r["count"] for r in rows}
+    counts = {(r["kind"], tuple(r[f"v{j}"] for j in range(VOTERS)), r["len"], r["dig"], r["word"]): r["count"] for r in rows}
     post, _ = estimate(counts)
     return fit_classifier(counts, post)
 
 
 def says_yes(weights: list[float]) -> Callable[[Column], Column]:
     """The classifier as an expression on a candidate."""
-    k = len(PATTERNS)
     pick = lambda lo, n, at: F.element_at(F.array(*[F.lit(w) for w in weights[lo:lo + n]]), at + 1)
 
     def yes(s: Column) -> Column:
-        odds = F.lit(weights[0]) + pick(1, k, s["kind"])
+        odds = pick(0, len(PATTERNS), s["kind"])
         for j in range(VOTERS):
-            odds = odds + pick(1 + k + 3 * j, 3, s[f"v{j}"].cast("int") + 1)
-        odds = odds + pick(1 + k + 3 * VOTERS, LENGTHS, s["len"]) + pick(1 + k + 3 * VOTERS + LENGTHS, DIGITS, s["dig"])
+            odds = odds + pick(AT_VOTES, 3 * VOTERS * len(PATTERNS), 3 * (VOTERS * s["kind"] + j) + s[f"v{j}"].cast("int") + 1)
+        odds = odds + pick(AT_LENGTHS, len(PATTERNS) * LENGTHS, LENGTHS * s["kind"] + s["len"])
+        odds = odds + pick(AT_DIGITS, len(PATTERNS) * DIGITS, DIGITS * s["kind"] + s["dig"])
+        odds = odds + pick(AT_WORDS, WORDS, s["word"])
         return odds >= 0
 
     return yes
@@ -267,8 +322,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     base = F.array_sort(F.transform(F.filter("spans", lambda s: s["base"]), plain))
     rest = F.filter("spans", lambda s: ~s["base"] & yes(s))
     d = labeled.select("doc_id", F.when(F.size("spans") > 0, base).alias("base"), F.when(F.size("spans") > 0, rest).alias("rest"))
-    free = F.filter("rest", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    d = d.select("doc_id", "base", F.array_sort(F.array_distinct(F.transform(free, plain))).alias("added"))
+    d = d.select("doc_id", "base", F.array_sort(F.array_distinct(F.transform("rest", plain))).alias("added"))
     named = lambda c: F.transform(F.coalesce(c, F.expr("cast(array() as array<struct<k:int,start:int,stop:int>>)")), lambda s: F.struct(
         F.element_at(F.array(*map(F.lit, KINDS)), s["k"] + 1).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     return d.select("doc_id", named(F.col("base")).alias("base"), named(F.col("added")).alias("added"))
