@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,33 @@ def test_arrow_and_jvm_engines_agree(spark):
         out[engine] = {r.doc_id: (list(r.signature), list(r.band_keys), r.shingle_count)
                        for r in M.signatures(docs, "doc_id", "text", p).collect()}
     assert out["arrow"] == out["jvm"] and len(out["arrow"]) > 0
+
+
+def test_texts_to_sets_and_signatures_by_blocks(spark, monkeypatch):
+    from nearline.functions import hashing as H
+    rng = np.random.default_rng(3)
+    texts = ["", "abcd", "abcde", "aaaaaaaaaa", "é😀ü" * 40] + ["".join(chr(c) for c in rng.integers(97, 101 + 3000 * (i % 2), 200)) for i in range(60)]
+    for n in (1, 3, 5, 9):
+        for name, digest in H.GRAM_HASHES.items():
+            flat, offs = H.gram_block(texts, n, digest)
+            want = [sorted({digest(t[k:k + n]) for k in range(len(t) - n + 1)}) for t in texts]
+            assert [flat[a:z].tolist() for a, z in zip(offs[:-1], offs[1:])] == want
+    monkeypatch.setattr(H, "_BLOCK", 500)
+    params = H.hash_params(8, 7)
+    seen = []
+    for flat, offs in H._gram_blocks(pa.array([*texts, None]), 5, "md5"):
+        for g, s in zip([flat[a:z].tolist() for a, z in zip(offs[:-1], offs[1:])], H.signature_block(flat, offs, 8, 7).tolist()):
+            assert s == [min([H.MAX_HASH] + [(a * x + b) % H.PRIME for x in g]) for a, b in params]
+            seen.append(g)
+    assert len(seen) == len(texts) + 1 and seen[-1] == []
+
+
+def test_plans_of_blake2b_and_band_keys(spark):
+    """No gram is shuffled, and the keys are computed in one place."""
+    from nearline.plans.q_minhash import P_COMPAT, q_band_keys
+    docs = spark.createDataFrame([(1, "some text of words")], "doc_id long, text string")
+    plan = M.signatures(docs, "doc_id", "text", P_COMPAT)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    keys = q_band_keys(spark, "/root/testdata/sf0.001")
+    assert keys._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
