@@ -36,7 +36,8 @@ def q_minhash_signature(spark, sf):
           .replace("SELECT doc_id, b AS band,", "SELECT doc_id, b::INTEGER AS band,"))
 def q_band_keys(spark, sf):
     sig = M.signatures(spread(table(spark, sf, "documents"), "doc_id"), "doc_id", "text", P)
-    return sig.select("doc_id", F.posexplode("band_keys").alias("band", "band_key"))
+    # Never empty; a plain explode would compute all keys a second time, before the shuffle, to ask for that.
+    return sig.select("doc_id", F.posexplode_outer("band_keys").alias("band", "band_key"))
 
 
 def _pair_sql() -> str:
