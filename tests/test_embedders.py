@@ -51,6 +51,9 @@ def test_sql_functions(spark):
         by_columns = [r[0] for r in df.select(e.compare(e.embed(F.col("a")), e.embed(F.col("b")))).collect()]
         assert by_sql == pytest.approx(by_columns)
     assert [tuple(r) for r in spark.sql("SELECT * FROM t_shingles('a b c d', 3)").collect()] == [("a b c", 0), ("b c d", 1)]
+    # All texts of an id in one call, each run once: nothing to tell apart by a shuffle.
+    once = spark.sql("SELECT * FROM t_shingles(array('a b a b', NULL, 'b a c'), 2, true)").collect()
+    assert [tuple(r) for r in once] == [("a b", 0), ("b a", 1), ("a c", 1)]
 
 
 def test_exact_median(spark):
