@@ -1,5 +1,6 @@
 """Masking rules (B1-B18) against the fixture expectations and a plain-Python run of the same rules."""
 
+import random
 import re
 
 import pytest
@@ -60,3 +61,30 @@ def test_same_as_python_re_on_documents(spark):
 def test_rule_table_is_ordered():
     names = [r.name for r in FULL_RULES]
     assert names.index("url") < names.index("uuid") < names.index("ipv6") < names.index("ts_time") < names.index("number")
+
+
+def test_java_forms_match_the_same(spark):
+    """The faster spellings against the rules' own, on words of what the rules look for."""
+    from nearline.functions import text as X
+    rng = random.Random(3)
+    parts = ["a", "k", "B", "\u017f", "\u212a", "\u0131", "\u00e9", "7", "25", "256", "0", ".", "@", "-", "_", "+", "%", "=", ":", " ", "\n", "/", "id", "ID", "user_id=",
+             "\u017fession-id: ", "trace", "tas\u212a_id=", "abcdef", "10.0.0.1", "x@y.org", "\u0663", "Abc-123_def45", "1.2.3.4.5"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    hits = 0
+    for rule in X.FULL_RULES:
+        if rule.name in X.JAVA_FORMS:
+            form = X._java_pattern(rule)
+            plain = form[:form.index(")") + 1] + rule.pattern
+            assert form != plain
+            a, b = (F.regexp_replace("t", p, rule.replacement) for p in (plain, form))
+            assert df.where(a != b).count() == 0, rule.name
+            hits += df.where(a != F.col("t")).count() > 50
+    assert hits == len(X.JAVA_FORMS)
+
+
+def test_log_lines_come_in_short_tasks(spark, tmp_path):
+    from nearline.sources.tables import log_lines
+    spark.range(600_000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id AS user_id", "'view' AS event_type", "rand(1) AS value",
+                                    "concat('{\"k\": ', rand(2), '}') AS props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert log_lines(spark, str(tmp_path)).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
