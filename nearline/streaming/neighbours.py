@@ -57,7 +57,10 @@ def nearest_edges(members: DataFrame, metric: str) -> DataFrame:
     members = cut_lineage(members, "members")
     sigs = cut_lineage(_signatures(members), "member_signatures")
     bands = cut_lineage(band_rows(sigs), "member_bands")
-    found = best_matches(sigs, sigs, bands, bands, similarity_blocks(metric), exclude_same=True)
+    # Two points of one signature are as similar as can be; other signatures differ in a place.
+    alone = sigs.where("second IS NULL") if metric == "jaccard" else sigs
+    asks = bands.join(alone.select("key"), "key", "left_semi") if metric == "jaccard" else bands
+    found = best_matches(alone, sigs, asks, bands, similarity_blocks(metric), exclude_same=True)
     return _edges_of(members, found, sigs)
 
 

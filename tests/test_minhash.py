@@ -1,6 +1,7 @@
 """MinHash / LSH embedding (C1-C12): parameter checks, exact Jaccard, reference-identical signatures."""
 
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -125,3 +126,28 @@ def test_plans_of_blake2b_and_band_keys(spark):
     keys = q_band_keys(spark, "/root/testdata/sf0.001")
     assert keys._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
+
+
+def test_blocks_of_signatures_and_twins(spark):
+    """Nearest other signature by brute force, with points of one signature among them, whatever the size of a tile."""
+    from nearline.operators import tiles
+    from nearline.sources.band_index import similarity_blocks
+    from nearline.streaming.neighbours import nearest_edges
+    rng = random.Random(5)
+    sigs = [[rng.randrange(3) for _ in range(8)] for _ in range(60)]
+    sigs += sigs[:9]
+    rows = [(f"{i:03d}", ",".join(map(str, s)), s, [10 * b + 100 * s[2 * b] + s[2 * b + 1] for b in range(4)]) for i, s in enumerate(sigs)]
+    df = spark.createDataFrame(rows, "id string, key string, signature array<long>, bands array<long>")
+    want = {}
+    for i, _, s, b in rows:
+        near = [(-sum(x == y for x, y in zip(s, t)) / 8, j) for j, _, t, c in rows if j != i and any(x == y for x, y in zip(b, c))]
+        if near:
+            want[i] = min(near)[::-1]
+    got = {r.src: (r.dst, -r.sim) for r in nearest_edges(df, "jaccard").collect()}
+    assert got == want and len(want) > 40
+    one = df.groupBy("key").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    bands = one.select(F.explode("bands").alias("bk"), "key")
+    costs = similarity_blocks("jaccard")
+    plain = lambda a, block: costs(a, block)
+    found = [sorted(map(tuple, tiles.best_matches(one, one, bands, bands, f, chunk, True).collect())) for f, chunk in ((costs, 7), (costs, 1000), (plain, 1000))]
+    assert found[0] == found[1] == found[2] and costs.equal_places
