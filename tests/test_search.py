@@ -129,3 +129,23 @@ def test_batch_of_texts_equals_single_searches(spark, logs):
         for i, t in enumerate(texts):
             want = [(r.id, round(r.score, 6)) for r in st.search_text(t, 3, spec if i % 2 == 0 else None).collect()]
             assert got[i] == want
+
+
+def test_two_chunks_are_compared_once(spark):
+    """A tile of two chunks computes their block of costs once, for the rows of both."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(120, 4)), 1)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>").withColumn("g", F.lit(1))
+    cells = spark.sparkContext.accumulator(0)
+    plain = V.cost_blocks("euclidean")
+
+    def costs(a, b):
+        cells.add(len(a) * len(b))
+        return plain(a, b)
+
+    got = {r.id: (r.partner, round(r.cost, 6)) for r in tiles.best_partners(df, "g", "id", "v", costs, 30).collect()}
+    d = np.round(np.sqrt(((v[:, None] - v[None, :]) ** 2).sum(-1)), 9)
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: (int(d[i].argmin()), round(float(d[i].min()), 6)) for i in range(120)}
+    assert cells.value <= 120 * 120
