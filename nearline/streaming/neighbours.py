@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.skew import salted_join
+from ..operators.skew import is_small, spread_join
 from ..operators.tiles import best_matches
 from ..session import cut_lineage
-from ..sources.band_index import band_rows, keyed, similarity_blocks
+from ..sources.band_index import band_rows, first_ids, keyed, similarity_blocks, whole_rows
 from ..sources.store import TableStore
 
 EDGES = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("sim", T.DoubleType())])
@@ -33,18 +33,22 @@ def edge_store(points: TableStore) -> TableStore:
     return TableStore(points.spark, points.root + "-edges", EDGES, "src", "last_wins", compact_every=8)
 
 
-def _signatures(members: DataFrame) -> DataFrame:
-    """Members by signature, with the two smallest ids of each."""
-    first = members.groupBy("key").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    second = (salted_join(members.select("key", "id"), first.select("key", F.col("id").alias("first")), ["key"], "inner", salt_by=["id"])
+def _signatures(members: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Members by signature, with the two smallest ids of each; ``whole`` has the
+    signatures where ``members`` are keys and ids only."""
+    first = first_ids(members)
+    second = (spread_join(members.select("key", "id"), first.select("key", F.col("id").alias("first")), ["key"], "inner", salt_by=["id"])
               .where("id <> first").groupBy("key").agg(F.min("id").alias("second")))
-    return first.join(second, "key", "left")
+    if whole is not None:
+        members = whole.join(members.select("id"), "id", "left_semi") if not is_small(first) else whole
+    return whole_rows(members, first).join(second, "key", "left")
 
 
 def _edges_of(members: DataFrame, matches: DataFrame, twins: DataFrame) -> DataFrame:
     """``(src, dst, sim)``: the better of the best other signature and the
     smallest other point of the own signature (which is equal: 1.0)."""
-    both = salted_join(members.select(F.col("id").alias("src"), "key"), matches.join(twins.select("key", "id", "second"), "key", "full"), ["key"], "inner", salt_by=["src"])
+    known = cut_lineage(matches.join(twins.select("key", "id", "second"), "key", "full"), "signature_matches")
+    both = spread_join(members.select(F.col("id").alias("src"), "key"), known, ["key"], "inner", salt_by=["src"])
     twin = F.when(F.col("src") != F.col("id"), F.col("id")).otherwise(F.col("second"))
     pairs = F.array(F.struct((-F.col("similarity")).alias("c"), F.col("match_id").alias("dst")), F.struct(F.lit(-1.0).alias("c"), twin.alias("dst")))
     best = F.array_min(F.filter(pairs, lambda p: p["dst"].isNotNull()))
@@ -82,8 +86,8 @@ def sync(points: TableStore, metric: str = "cosine", epoch: int | None = None, w
     forward = best_matches(new, old, asked, entries, costs, exclude_same=True)
     here = _edges_of(fresh, forward, old.join(new.select("key"), "key", "left_semi"))
     # Synced points that share a band with an unsynced one: is that one better?
-    stale = cut_lineage(near.join(fresh.select("id"), "id", "left_anti"), "synced_near")
-    others = cut_lineage(_signatures(stale), "synced_signatures")
+    stale = cut_lineage(near.select("id", "key").join(fresh.select("id"), "id", "left_anti"), "synced_near")
+    others = cut_lineage(_signatures(stale, near), "synced_signatures")
     back = best_matches(others, new, band_rows(others).join(asked.select("bk").distinct(), "bk", "left_semi"), asked, costs, exclude_same=True)
     twins = new.select("key", "id", F.lit(None).cast("string").alias("second"))
     offers = _edges_of(stale, back, twins)

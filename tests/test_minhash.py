@@ -151,3 +151,27 @@ def test_blocks_of_signatures_and_twins(spark):
     plain = lambda a, block: costs(a, block)
     found = [sorted(map(tuple, tiles.best_matches(one, one, bands, bands, f, chunk, True).collect())) for f, chunk in ((costs, 7), (costs, 1000), (plain, 1000))]
     assert found[0] == found[1] == found[2] and costs.equal_places
+
+
+def test_equal_texts_of_a_batch_are_hashed_once(monkeypatch):
+    import pyarrow as pa
+    from nearline.functions import hashing as H
+    seen = []
+    real = H.gram_block
+    monkeypatch.setattr(H, "gram_block", lambda texts, n, digest: (seen.extend(texts), real(texts, n, digest))[1])
+    texts = pa.array(["took <id> ms", None, "took <id> ms", "other words", "", "took <id> ms"])
+    out = H.text_embed_udf(5, 16, 4, 42).func(texts).to_pylist()
+    assert sorted(seen) == ["", "other words", "took <id> ms"]
+    assert out[0] == out[2] == out[5] != out[3] and out[1] == out[4] and out[1]["shingle_count"] == 0
+    assert [len(x["signature"]) for x in out] == [16] * 6 and [len(x["band_keys"]) for x in out] == [4] * 6
+
+
+def test_embedded_band_keys_are_the_columns(spark):
+    p = M.MinHashParams(5, 16, 8, 42, profile="basic")
+    df = spark.createDataFrame([(1, "Took 12 ms at noon"), (2, None), (3, ""), (4, "took 13 ms at noon"), (5, "ça va bien, été")], "id int, text string")
+    rows = M.embed_rows(df, "text", p)
+    assert rows.columns == ["id", "text", "signature", "shingle_count", "band_keys"]
+    assert rows.where(F.col("band_keys") != M.band_keys(F.col("signature"), p)).count() == 0
+    plain = M.signatures_from_sets(M.gram_sets(df, "id", "text", p), "id", p)
+    assert sorted((r.id, r.signature, r.shingle_count, r.band_keys) for r in rows.collect()) == sorted(
+        (r.id, r.signature, r.shingle_count, r.band_keys) for r in plain.select("id", "signature", "shingle_count", "band_keys").collect())

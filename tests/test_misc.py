@@ -258,3 +258,50 @@ def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
     assert len(docs.inputFiles()) == 2
     ids = {r.id for r in docs.select(q_store.IG.log_id(F.col("text"), F.col("source"), F.col("lang")).alias("id")).collect()}
     assert {r.id for r in q_store.q_stream_ingest(spark, str(tmp_path)).collect()} == ids
+
+
+def test_gate_rows_stay_where_they_are(spark, tmp_path):
+    """Whole rows are neither shuffled nor sorted to be decided: equal signatures
+    have one match, which is joined by their key; repeated ids keep all rows."""
+    text = "ERROR 2026-01-13T12:00:01Z user_id=123e4567-e89b-12d3-a456-426614174000 request took {}ms"
+    rows = [(text.format(k % 7), f"pod-{k}", "ERROR", None) for k in range(60)]
+    logs = spark.createDataFrame(rows + rows[:5], "text string, pod_name string, severity string, ts timestamp")
+    cfg = IG.GateConfig(M.MinHashParams(5, 64, 16, 42, profile="basic", skip=("num",)), 0.8, "jaccard")
+    pts, look = S.point_store(spark, str(tmp_path / "g")), S.lookup_store(spark, str(tmp_path / "g"))
+    IG.ingest(logs.where("pod_name <> 'pod-59'"), pts, look, cfg, 0)
+    dec = IG.ingest(logs, pts, look, cfg, 1)
+    assert dec.columns == ["id", "signature", "band_keys", "text_payload", "pod_name", "severity", "ts", "match_id", "similarity",
+                           "decision", "closest_log_id", "lookup_sim"]
+    plan = dec._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
+    got = dec.collect()
+    assert len(got) == 65 and {r.decision for r in got} == {"duplicate"}
+    first = {}
+    for r in pts.current().collect():
+        first[tuple(r.signature)] = min(first.get(tuple(r.signature), r.id), r.id)
+    assert all(r.closest_log_id == first[tuple(r.signature)] and r.similarity == 1.0 for r in got)
+
+
+def test_seen_records_are_not_embedded(spark, tmp_path):
+    """Records seen before are left out before the masking, not after it."""
+    logs = spark.createDataFrame([(f"took {k} ms of time", "p", "INFO", None) for k in range(6)], "text string, pod_name string, severity string, ts timestamp")
+    cfg = IG.GateConfig(M.MinHashParams(5, 64, 16, 42, profile="basic"), 0.8, "jaccard")
+    ids = IG.embed_logs(logs, cfg).select("id").limit(4)
+    rows = IG.embed_logs(logs, cfg, ids)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("LeftAnti") and rows.count() == 2
+
+
+def test_nearest_signatures_of_keys_alone(spark):
+    from nearline.streaming import neighbours
+    rows = [(f"i{k:02}", f"k{k % 3}", [k % 3, 1], [7, 8 + k % 3]) for k in range(9)]
+    members = spark.createDataFrame(rows, "id string, key string, signature array<bigint>, bands array<bigint>")
+    some = members.where("id >= 'i02'").select("id", "key")
+    for limit in ("10MB", "-1"):
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = sorted((r.key, r.id, r.second, r.signature, r.bands) for r in neighbours._signatures(some, members).collect())
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        assert got == [("k0", "i03", "i06", [0, 1], [7, 8]), ("k1", "i04", "i07", [1, 1], [7, 9]), ("k2", "i02", "i05", [2, 1], [7, 10])]
