@@ -105,11 +105,12 @@ FROM sig a JOIN sig b ON b.doc_id = a.doc_id + 1 LEFT JOIN s ON s.doc_id = a.doc
 def q_sql_functions(spark, sf):
     from ..operators.embedders import MinHashEmbedder, register_functions
     register_functions(spark, MinHashEmbedder(P_SQL, "jaccard"), "doc")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
+    # Written: both sides of the join read the signatures, each made once.
+    sig = cut_lineage(spark.sql("SELECT doc_id, doc_signature(doc_grams(text)) AS signature FROM {docs}", docs=docs), "sql_signatures")
     # The texts of an id meet, so their runs are told apart where they are made and none is shuffled.
     return spark.sql("""
-        WITH sig AS (SELECT doc_id, doc_signature(doc_grams(text)) AS signature FROM {docs}),
-             t AS (SELECT doc_id, collect_set(text) AS texts FROM {docs} GROUP BY doc_id),
+        WITH t AS (SELECT doc_id, collect_set(text) AS texts FROM {docs} GROUP BY doc_id),
              s AS (SELECT doc_id, count(gram) AS n FROM t, LATERAL doc_shingles(texts, 3, true) GROUP BY doc_id)
         SELECT a.doc_id, b.doc_id AS next_id, round(doc_compare(a.signature, b.signature), 6) AS similarity, coalesce(n, 0) AS word_shingles
-        FROM sig a JOIN sig b ON b.doc_id = a.doc_id + 1 LEFT JOIN s ON s.doc_id = a.doc_id""",
-                     docs=spread(table(spark, sf, "documents"), "doc_id"))
+        FROM {sig} a JOIN {sig} b ON b.doc_id = a.doc_id + 1 LEFT JOIN s ON s.doc_id = a.doc_id""", docs=docs, sig=sig)

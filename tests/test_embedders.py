@@ -1,5 +1,6 @@
 """Embedders, SQL functions, exact medians, ordered listing."""
 
+import hashlib
 import random
 import statistics
 import uuid
@@ -56,6 +57,24 @@ def test_sql_functions(spark):
     assert [tuple(r) for r in once] == [("a b", 0), ("b a", 1), ("a c", 1)]
 
 
+def test_sql_signatures_are_made_once(spark):
+    """Both sides of the join read one table of signatures, and grams stay on the tasks' Python side."""
+    from nearline.plans.q_minhash import P_SQL, q_sql_functions
+    plan = q_sql_functions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [" not in plan and "regexp_extract_all" not in plan
+    E.register_functions(spark, E.MinHashEmbedder(P_SQL, "jaccard"), "u")
+    df = spark.createDataFrame([(1, "some words, some words"), (2, "abc"), (3, None), (4, "\u00e9\u4e00 caf\u00e9 \U0001f600!")], "id int, t string")
+    made = spark.sql("SELECT id, t, u_grams(t) AS g, u_signature(u_grams(t)) AS s FROM {df}", df=df)
+    assert spark.sql("SELECT u_signature(u_grams(t)) FROM {df}", df=df)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in made.collect():
+        grams = {r.t[k:k + 5] for k in range(len(r.t or "") - 4)} if r.t else set()
+        want = {int.from_bytes(hashlib.md5(g.encode()).digest()[:4], "big") for g in grams}
+        assert set(r.g) == want and len(r.g) == len(want) and len(r.s) == 16
+    short = E.MinHashEmbedder(M.MinHashParams(5, 16, 8, 42, stop_short_lines=9, normalize=False, lowercase=False, collapse_whitespace=False), "jaccard")
+    E.register_functions(spark, short, "v")
+    assert [len(r[0]) for r in spark.sql("SELECT v_grams(t) FROM (VALUES ('12345678'), ('123456789'), (NULL)) AS x(t)").collect()] == [0, 5, 0]
+
+
 def test_exact_median(spark):
     rng = random.Random(3)
     rows = [("hot", rng.choice([rng.gauss(0, 1e3), float(rng.randrange(30)), 7.0])) for _ in range(30000)]
