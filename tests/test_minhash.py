@@ -153,6 +153,27 @@ def test_blocks_of_signatures_and_twins(spark):
     assert found[0] == found[1] == found[2] and costs.equal_places
 
 
+def test_signatures_travel_once_a_group(spark, monkeypatch):
+    """Tiles are long and hold numbers for heads; a signature joins before its row is repeated for the tiles."""
+    from nearline.operators import tiles
+    from nearline.sources.band_index import similarity_blocks
+    rng = random.Random(9)
+    sigs = [[rng.randrange(4) for _ in range(8)] for _ in range(1500)]
+    rows = [(f"k{i:05d}", f"{i:05d}", s, [10 * b + 100 * s[2 * b] + s[2 * b + 1] for b in range(4)]) for i, s in enumerate(sigs)]
+    df = spark.createDataFrame(rows, "key string, id string, signature array<long>, bands array<long>")
+    bands = df.select(F.explode("bands").alias("bk"), "key")
+    sent, real = [], tiles.by_groups
+    monkeypatch.setattr(tiles, "by_groups", lambda df, *a: (sent.append(df), real(df, *a))[1])
+    got = {r.key: (r.match_id, r.similarity) for r in tiles.best_matches(df, df, bands, bands, similarity_blocks("jaccard"), exclude_same=True).collect()}
+    a, b = np.array(sigs), np.array([r[3] for r in rows])
+    for i in range(0, 1500, 100):
+        score = (a[i] == a).sum(axis=1) * (b[i] == b).any(axis=1)
+        score[i] = 0
+        assert got[f"k{i:05d}"] == (f"{int(score.argmax()):05d}", score.max() / 8)
+    groups = bands.groupBy("bk").agg(F.min("key").alias("head")).join(bands, "bk").select("head", "key").distinct().count()
+    assert sent[0].where("NOT asks").count() <= groups and dict(sent[0].dtypes)["head"] == "bigint"
+
+
 def test_equal_texts_of_a_batch_are_hashed_once(monkeypatch):
     import pyarrow as pa
     from nearline.functions import hashing as H
